@@ -6,17 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing
+from tessera.llm import collision, html_template, mixing, secrets, voronoi
 from tessera.llm.common import table
 
 
+def op1_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_mixing": op10_mixing}
+    return {"op1_voronoi": op1_voronoi, "op5_secrets": op5_secrets, "op6_collision": op6_collision, "op9_html_template": op9_html_template, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE}
+    return {"op1_voronoi": voronoi.ORACLE, "op10_mixing": mixing.ORACLE}
