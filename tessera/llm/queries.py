@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import collision, html_template, mixing, secrets, voronoi
+from tessera.llm import collision, html_template, language, mixing, ngram_join, pieces, secrets, toxicity, voronoi
 from tessera.llm.common import table
 
 
@@ -14,6 +14,19 @@ def op1_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+#: Grades: not toxic, toxic, toxic and of low quality.
+SEVERITY = "toxic * (2 - quality)"
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), SEVERITY))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -22,6 +35,15 @@ def op6_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.default_model())
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages"))
 
@@ -30,9 +52,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+#: Every query, and its SQL where there is one.
+ALL = (
+    (op1_voronoi, voronoi.ORACLE),
+    (op2_ngram_join, ngram_join.ORACLE),
+    (op4_toxicity, None),
+    (op5_secrets, None),
+    (op6_collision, None),
+    (op7_pieces, None),
+    (op8_language, None),
+    (op9_html_template, None),
+    (op10_mixing, mixing.ORACLE),
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_voronoi": op1_voronoi, "op5_secrets": op5_secrets, "op6_collision": op6_collision, "op9_html_template": op9_html_template, "op10_mixing": op10_mixing}
+    return {f.__name__: f for f, _ in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_voronoi": voronoi.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {f.__name__: sql for f, sql in ALL if sql}
