@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import collision, html_template, language, mixing, ngram_join, pieces, secrets, toxicity, voronoi
+from tessera.llm import chaining, collision, html_template, language, mixing, ngram_join, pieces, secrets, toxicity, voronoi
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op3_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 #: Grades: not toxic, toxic, toxic and of low quality.
 SEVERITY = "toxic * (2 - quality)"
 
@@ -56,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     (op1_voronoi, voronoi.ORACLE),
     (op2_ngram_join, ngram_join.ORACLE),
+    (op3_chaining, None),
     (op4_toxicity, None),
     (op5_secrets, None),
     (op6_collision, None),
