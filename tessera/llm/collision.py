@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tessera.llm.vectors import BLOCK_ROWS, GROUP_QUERIES, meet, ranked, stack, usable
 
 #: Lines; half a window in units of the radius; growth of the radius; deviations below the mean that still collide.
-N_PROJECTIONS, HALF_WIDTH, GROWTH, SLACK, SEED = 96, 1.5, 1.1, 1.6, 7
+N_PROJECTIONS, HALF_WIDTH, GROWTH, SLACK, SEED = 64, 1.5, 1.06, 1.0, 7
+#: Queries counted together, so that their counts stay in a processor's cache.
+TOGETHER = 32
 
 
 def _threshold() -> int:
@@ -44,32 +46,40 @@ class Index:
         np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n, dtype=self.place.dtype), order.shape), axis=1)
         self.sample = self.points[:: max(1, n // 512)]
 
-    def search(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Verified rows and their inner products with q; ``own`` rows are no candidates."""
-        n = len(self.x)
-        if n - len(own) <= k:
-            found = np.setdiff1d(np.arange(n), own)
-            return found, self.x[found] @ q
-        unit = np.append(q / np.linalg.norm(q), 0.0)
-        heights = unit @ self.lines
-        near = np.partition(2 - 2 * self.sample @ unit, min(2, len(self.sample) - 1))
-        radius = math.sqrt(max(near[min(2, len(self.sample) - 1)], 1e-4))
-        away, inside = np.empty(n, self.place.dtype), np.empty(n, bool)
-        while True:
-            count = np.zeros(n, np.uint8)
-            for j in range(N_PROJECTIONS):
-                lo, hi = np.searchsorted(self.sorted[j], (heights[j] - HALF_WIDTH * radius, heights[j] + HALF_WIDTH * radius))
-                if hi > lo:
-                    np.subtract(self.place[j], self.place.dtype.type(lo), out=away)
-                    np.less_equal(away, self.place.dtype.type(hi - lo - 1), out=inside)
+    def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, verified rows and their inner products; its ``own`` rows are no candidates."""
+        n, found = len(self.x), [None] * len(queries)
+        unit = np.hstack([queries / np.linalg.norm(queries, axis=1)[:, None], np.zeros((len(queries), 1))])
+        heights, at = unit @ self.lines, min(2, len(self.sample) - 1)
+        radius = np.sqrt(np.maximum(np.partition(2 - 2 * unit @ self.sample.T, at, axis=1)[:, at], 1e-4))
+        few = np.array([n - len(o) <= k for o in own], bool)
+        for i in np.flatnonzero(few):
+            rows = np.setdiff1d(np.arange(n), own[i])
+            found[i] = rows, self.x[rows] @ queries[i]
+        open_ = np.flatnonzero(~few)
+        while len(open_):
+            reach = HALF_WIDTH * radius[open_]
+            lo = np.stack([np.searchsorted(self.sorted[j], heights[open_, j] - reach) for j in range(N_PROJECTIONS)])
+            width = np.stack([np.searchsorted(self.sorted[j], heights[open_, j] + reach) for j in range(N_PROJECTIONS)]) - lo
+            lo, width = lo.astype(self.place.dtype)[:, :, None], width.astype(self.place.dtype)[:, :, None]
+            for start in range(0, len(open_), TOGETHER):
+                part = slice(start, start + TOGETHER)
+                count = np.zeros((len(open_[part]), n), np.uint8)
+                away, inside = np.empty(count.shape, self.place.dtype), np.empty(count.shape, bool)
+                for j in range(N_PROJECTIONS):
+                    np.subtract(self.place[j], lo[j, part], out=away)  # wraps below the window, to a place beyond it
+                    np.less(away, width[j, part], out=inside)
                     count += inside.view(np.uint8)
-            count[own] = 0
-            found = np.flatnonzero(count >= _threshold())
-            if len(found) >= k:
-                within = 2 - 2 * self.points[found] @ unit <= radius**2
-                if within.sum() >= k or radius > 2:
-                    return found, self.x[found] @ q
-            radius *= GROWTH
+                for i, collisions in zip(open_[part], count, strict=True):
+                    collisions[own[i]] = 0
+                    rows = np.flatnonzero(collisions >= _threshold())
+                    if len(rows) >= k:
+                        within = 2 - 2 * self.points[rows] @ unit[i] <= radius[i] ** 2
+                        if within.sum() >= k or radius[i] > 2:
+                            found[i] = rows, self.x[rows] @ queries[i]
+            open_ = np.array([i for i in open_ if found[i] is None], int)
+            radius[open_] *= GROWTH
+        return found
 
 
 def _solve(k: int, norm: float):
@@ -78,9 +88,9 @@ def _solve(k: int, norm: float):
         if len(data) and len(queries):
             data = data.sort_values("vec_id", kind="stable")
             ids, index = data.vec_id.to_numpy(), Index(stack(data.x), norm)
-            for q, mine in zip(stack(queries.x), queries.vec_id.to_numpy(), strict=True):
-                own = np.arange(*np.searchsorted(ids, (mine, mine + 1)))
-                found, score = index.search(q, k, own)
+            asked = queries.vec_id.to_numpy()
+            own = [np.arange(a, b) for a, b in zip(np.searchsorted(ids, asked), np.searchsorted(ids, asked, "right"), strict=True)]
+            for mine, (found, score) in zip(asked, index.search(stack(queries.x), k, own), strict=True):
                 best = np.argsort(-score, kind="stable")[:k]
                 out["query_id"].append(np.full(len(best), mine))
                 out["vec_id"].append(ids[found[best]])
