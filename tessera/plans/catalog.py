@@ -2,22 +2,600 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.functions import urls as U
+from tessera.functions.lexicon import SAMPLE as LEX
+from tessera.operators import health, listing, reports, selection, similarity, sinks
+from tessera.plans import sql as S
+from tessera.plans.articles import ARTICLES, AS_OF, ITEMS, articles, order_items, table
 
-def feed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.col("o_orderdate").desc_nulls_first(), F.col("o_orderkey").desc()).limit(50)
+FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        FOUND[f.__name__] = (f, sql)
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"feed_latest": feed_latest}
+    return {name: f for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "feed_latest": "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey DESC LIMIT 50"
-    }
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
+
+
+NEWEST = "ORDER BY pub_date DESC NULLS FIRST, id DESC"
+
+# Listings ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ITEMS} SELECT id, title, pub_date, score FROM item WHERE status = 'selected' {NEWEST} LIMIT 50")
+def feed_latest(spark, sf):
+    return listing.newest(listing.published(order_items(spark, sf)), 50).select("id", "title", "pub_date", "score")
+
+
+@query(f"WITH {ITEMS} SELECT id, title, pub_date, score FROM item WHERE status = 'selected' AND category = 'regulatory' {NEWEST} LIMIT 30")
+def feed_by_category(spark, sf):
+    return listing.newest(listing.published(order_items(spark, sf)).filter("category = 'regulatory'"), 30).select("id", "title", "pub_date", "score")
+
+
+@query(f"WITH {ITEMS} SELECT id, title, pub_date FROM item WHERE status IS NULL OR status <> 'rejected' {NEWEST} LIMIT 40 OFFSET 80")
+def list_offset(spark, sf):
+    rows = order_items(spark, sf).filter(listing.not_rejected(F.col("status")))
+    return rows.orderBy(F.col("pub_date").desc_nulls_first(), F.desc("id")).offset(80).limit(40).select("id", "title", "pub_date")
+
+
+@query(f"WITH {ITEMS}, f AS (SELECT * FROM item {NEWEST} LIMIT 500), k AS (SELECT *, count(*) OVER () AS total FROM f WHERE score >= 8) SELECT id, title, score, total FROM k {NEWEST} LIMIT 20 OFFSET 20")
+def list_filter_then_slice(spark, sf):
+    return listing.filter_then_slice(order_items(spark, sf), 500, F.col("score") >= 8, 20, 20).select("id", "title", "score", "total")
+
+
+CURSOR = (dt.datetime(1998, 1, 1), 5000)
+AFTER = "(pub_date < TIMESTAMP '1998-01-01' OR (pub_date = TIMESTAMP '1998-01-01' AND id < 5000))"
+
+
+@query(
+    f"WITH {ITEMS}, r AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY pub_date DESC, id DESC) AS place FROM item WHERE status = 'selected' AND {AFTER}) "
+    "SELECT id, title, place::INT AS place, total, total > 20 AS has_more FROM r WHERE place <= 20"
+)
+def items_keyset_page(spark, sf):
+    return listing.items(listing.published(order_items(spark, sf)), cursor=CURSOR).select("id", "title", "place", "total", "has_more")
+
+
+@query(f"WITH {ITEMS} SELECT count(*) AS total FROM item WHERE status = 'selected' AND {AFTER}")
+def items_total(spark, sf):
+    return listing.after_cursor(listing.published(order_items(spark, sf)), CURSOR).agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(
+    f"WITH {ARTICLES}, r AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY pub_date DESC, id DESC) AS place FROM art WHERE title ILIKE '%the on%' OR source_name ILIKE '%the on%') "
+    "SELECT id, title, total FROM r WHERE place <= 20"
+)
+def items_search(spark, sf):
+    return listing.items(articles(spark, sf), q="the,on", columns=("title", "source_name")).select("id", "title", "total")
+
+
+@query(f"WITH {ITEMS} SELECT id, title, score, status FROM item WHERE id = (SELECT min(o_orderkey) + 7 FROM orders)")
+def article_lookup(spark, sf):
+    rows = order_items(spark, sf)
+    key = rows.agg(F.min("id") + 7).first()[0]
+    return listing.lookup(rows, key).select("id", "title", "score", "status")
+
+
+@query(
+    f"WITH {ITEMS} SELECT id, source_id, score FROM item WHERE status = 'selected' AND score >= 30 AND source_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"
+)
+def listing_semijoin(spark, sf):
+    chosen = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source_id"))
+    return listing.published(order_items(spark, sf)).filter("score >= 30").join(chosen, "source_id", "left_semi").select("id", "source_id", "score")
+
+
+@query(
+    f"WITH {ITEMS} SELECT id, title, coalesce(score, 0) AS score, category, "
+    "CASE category WHEN 'frontier' THEN 'Frontier' WHEN 'industry_model' THEN 'Industry' WHEN 'regulatory' THEN 'Regulation' WHEN 'dispute' THEN 'Disputes' WHEN 'normative' THEN 'Norms' ELSE 'News' END AS category_label, "
+    "CASE WHEN status = 'selected' THEN 'selected' ELSE 'signal' END AS review_tier, (pub_date + INTERVAL 8 HOUR)::DATE AS day FROM item WHERE status <> 'rejected'"
+)
+def public_items(spark, sf):
+    return listing.public_item(order_items(spark, sf).filter("status <> 'rejected'"))
+
+
+@query(
+    f"WITH {ITEMS} SELECT (pub_date + INTERVAL 8 HOUR)::DATE AS day, (row_number() OVER (PARTITION BY (pub_date + INTERVAL 8 HOUR)::DATE ORDER BY coalesce(score, 0) DESC, id))::INT AS place, id, score FROM item WHERE status = 'selected'"
+)
+def date_groups(spark, sf):
+    return listing.date_groups(listing.published(order_items(spark, sf)))
+
+
+@query(
+    f"WITH {ITEMS} SELECT id, title, score FROM item WHERE status = 'selected' ORDER BY ((pub_date + INTERVAL 8 HOUR)::DATE = DATE '1997-05-28') DESC, coalesce(score, 0) DESC, id LIMIT 1"
+)
+def home_focus(spark, sf):
+    return listing.home_focus(listing.published(order_items(spark, sf)), "1997-05-28").select("id", "title", "score")
+
+
+@query(
+    f"WITH {ITEMS}, a AS (SELECT id, 1 AS p FROM item WHERE status = 'selected' {NEWEST} LIMIT 500), b AS (SELECT id, 2 AS p FROM item WHERE status = 'pending' {NEWEST} LIMIT 500), "
+    f"c AS (SELECT id, 3 AS p FROM item WHERE score >= 30 {NEWEST} LIMIT 200), u AS (SELECT id, min(p) AS p FROM (FROM a UNION ALL FROM b UNION ALL FROM c) GROUP BY id) SELECT id, p FROM u ORDER BY p, id DESC LIMIT 500"
+)
+def union_queue(spark, sf):
+    rows = order_items(spark, sf)
+    parts = [(rows.filter("status = 'selected'"), 500), (rows.filter("status = 'pending'"), 500), (rows.filter("score >= 30"), 200)]
+    both = reduce(DataFrame.unionByName, [listing.newest(r, n).select("id", F.lit(p).alias("p")) for p, (r, n) in enumerate(parts, 1)])
+    return both.groupBy("id").agg(F.min("p").alias("p")).orderBy("p", F.desc("id")).limit(500)
+
+
+# Writes --------------------------------------------------------------------------------------------------------------
+
+HALVES = f"WITH {ITEMS}, t AS (SELECT id, title, score FROM item WHERE id % 3 <> 0), u AS (SELECT id, 'new ' || title AS title, CASE WHEN id % 2 = 0 THEN score END AS score FROM item WHERE id % 3 = 0 OR id % 5 = 0)"
+
+
+def _halves(spark, sf):
+    rows = order_items(spark, sf).select("id", "title", "score")
+    return rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0 or id % 5 = 0").select("id", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("id") % 2 == 0, F.col("score")).alias("score"))
+
+
+@query(HALVES + " SELECT * FROM t WHERE id NOT IN (SELECT id FROM u) UNION ALL SELECT * FROM u")
+def upsert_lww(spark, sf):
+    return sinks.upsert(*_halves(spark, sf), ["id"])
+
+
+@query(HALVES + " SELECT id, title, score FROM u WHERE id NOT IN (SELECT id FROM t)")
+def insert_if_absent(spark, sf):
+    target, batch = _halves(spark, sf)
+    return sinks.insert_if_absent(target, batch.unionByName(batch), ["id"], [F.col("title")])
+
+
+@query(HALVES + " SELECT u.id, u.title, u.score FROM u JOIN t ON t.id = u.id WHERE u.score IS DISTINCT FROM t.score")
+def changed_only(spark, sf):
+    target, batch = _halves(spark, sf)
+    return sinks.changed_only(target, batch, "id", ["score"])
+
+
+@query(f"WITH {ITEMS} SELECT id, pub_date FROM item WHERE pub_date >= TIMESTAMP '1998-06-01' - INTERVAL 30 DAY")
+def expire_rows(spark, sf):
+    return sinks.expire(order_items(spark, sf), "1998-06-01", 30)[0].select("id", "pub_date")
+
+
+@query("SELECT user_id, min(event_id) AS first_place, arg_max(value, event_id) AS last_value FROM events GROUP BY user_id")
+def dedup_last_value_first_position(spark, sf):
+    return sinks.last_value_first_place(table(spark, sf, "events"), "user_id", "event_id", "value")
+
+
+@query(
+    f"WITH {ARTICLES} SELECT id, title FROM art WHERE (id % 7 = 0 OR pub_date < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR) AND {S.tier('content', 'NULL::VARCHAR')} <> 'full' ORDER BY pub_date DESC, id LIMIT 500"
+)
+def enrich_queue(spark, sf):
+    again = (F.col("id") % 7 == 0) | (F.col("pub_date") < F.lit(AS_OF).cast("timestamp") - F.expr("interval 24 hours"))
+    rows = articles(spark, sf).filter(again & (T.content_tier(F.col("content"), F.lit(None).cast("string")) != "full"))
+    return rows.orderBy(F.desc("pub_date"), "id").limit(500).select("id", "title")
+
+
+# Text ----------------------------------------------------------------------------------------------------------------
+
+
+def _docs(spark, sf, **columns):
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
+
+
+@query(f"SELECT page_id, {S.plain('html')} AS text FROM pages")
+def plain_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT doc_id, {S.paragraphs('NULL::VARCHAR', S.plain('text'))}::INT AS n FROM documents UNION ALL SELECT page_id + 1000000000, {S.paragraphs('html', S.plain('html'))}::INT FROM pages")
+def paragraph_count(spark, sf):
+    none = F.lit(None).cast("string")
+    docs = _docs(spark, sf, n=T.paragraphs(none, T.plain_text(F.col("text"))))
+    pages = table(spark, sf, "pages").select((F.col("page_id") + 1000000000).alias("doc_id"), T.paragraphs(F.col("html"), T.plain_text(F.col("html"))).alias("n"))
+    return docs.unionByName(pages)
+
+
+@query(f"SELECT doc_id, {S.tier('text', 'NULL::VARCHAR')} AS tier FROM documents")
+def content_tier(spark, sf):
+    return _docs(spark, sf, tier=T.content_tier(F.col("text"), F.lit(None).cast("string")))
+
+
+@query(
+    f"WITH q AS (SELECT source, count(*) AS total, count(*) FILTER (t = 'full') AS n_full, count(*) FILTER (t = 'summary') AS n_summary, count(*) FILTER (t = 'external') AS n_external FROM (SELECT source, {S.tier('text', 'NULL::VARCHAR')} AS t FROM documents) GROUP BY source) "
+    "SELECT source, total, n_full, n_summary, n_external, floor(100.0::DOUBLE * n_full / total + 0.5) / 100 AS full_rate, total >= 3 AND floor(100.0::DOUBLE * n_full / total + 0.5) / 100 < 0.6 AS alert FROM q"
+)
+def quality_audit(spark, sf):
+    tier = T.content_tier(F.col("text"), F.lit(None).cast("string"))
+    counts = table(spark, sf, "documents").select("source", tier.alias("t")).groupBy("source").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("t") == t).alias(f"n_{t}") for t in ("full", "summary", "external")])
+    rate = F.floor(F.lit(100.0) * F.col("n_full") / F.col("total") + 0.5) / 100
+    return counts.withColumn("full_rate", rate).withColumn("alert", (F.col("total") >= 3) & (F.col("full_rate") < 0.6))
+
+
+@query(f"SELECT doc_id, {S.score('text', LEX)} AS score FROM documents")
+def keyword_score(spark, sf):
+    return _docs(spark, sf, score=T.keyword_score(F.col("text"), LEX))
+
+
+@query(f"SELECT doc_id, {S.topic('text', LEX)} AS topic, {S.candidate('text', LEX)} AS candidate FROM documents")
+def topic_match(spark, sf):
+    return _docs(spark, sf, topic=T.topic_match(F.col("text"), LEX), candidate=T.candidate_match(F.col("text"), LEX))
+
+
+@query(f"WITH {ARTICLES} SELECT id, {S.exclusion('title', 'url', LEX)} AS reason FROM art")
+def exclusion_reason(spark, sf):
+    return articles(spark, sf).select("id", T.exclusion_reason(F.col("title"), F.col("url"), LEX).alias("reason"))
+
+
+LISTED = "source_name IN (" + ", ".join(S.q(w) for w in LEX.whitelist) + ")"
+WHOLE = f"w AS (SELECT id, title || ' ' || content AS t, {S.exclusion('title', 'url', LEX)} AS ex, {LISTED} AS listed FROM art)"
+SIGNS = f"x AS (SELECT *, {S.topic('t', LEX)} AS core, {S.candidate('t', LEX)} AS cand, {S.score('t', LEX)} AS points FROM w)"
+
+
+@query(
+    f"WITH {ARTICLES}, {WHOLE}, {SIGNS} SELECT id, ex IS NULL AND core AND (listed OR points >= 2) AS relevant, "
+    "CASE WHEN ex IS NULL AND core AND (listed OR points >= 2) THEN 'keyword' ELSE 'skipped' END AS method, "
+    "CASE WHEN ex IS NOT NULL THEN 0 WHEN listed AND core THEN 2 WHEN listed THEN 0 WHEN NOT cand THEN 0 WHEN NOT core THEN 1 ELSE points END AS score, "
+    "CASE WHEN ex IS NOT NULL THEN ex WHEN NOT listed AND NOT cand THEN 'off topic' END AS reason FROM x"
+)
+def relevance_decision(spark, sf):
+    r = T.relevance(F.col("title"), F.col("content"), F.col("source_name"), F.col("url"), LEX)
+    return articles(spark, sf).select("id", r.alias("r")).select("id", "r.*")
+
+
+@query(
+    f"WITH {ARTICLES}, {WHOLE}, {SIGNS}, v AS (SELECT *, CASE WHEN ex IS NOT NULL THEN false WHEN listed THEN NULL WHEN NOT cand THEN false WHEN core THEN true END AS verdict FROM x) "
+    "SELECT id, verdict, coalesce(verdict, ex IS NULL AND core) AS passes FROM v"
+)
+def prefilter_3v(spark, sf):
+    a, c = articles(spark, sf), [F.col(n) for n in ("title", "content", "source_name", "url")]
+    verdict = T.keyword_filter(*c, LEX)
+    return a.select("id", verdict.alias("verdict"), T.pre_filter(verdict, c[0], c[1], c[3], LEX).alias("passes"))
+
+
+REGION = " OR ".join(f"starts_with(title, {S.q(p + m)})" for p in LEX.regional for m in ("：", ":", " "))
+CLASS = f"""
+k AS (SELECT id, title, {S.count_of('t', LEX.dispute)} AS d, {S.count_of('t', LEX.frontier)} AS f, {S.count_of('t', LEX.industry)} AS i FROM (SELECT id, title, title || ' ' || content AS t FROM art)),
+c AS (SELECT id, d, f, i, title, CASE
+  WHEN {S.like('title', LEX.noise_title)} THEN 'noise' WHEN d >= 2 THEN 'dispute words' WHEN {S.any_of('title', LEX.dispute_titles)} THEN 'dispute title'
+  WHEN {S.any_of('title', LEX.risk_titles)} THEN 'risk title' WHEN {S.any_of('title', LEX.normative)} AND ({S.like('title', LEX.formal)} OR {S.like('title', '《.*》')}) THEN 'formal document'
+  WHEN f >= 2 THEN 'frontier words' WHEN i >= 2 THEN 'industry words' WHEN {REGION} OR ({S.any_of('title', LEX.regional)} AND {S.like('title', LEX.regional_scope)}) THEN 'regional'
+  WHEN {S.any_of('title', LEX.national)} THEN 'national' ELSE 'other' END AS reason FROM k),
+cls AS (SELECT id, reason,
+  CASE WHEN reason IN ('dispute words', 'dispute title', 'risk title') THEN 'dispute' WHEN reason = 'formal document' THEN 'normative' WHEN reason = 'frontier words' THEN 'frontier' WHEN reason = 'industry words' THEN 'industry_model' ELSE 'regulatory' END AS section,
+  round(CASE reason WHEN 'noise' THEN 0 WHEN 'dispute words' THEN least(d * 0.3::DOUBLE, 1) WHEN 'dispute title' THEN 0.8 WHEN 'risk title' THEN 0.7 WHEN 'formal document' THEN 0.9 WHEN 'frontier words' THEN least(f * 0.4::DOUBLE, 1) WHEN 'industry words' THEN least(i * 0.35::DOUBLE, 1) WHEN 'regional' THEN 0.7 ELSE 0.5 END::DOUBLE, 6) AS confidence,
+  CASE WHEN reason IN ('regional', 'national') THEN reason END AS sub_section FROM c)"""
+
+
+def _classified(spark, sf):
+    r = T.classify(F.col("title"), F.col("content"), LEX)
+    return articles(spark, sf).select("id", r.alias("r")).select("id", "r.section", F.round("r.confidence", 6).alias("confidence"), "r.reason", "r.sub_section")
+
+
+@query(f"WITH {ARTICLES}, {CLASS} SELECT id, section, confidence, reason, sub_section FROM cls")
+def classify(spark, sf):
+    return _classified(spark, sf)
+
+
+@query(f"WITH {ARTICLES}, {CLASS} SELECT section, count(*) AS n FROM cls GROUP BY section")
+def classify_distribution(spark, sf):
+    return _classified(spark, sf).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {S.like('text', p)} THEN {S.q(n)}" for n, p in LEX.areas) + " END AS area FROM documents")
+def topic_area(spark, sf):
+    return _docs(spark, sf, area=T.topic_area(F.lit(None).cast("string"), F.col("text"), LEX))
+
+
+@query(f"SELECT doc_id, {S.cut_at_end('text', 300, 100, True)} AS excerpt FROM documents")
+def build_excerpt(spark, sf):
+    return _docs(spark, sf, excerpt=T.build_excerpt(F.col("text")))
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, text, list_filter(list_transform({S.parts(S.plain('text'))}, lambda s: trim(s)), lambda s: length(s) >= 3) AS p FROM documents), "
+    "k AS (SELECT *, list_filter(range(1, len(p) + 1), lambda k: (k >= 2 AND length(array_to_string(p[1:k], '')) >= 40) OR length(array_to_string(p[1:k], '')) >= 300) AS stops FROM (SELECT doc_id, text, p[1:400] AS p FROM s)) "
+    f"SELECT doc_id, CASE WHEN len(p) = 0 THEN left({S.plain('text')}, 200) WHEN len(stops) > 0 THEN array_to_string(p[1:stops[1]], '') ELSE array_to_string(p, '') END AS excerpt FROM k"
+)
+def sentence_excerpt(spark, sf):
+    return _docs(spark, sf, excerpt=T.sentence_excerpt(T.plain_text(F.col("text"))))
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE {S.cut_at_end('text', 1000, 500)} END AS capped, CASE WHEN length(text) <= 5000 THEN text ELSE {S.cut_at_end('text', 5000, 0)} END AS cut FROM documents")
+def cap_at_sentence(spark, sf):
+    return _docs(spark, sf, capped=T.cap_at_sentence(F.col("text"), 1000), cut=T.truncate_text(F.col("text")))
+
+
+@query(f"SELECT doc_id, {S.normalized('left(text, 80)')} AS title, contains(left(text, 200), '%PDF') OR {S.like('left(text, 200)', LEX.site_noise)} AS dirty FROM documents")
+def normalized_titles(spark, sf):
+    return _docs(spark, sf, title=T.normalize_title(F.substring("text", 1, 80)), dirty=T.is_dirty(F.col("text"), LEX))
+
+
+# Selection -----------------------------------------------------------------------------------------------------------
+
+DIMS = {d: (F.col("id") * (7 + i) % 12).cast("double") for i, d in enumerate(selection.DIMENSIONS)}
+EVENT = "CASE " + " ".join(f"WHEN {S.like('title', p)} THEN {S.q(n)}" for n, p in LEX.events) + " END"
+FLOOR = ", ".join(f"CASE WHEN lift AND ev = '{d}' THEN least(20, d{i} + 8 - score) ELSE d{i} END AS {d}" for i, d in enumerate(selection.DIMENSIONS))
+
+
+@query(
+    f"WITH {ARTICLES}, f AS (SELECT id, score, {EVENT} AS ev, coalesce(score < 8 AND {EVENT} IS NOT NULL AND {S.topic('title', LEX)} AND {S.tier('content', 'NULL::VARCHAR')} = 'full', false) AS lift, "
+    + ", ".join(f"(id * {7 + i} % 12)::DOUBLE AS d{i}" for i in range(5))
+    + f" FROM art), g AS (SELECT id, lift, score, {FLOOR} FROM f) SELECT id, CASE WHEN lift THEN {' + '.join(selection.DIMENSIONS)} ELSE score END AS score, {', '.join(selection.DIMENSIONS)} FROM g"
+)
+def objective_floor(spark, sf):
+    tier = T.content_tier(F.col("content"), F.lit(None).cast("string"))
+    r = selection.objective_floor(F.col("title"), tier, F.col("score"), DIMS, LEX)
+    return articles(spark, sf).select("id", r.alias("r")).select("id", "r.*")
+
+
+DECIDE = f"""
+dec AS (SELECT *, CASE WHEN NOT coalesce(pre_filtered, false) THEN 'not_pre_filtered' WHEN scoring_method <> 'llm' THEN 'signal'
+  WHEN coalesce(score, 0) >= 8 AND {S.tier('content', 'NULL::VARCHAR')} = 'full' AND NOT coalesce({S.like('ai_reason', LEX.reject_reason)}, false) THEN 'publishable'
+  WHEN coalesce(score, 0) >= 8 THEN 'signal' ELSE 'irrelevant' END AS reason, {S.tier('content', 'NULL::VARCHAR')} AS tier FROM art),
+st AS (SELECT *, CASE reason WHEN 'publishable' THEN 'selected' WHEN 'signal' THEN 'pending' ELSE 'rejected' END AS status FROM dec)"""
+
+
+@query(f"WITH {ARTICLES}, {DECIDE} SELECT id, status, reason FROM st")
+def decide_selection(spark, sf):
+    tier = T.content_tier(F.col("content"), F.lit(None).cast("string"))
+    d = selection.decide_selection(F.col("pre_filtered"), F.col("scoring_method"), F.col("score"), tier, F.col("ai_reason"), LEX)
+    return articles(spark, sf).select("id", d.alias("d")).select("id", "d.*")
+
+
+@query(f"WITH {ARTICLES}, {DECIDE}, o AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'pending' WHEN id % 3 = 0 THEN 'selected' END AS old_status FROM st) SELECT id, old_status, status, reason, tier FROM o WHERE old_status IS DISTINCT FROM status")
+def reconcile(spark, sf):
+    old = F.when(F.col("id") % 2 == 0, "pending").when(F.col("id") % 3 == 0, "selected")
+    return selection.reconcile(articles(spark, sf).withColumn("status", old), LEX)
+
+
+@query(
+    f"WITH {ARTICLES}, r AS (SELECT id, score, CASE WHEN id % 2 = 0 THEN ' It does not meet the criteria ' WHEN id % 5 = 0 THEN ' ' ELSE ai_reason END AS reason, left(content, 30) AS excerpt FROM art) "
+    "SELECT id, CASE WHEN coalesce(score, 0) < 8 OR nullif(trim(reason), '') IS NULL OR NOT regexp_matches(trim(reason), '(?i)does not meet .{0,80}(criteria|standard)') THEN nullif(trim(reason), '') "
+    "ELSE left('Checked as ' || CASE WHEN score >= 30 THEN 'must read' ELSE 'industry update' END || '. ' || coalesce('Key fact: ' || nullif(trim(excerpt), ''), 'The text is on topic.'), 400) END AS reason FROM r"
+)
+def normalize_reason(spark, sf):
+    reason = F.when(F.col("id") % 2 == 0, " It does not meet the criteria ").when(F.col("id") % 5 == 0, " ").otherwise(F.col("ai_reason"))
+    return articles(spark, sf).select("id", selection.normalize_reason(F.col("score"), reason, F.substring("content", 1, 30), LEX).alias("reason"))
+
+
+@query(
+    "WITH e AS (SELECT event_id, (props->>'k')::DOUBLE AS k FROM events), s AS (SELECT event_id, CASE WHEN k BETWEEN 0 AND 100 THEN k END AS score, k FROM e) SELECT event_id, score, "
+    + ", ".join(f"(floor(least(20, {'k' if d == 'dispute' else 'floor(score / 5 + 0.5)'}) + 0.5))::INT AS {d}" for d in selection.DIMENSIONS)
+    + " FROM s WHERE score IS NOT NULL"
+)
+def score_payload_parse(spark, sf):
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('{"score": '), k, F.lit(', "dispute": '), k, F.lit("}"))
+    payload = F.when(F.col("event_id") % 3 == 0, body).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit('So: {"data": '), body, F.lit("} end")))
+    return table(spark, sf, "events").select("event_id", selection.parse_scores(payload).alias("r")).filter("r is not null").select("event_id", "r.*")
+
+
+# Similarity ----------------------------------------------------------------------------------------------------------
+
+
+def _titles(spark, sf):
+    return articles(spark, sf).select("id", "title", "pub_date", "source_name", "score")
+
+
+@query(f"WITH {ARTICLES}, {S.title_pairs('art', 0.4)} SELECT a, b, round(similarity, 6) AS similarity FROM pair")
+def bigram_similarity_pairs(spark, sf):
+    return similarity.similar_titles(_titles(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+BANDED = f"{S.title_pairs('art', 0.4)}, near AS (SELECT a, b, similarity FROM pair JOIN art x ON x.id = a JOIN art y ON y.id = b WHERE abs(datediff('day', x.pub_date::DATE, y.pub_date::DATE)) <= 14)"
+
+
+@query(f"WITH {ARTICLES}, {BANDED} SELECT a, b, round(similarity, 6) AS similarity FROM near")
+def banded_similarity_pairs(spark, sf):
+    return similarity.similar_titles(_titles(spark, sf), days=14).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+TOPICS = f"""
+{BANDED}, ed AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+re AS (SELECT id AS v, id AS c FROM art UNION SELECT ed.b, re.c FROM re JOIN ed ON ed.a = re.v),
+cl AS (SELECT v AS id, min(c) AS cluster FROM re GROUP BY v),
+tp AS (SELECT cluster, arg_max(id, (coalesce(score, 0), -id)) AS primary_id, count(*) AS size, count(DISTINCT source_name) AS source_count, max(coalesce(score, 0)) AS max_score, round(avg(coalesce(score, 0)), 6) AS avg_score, max(pub_date) AS latest
+  FROM cl JOIN art USING (id) GROUP BY cluster)"""
+
+
+def _topics(spark, sf):
+    rows = _titles(spark, sf)
+    return similarity.topic_clusters(rows, similarity.similar_titles(rows, days=14))
+
+
+@query(f"WITH RECURSIVE {ARTICLES}, {TOPICS} SELECT * FROM tp")
+def topic_clusters(spark, sf):
+    return _topics(spark, sf)
+
+
+@query(
+    f"WITH RECURSIVE {ARTICLES}, {TOPICS}, l AS (SELECT * FROM tp ORDER BY source_count DESC, max_score DESC, cluster LIMIT 30) SELECT cluster, primary_id, source_count, max_score FROM l WHERE source_count >= 2 ORDER BY source_count DESC, max_score DESC, cluster LIMIT 10"
+)
+def hot_topics(spark, sf):
+    return similarity.hot_topics(_topics(spark, sf)).select("cluster", "primary_id", "source_count", "max_score")
+
+
+@query(
+    f"WITH RECURSIVE {ARTICLES}, {TOPICS}, m AS (SELECT cl.cluster, art.id, art.score, row_number() OVER (PARTITION BY cl.cluster ORDER BY coalesce(score, 0) DESC, id) AS place FROM cl JOIN art USING (id) JOIN tp ON tp.cluster = cl.cluster AND tp.primary_id <> art.id) "
+    "SELECT cluster, id, score, place::INT AS place FROM m WHERE place <= 10"
+)
+def topic_related(spark, sf):
+    rows = _titles(spark, sf)
+    member = similarity.clusters(rows, similarity.similar_titles(rows, days=14))
+    order = Window.partitionBy("cluster").orderBy(F.coalesce("score", F.lit(0.0)).desc(), "id")
+    return member.withColumn("r", F.row_number().over(order)).filter("r between 2 and 11").select("cluster", "id", "score", (F.col("r") - 1).alias("place"))
+
+
+@query()
+def greedy_dedup(spark, sf):
+    rows = _titles(spark, sf)
+    return similarity.first_independent(rows, similarity.similar_titles(rows), [-F.coalesce("score", F.lit(0.0))])
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("item"))
+
+
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.3")
+def cosine_pairs(spark, sf):
+    return similarity.cosine_pairs(_vectors(spark, sf), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def leader_clusters(spark, sf):
+    rows = _vectors(spark, sf)
+    return similarity.leader_clusters(rows, similarity.cosine_pairs(rows, 0.3))
+
+
+# Reports -------------------------------------------------------------------------------------------------------------
+
+SCORE = "coalesce(score, 0) DESC, id"
+
+
+def _window(start: str, end: str) -> str:
+    return f"pub_date >= TIMESTAMP '{start}' - INTERVAL 8 HOUR AND pub_date < TIMESTAMP '{end}' - INTERVAL 8 HOUR"
+
+
+@query(
+    f"""WITH {ITEMS}, d AS (SELECT * FROM item WHERE {_window('1997-05-28', '1997-05-29')}),
+r AS (SELECT *, row_number() OVER (ORDER BY {SCORE}) AS r FROM d WHERE status = 'selected' AND score >= 8),
+s AS (SELECT *, CASE WHEN r <= 3 AND score >= 30 THEN 'must_read' ELSE 'industry_updates' END AS section FROM r),
+a AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY {SCORE}) AS rank, id, score FROM s),
+p AS (SELECT 'review_signals' AS section, row_number() OVER (ORDER BY pub_date DESC NULLS FIRST, id) AS rank, id, score FROM d WHERE status = 'pending'),
+h AS (SELECT 'recent_highlights' AS section, row_number() OVER (ORDER BY {SCORE}) AS rank, id, score FROM item WHERE status = 'selected' AND {_window('1997-05-21', '1997-05-28')})
+SELECT section, rank::INT AS rank, id, score FROM a WHERE rank <= CASE section WHEN 'must_read' THEN 3 ELSE 15 END
+UNION ALL SELECT section, rank::INT, id, score FROM p WHERE rank <= 10
+UNION ALL SELECT section, rank::INT, id, score FROM h WHERE rank <= 5 AND score >= 8 AND NOT EXISTS (SELECT 1 FROM a)"""
+)
+def daily_report(spark, sf):
+    return reports.daily_report(order_items(spark, sf), "1997-05-28")
+
+
+def _period(start: str, end: str, category: str, limits: str, signals: int) -> str:
+    return f"""WITH {ITEMS}, d AS (SELECT *, {category} AS section FROM item WHERE {_window(start, end)}),
+a AS (SELECT section, 'selected' AS kind, row_number() OVER (PARTITION BY section ORDER BY {SCORE}) AS rank, id, score FROM d WHERE status = 'selected' AND score >= 8),
+p AS (SELECT section, 'signal' AS kind, row_number() OVER (PARTITION BY section ORDER BY {SCORE}) AS rank, id, score FROM d WHERE status = 'pending')
+SELECT section, kind, rank::INT AS rank, id, score FROM a WHERE rank <= {limits} UNION ALL SELECT section, kind, rank::INT, id, score FROM p WHERE rank <= {signals}"""
+
+
+@query(_period("1997-05-26", "1997-06-02", "category", "8", 4))
+def weekly_report(spark, sf):
+    return reports.weekly_report(order_items(spark, sf), 1997, 22)
+
+
+REGIONAL = "CASE WHEN category = 'regulatory' AND status = 'selected' THEN CASE WHEN contains(title, 'North') THEN 'regulatory_regional' ELSE 'regulatory_national' END ELSE category END"
+
+
+@query(_period("1997-05-01", "1997-06-01", REGIONAL, "CASE WHEN section = 'normative' THEN 16 WHEN starts_with(section, 'regulatory') THEN 8 ELSE 12 END", 6))
+def monthly_report(spark, sf):
+    return reports.monthly_report(order_items(spark, sf), 1997, 5, F.col("title").contains("North"))
+
+
+@query(
+    f"WITH {ITEMS} SELECT " + ", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in reports.CATEGORIES) + ", count(*) AS total, coalesce(round(avg(coalesce(score, 0)), 1), 0) AS avg_score FROM item WHERE status = 'selected'"
+)
+def category_distribution(spark, sf):
+    return reports.category_distribution(listing.published(order_items(spark, sf)))
+
+
+@query(f"WITH {ITEMS} SELECT source_id::VARCHAR AS source, count(*) AS n, min(id) AS first FROM item WHERE status = 'selected' GROUP BY 1 ORDER BY n DESC, first LIMIT 8")
+def top_sources(spark, sf):
+    return reports.top_sources(listing.published(order_items(spark, sf)), "source_id", "id", 8)
+
+
+REPORTS = "rep AS (SELECT DISTINCT o_orderdate::DATE AS report_date FROM orders WHERE o_orderkey % 50 = 0), ask AS (SELECT DISTINCT o_orderdate::DATE AS wanted FROM orders WHERE o_orderkey % 7 = 0)"
+
+
+def _reports(spark, sf):
+    days = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    return days.filter("o_orderkey % 50 = 0").select(F.col("d").alias("report_date")).distinct(), days.filter("o_orderkey % 7 = 0").select(F.col("d").alias("wanted")).distinct()
+
+
+@query(f"WITH {REPORTS} SELECT wanted, max(report_date) AS report_date, max(report_date) < wanted AS is_stale FROM ask JOIN rep ON report_date BETWEEN wanted - 3 AND wanted GROUP BY wanted")
+def report_asof(spark, sf):
+    return reports.as_of(*_reports(spark, sf))
+
+
+@query(f"WITH {REPORTS} SELECT wanted, max(report_date) AS report_date, max(report_date) < wanted AS is_stale FROM ask JOIN rep ON report_date <= wanted GROUP BY wanted")
+def report_latest(spark, sf):
+    return reports.as_of(*_reports(spark, sf), within=None)
+
+
+@query(
+    f"WITH {ITEMS}, d AS (SELECT *, pub_date + INTERVAL 8 HOUR AS l FROM item WHERE status = 'selected'), p AS (SELECT 'weekly' AS kind, date_trunc('week', l)::DATE AS start, 52 AS n FROM d UNION ALL SELECT 'monthly', date_trunc('month', l)::DATE, 24 FROM d UNION ALL SELECT 'daily', l::DATE, 31 FROM d), "
+    "g AS (SELECT kind, start, n, count(*) AS items, row_number() OVER (PARTITION BY kind ORDER BY start DESC) AS place FROM p GROUP BY kind, start, n) SELECT kind, start, items, '/' || kind || '/' || start AS href FROM g WHERE place <= n"
+)
+def archive_index(spark, sf):
+    local = F.from_utc_timestamp("pub_date", "Asia/Shanghai")
+    kinds = {"weekly": (F.date_trunc("week", local), 52), "monthly": (F.date_trunc("month", local), 24), "daily": (F.date_trunc("day", local), 31)}
+    rows = listing.published(order_items(spark, sf))
+    parts = [rows.groupBy(F.to_date(c).alias("start")).agg(F.count(F.lit(1)).alias("items")).orderBy(F.desc("start")).limit(n).select(F.lit(k).alias("kind"), "start", "items") for k, (c, n) in kinds.items()]
+    return reduce(DataFrame.unionByName, parts).withColumn("href", F.concat(F.lit("/"), "kind", F.lit("/"), F.col("start").cast("string")))
+
+
+# Health --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH r AS (SELECT event_id, user_id, event_type = 'error' AS f, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events), "
+    "s AS (SELECT event_id, user_id, sum(f::INT) OVER (PARTITION BY user_id, g ORDER BY event_id) AS streak FROM r) SELECT event_id, user_id, streak::BIGINT AS streak, CASE WHEN streak >= 12 THEN 'critical' WHEN streak >= 3 THEN 'warn' END AS alert FROM s"
+)
+def failure_streaks(spark, sf):
+    rows = table(spark, sf, "events").withColumn("failed", F.col("event_type") == "error")
+    return health.failure_streaks(rows, "user_id", ["ts", "event_id"], "failed").select("event_id", "user_id", "streak", "alert")
+
+
+@query(
+    "WITH p AS (SELECT ts::DATE AS day, user_id, max((event_type = 'error')::INT) AS f FROM events GROUP BY 1, 2) SELECT day, count(*) AS n, sum(f)::BIGINT AS n_failed, sum(f) >= greatest(12, ceil(count(*) * 0.5)) AS is_outage FROM p GROUP BY day"
+)
+def outage_check(spark, sf):
+    rows = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "user_id", (F.col("event_type") == "error").alias("failed"))
+    return health.outage(rows, "day", "user_id", "failed")
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+    "w AS (SELECT user_id, i, event_id, ts AS start, 1 AS n FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.event_id, CASE WHEN o.ts - w.start > INTERVAL 6 HOUR THEN o.ts ELSE w.start END, CASE WHEN o.ts - w.start > INTERVAL 6 HOUR THEN 1 ELSE w.n + 1 END FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1) "
+    "SELECT user_id, event_id, n AS in_window, n <= 2 AS allowed FROM w"
+)
+def rate_limit(spark, sf):
+    return health.rate_limit(table(spark, sf, "events"), "user_id", "ts", "event_id", 6 * 3600, 2)
+
+
+# Feeds and keys ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, '\"' || lower(to_hex(list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (h * 31 + c) & 4294967295, 0::BIGINT))) || '\"' AS etag FROM documents")
+def etag(spark, sf):
+    return _docs(spark, sf, etag=T.etag(F.col("text")))
+
+
+@query(
+    "SELECT o_orderkey AS id, rtrim(translate(base64(encode(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || '|' || o_orderkey)), '+/', '-_'), '=') AS cursor FROM orders"
+)
+def cursor_codec(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.encode_cursor(F.col("o_orderdate"), F.col("o_orderkey")).alias("cursor"))
+
+
+@query()
+def xml_feed(spark, sf):
+    rows = listing.newest(listing.published(order_items(spark, sf)), 50)
+    place = F.row_number().over(Window.orderBy(F.desc("pub_date"), F.desc("id")))  # 50 rows
+    items = rows.select(place.alias("place"), "title", F.concat(F.lit("https://example.org/a?x=1&id="), "id").alias("link"), F.col("category").alias("description"))
+    return sinks.feed_xml(items, "Selected", "https://example.org/")
+
+
+@query(
+    "WITH u AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS p, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages) "
+    "SELECT page_id, host, NOT (ends_with(path, '/') AND NOT regexp_matches(path, '\\d{4}')) AND (len(list_filter(string_split(path, '/'), lambda s: s <> '')) >= 3 OR regexp_matches(path, '\\d{4}[-/]?\\d{2}') OR regexp_matches(path, '(?i)(article|detail|content|news)')) AS article_like, "
+    "p = 'https' AND host = 'thther.example.org' AND (path = '/en' OR starts_with(path, '/en/')) AS listed FROM u"
+)
+def url_predicates(spark, sf):
+    url = F.col("url")
+    return table(spark, sf, "pages").select("page_id", F.try_parse_url(url, F.lit("HOST")).alias("host"), U.article_like_url(url).alias("article_like"), U.listed_article_url(url, "thther.example.org", "/en").alias("listed"))
