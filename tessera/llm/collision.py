@@ -103,7 +103,8 @@ def _solve(k: int, norm: float):
 
 def _as_bytes(batches):
     for pdf in batches:
-        yield pd.DataFrame({"vec_id": pdf.vec_id, "dim": pdf.vec.map(len).astype("int32"), "x": [np.asarray(v, np.float64).tobytes() for v in pdf.vec]})
+        if len(pdf):
+            yield pd.DataFrame({"vec_id": pdf.vec_id, "dim": pdf.vec.map(len).astype("int32"), "x": [np.asarray(v, np.float64).tobytes() for v in pdf.vec]})
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
