@@ -599,3 +599,10 @@ def xml_feed(spark, sf):
 def url_predicates(spark, sf):
     url = F.col("url")
     return table(spark, sf, "pages").select("page_id", F.try_parse_url(url, F.lit("HOST")).alias("host"), U.article_like_url(url).alias("article_like"), U.listed_article_url(url, "thther.example.org", "/en").alias("listed"))
+
+
+@query()
+def news_pipeline(spark, sf):
+    from tessera.plans import pipeline
+
+    return pipeline.run(articles(spark, sf), LEX, DIMS)
