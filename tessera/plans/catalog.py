@@ -318,7 +318,11 @@ def normalized_titles(spark, sf):
 
 # Selection -----------------------------------------------------------------------------------------------------------
 
-DIMS = {d: (F.col("id") * (7 + i) % 12).cast("double") for i, d in enumerate(selection.DIMENSIONS)}
+
+def _dims():
+    return {d: (F.col("id") * (7 + i) % 12).cast("double") for i, d in enumerate(selection.DIMENSIONS)}
+
+
 EVENT = "CASE " + " ".join(f"WHEN {S.like('title', p)} THEN {S.q(n)}" for n, p in LEX.events) + " END"
 FLOOR = ", ".join(f"CASE WHEN lift AND ev = '{d}' THEN least(20, d{i} + 8 - score) ELSE d{i} END AS {d}" for i, d in enumerate(selection.DIMENSIONS))
 
@@ -330,7 +334,7 @@ FLOOR = ", ".join(f"CASE WHEN lift AND ev = '{d}' THEN least(20, d{i} + 8 - scor
 )
 def objective_floor(spark, sf):
     tier = T.content_tier(F.col("content"), F.lit(None).cast("string"))
-    r = selection.objective_floor(F.col("title"), tier, F.col("score"), DIMS, LEX)
+    r = selection.objective_floor(F.col("title"), tier, F.col("score"), _dims(), LEX)
     return articles(spark, sf).select("id", r.alias("r")).select("id", "r.*")
 
 
@@ -605,4 +609,4 @@ def url_predicates(spark, sf):
 def news_pipeline(spark, sf):
     from tessera.plans import pipeline
 
-    return pipeline.run(articles(spark, sf), LEX, DIMS)
+    return pipeline.run(articles(spark, sf), LEX, _dims())
