@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import settle  # noqa: F401
+
 #: Characters that part words, as a regular expression class for Spark and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: lineage ends here and a lost executor costs no rework."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of any name can't clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])

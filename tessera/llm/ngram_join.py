@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import hash_words, mix64, only, settle, shingle_hashes, word_list
-from tessera.llm.components import connected
+from tessera.operators.graph import connected
 
 #: Bits of the filters: fixed, so they may go to every task whatever the size of the input.
 BITS = 1 << 22
@@ -92,18 +92,30 @@ def _sets(size: int, wanted, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
     for pdf in batches:
         ids = pdf.doc_id.to_numpy(np.int64)
         keep = np.flatnonzero(_holds(wanted.value, mix64(ids.view(np.uint64)).view(np.int64)))
-        yield pd.DataFrame({"node": ids[keep], "grams": [shingle_set(pdf.text.iloc[i], size) for i in keep]})
+        if len(keep):
+            yield pd.DataFrame({"node": ids[keep], "grams": [shingle_set(pdf.text.iloc[i], size) for i in keep]})
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of candidate ``pairs`` (a, b: rows by their node), those whose overlap over all columns is enough."""
-    pairs = settle(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_bit_table(nodes.mapInPandas(_marks, "h long").select(*_slots("h"))))
-    sets = docs.mapInPandas(functools.partial(_sets, size, wanted), "node long, grams array<long>")
+def _linked(docs: DataFrame, cells: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of candidate ``pairs`` (a, b: rows by their node), those whose overlap over all columns is enough.
+
+    First the overlap within the first blocks of columns is counted. Of the row whose block ends earlier, all columns
+    shared up to there lie in the other's block, so the overlap is at most this count plus what either row has left.
+    """
+    left, right = cells.select("gram", F.col("node").alias("a"), F.col("n").alias("na")), cells.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"))
+    blocks = pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    after = F.ceil(F.greatest("na", "nb") * num / F.lit(float(den))) - 1
+    likely = settle(blocks.filter(F.col("hits") + after >= required(F.col("na"), F.col("nb"), num, den)).select("a", "b"), "likely")
+    if not likely.take(1):
+        return likely
+
+    def sets(side: str) -> DataFrame:
+        marks = likely.select(F.col(side).alias("node")).distinct().mapInPandas(_marks, "h long")
+        wanted = docs.sparkSession.sparkContext.broadcast(_bit_table(marks.select(*_slots("h"))))
+        return docs.mapInPandas(functools.partial(_sets, size, wanted), "node long, grams array<long>")
+
     # a repeated row may bring its set twice: links are distinct in the end
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = pairs.join(left, "a").join(right, "b")
+    both = likely.join(sets("a").toDF("a", "x"), "a").join(sets("b").toDF("b", "y"), "b")
     overlap = F.size(F.array_intersect("x", "y"))
     return settle(both.filter(overlap * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"), "linked")
 
@@ -142,7 +154,7 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     met = cells.join(lead, "gram").filter((F.col("node") != F.col("a")) & room(F.col("n"), F.col("p"), F.col("na"), F.col("pa")))
     met = met.groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("hits"))
     best = Window.partitionBy("b").orderBy(F.col("hits").desc(), "a")
-    links = _linked(texts, met.withColumn("k", F.row_number().over(best)).filter("k <= 2").select("a", "b"), size, num, den)
+    links = _linked(texts, cells, met.withColumn("k", F.row_number().over(best)).filter("k = 1").select("a", "b"), size, num, den)
 
     group = settle(connected(links), "groups")
     grouped = cells.join(group, "node", "left").select("gram", "node", "n", "p", F.coalesce("component", "node").alias("c"))
@@ -154,7 +166,7 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     open_ = larger.join(bound, "gram").filter((F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
     smaller = heads.select("gram", F.col("n").alias("na"), F.col("c").alias("ca"), F.col("node").alias("a"), F.col("p").alias("p1"))
     pairs = open_.drop("pa").join(smaller, ["gram", "na", "ca"]).filter(room(F.col("na"), F.col("p1"), F.col("nb"), F.col("pb")))
-    more = _linked(texts, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, num, den)
+    more = _linked(texts, cells, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, num, den)
     known = settle(connected(links.union(more)), "components")
 
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
