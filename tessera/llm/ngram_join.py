@@ -28,7 +28,7 @@ from tessera.operators.graph import connected
 #: Bits of the filters: fixed, so they may go to every task whatever the size of the input.
 BITS = 1 << 22
 #: An n-gram seen so often in one batch is counted as frequent, and placed last if all batches have seen it so often.
-IN_BATCH, IN_ALL = 8, 32
+IN_BATCH, IN_ALL = 3, 24
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -140,7 +140,8 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("first").alias("first"))
     cells = nodes.select("node", "n", F.posexplode("first").alias("p", "gram")).select("gram", "node", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"))
     shared = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram")
-    cells = settle(cells.join(shared, "gram"), "cells")
+    # what is summed is written before it is joined back, so that a column of very many rows can be split in the join
+    cells = settle(cells.join(settle(shared, "shared"), "gram"), "cells")
     n, p = F.shiftright("np", 32), F.col("np").bitwiseAND(F.lit((1 << 32) - 1))
     cells = cells.select("gram", "node", n.alias("n"), p.alias("p"))
     # the smaller (or equal) row of a linked pair has a shared column among these
@@ -151,6 +152,7 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
         return (small * den >= large * num) & (F.least(n1 - p1, n2 - p2) >= required(n1, n2, num, den))
 
     lead = head.groupBy("gram").agg(F.min(F.struct("p", "node", "n")).alias("l")).select("gram", F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("l.p").alias("pa"))
+    lead = settle(lead, "lead")
     met = cells.join(lead, "gram").filter((F.col("node") != F.col("a")) & room(F.col("n"), F.col("p"), F.col("na"), F.col("pa")))
     met = met.groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("hits"))
     best = Window.partitionBy("b").orderBy(F.col("hits").desc(), "a")
@@ -159,9 +161,10 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     group = settle(connected(links), "groups")
     grouped = cells.join(group, "node", "left").select("gram", "node", "n", "p", F.coalesce("component", "node").alias("c"))
     mixed = grouped.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram")
-    rest = settle(grouped.join(mixed, "gram"), "rest")
+    rest = settle(grouped.join(settle(mixed, "mixed"), "gram"), "rest")
     heads = rest.filter(F.col("n") - F.col("p") >= required(F.col("n"), F.col("n"), num, den))
     bound = heads.groupBy("gram", F.col("n").alias("na"), F.col("c").alias("ca")).agg(F.min("p").alias("pa"))
+    bound = settle(bound, "bound")
     larger = rest.toDF("gram", "b", "nb", "pb", "cb")
     open_ = larger.join(bound, "gram").filter((F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & room(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
     smaller = heads.select("gram", F.col("n").alias("na"), F.col("c").alias("ca"), F.col("node").alias("a"), F.col("p").alias("p1"))
@@ -169,7 +172,7 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     more = _linked(texts, cells, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, num, den)
     known = settle(connected(links.union(more)), "components")
 
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    classes = settle(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     named_rows = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(known, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
     return named_rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
