@@ -26,8 +26,8 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, window_s: int, limit:
     """Each request with its number in its window and whether it passes.
 
     A window begins with the first request after the one before has ended, so it depends on all earlier requests of
-    the key: a fold over the key's times in order, one hour-free pass for each key. A key's requests must fit a row;
-    longer histories belong in the streaming form, which keeps one window for each key.
+    the key: a fold over the key's times in order. A key's requests must fit a row; longer histories belong in the
+    streaming form, which keeps one window for each key.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(tie).alias("tie")))).alias("rows"))
