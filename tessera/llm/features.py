@@ -12,7 +12,7 @@ from tessera.llm.common import mix64
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Hash slots of features, and characters of text that are handled together.
-SLOTS, BATCH_CHARS = 1 << 18, 4_000_000
+SLOTS, BATCH_CHARS = 1 << 18, 500_000
 
 
 def pieces(pdf: pd.DataFrame, column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:

@@ -141,8 +141,11 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, true
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` labelled documents that are not held out: the first in the order of a hash of doc_id."""
-    known = only(docs, "doc_id", "text", "lang").filter(f"text is not null and lang is not null and not {HELD_OUT}")
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").select("text", "lang").limit(sample).collect()
+    named = only(docs, "doc_id", "text", "lang").filter(f"text is not null and lang is not null and not {HELD_OUT}")
+    chosen = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # the ids alone are sorted; at most ``sample`` of them are broadcast to fetch the texts
+    rows = named.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").distinct().collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text, r.lang))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 

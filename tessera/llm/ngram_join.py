@@ -22,11 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bits import bit_table, holds, id_hashes, id_table
 from tessera.llm.common import hash_words, mix64, only, settle, shingle_hashes, word_list
 from tessera.operators.graph import connected
 
-#: Bits of the filters: fixed, so they may go to every task whatever the size of the input.
-BITS = 1 << 22
 #: An n-gram seen so often in one batch is counted as frequent, and placed last if all batches have seen it so often.
 IN_BATCH, IN_ALL = 3, 24
 
@@ -42,24 +41,6 @@ def required(n: Column | int, m: Column | int, num: int, den: int) -> Column:
     return F.floor((total + (den + num - 1)) / F.lit(den + num)).cast("long")
 
 
-def _bit_table(bits: DataFrame) -> np.ndarray:
-    """A filter of BITS bits from rows of (slot, bits), at most BITS / 64 of them."""
-    table = np.zeros(BITS // 64, np.int64)
-    for r in bits.groupBy("slot").agg(F.bit_or("bits").alias("bits")).collect():
-        table[r.slot] = r.bits
-    return table.view(np.uint64)
-
-
-def _holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h.view(np.uint64) & np.uint64(BITS - 1)
-    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-
-
-def _slots(column: str) -> list[Column]:
-    at = F.col(column).bitwiseAND(F.lit(BITS - 1))
-    return [F.shiftright(at, 6).cast("int").alias("slot"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bits")]
-
-
 def _frequent(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingle_set(t, size) for t in pdf.text]
@@ -76,22 +57,17 @@ def _rows(size: int, num: int, den: int, frequent, batches: Iterator[pd.DataFram
             with np.errstate(over="ignore"):
                 u = s.view(np.uint64)
                 d1, d2 = mix64(u).sum(dtype=np.uint64), mix64(u ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-            first = s[np.lexsort((s, _holds(frequent.value, s)))][: n - -(-num * n // den) + 1] if n else s
+            first = s[np.lexsort((s, holds(frequent.value, s)))][: n - -(-num * n // den) + 1] if n else s
             out.append((n, int(d1.view(np.int64)), int(d2.view(np.int64)), first))
         frame = pd.DataFrame(out, columns=["n", "d1", "d2", "first"])
         frame.insert(0, "doc_id", pdf.doc_id.to_numpy())
         yield frame
 
 
-def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"h": mix64(pdf.node.to_numpy(np.int64).view(np.uint64)).view(np.int64)})
-
-
 def _sets(size: int, wanted, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids = pdf.doc_id.to_numpy(np.int64)
-        keep = np.flatnonzero(_holds(wanted.value, mix64(ids.view(np.uint64)).view(np.int64)))
+        keep = np.flatnonzero(holds(wanted.value, id_hashes(ids)))
         if len(keep):
             yield pd.DataFrame({"node": ids[keep], "grams": [shingle_set(pdf.text.iloc[i], size) for i in keep]})
 
@@ -110,8 +86,7 @@ def _linked(docs: DataFrame, cells: DataFrame, pairs: DataFrame, size: int, num:
         return likely
 
     def sets(side: str) -> DataFrame:
-        marks = likely.select(F.col(side).alias("node")).distinct().mapInPandas(_marks, "h long")
-        wanted = docs.sparkSession.sparkContext.broadcast(_bit_table(marks.select(*_slots("h"))))
+        wanted = docs.sparkSession.sparkContext.broadcast(id_table(likely.select(side)))
         return docs.mapInPandas(functools.partial(_sets, size, wanted), "node long, grams array<long>")
 
     # a repeated row may bring its set twice: links are distinct in the end
@@ -120,6 +95,19 @@ def _linked(docs: DataFrame, cells: DataFrame, pairs: DataFrame, size: int, num:
     return settle(both.filter(overlap * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"), "linked")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """node, c: a label that a row shares only with rows it is linked to, over few steps. ``links`` has one a for each b.
+
+    Labels need not be whole components here: they save pairs that need not be looked at again.
+    """
+    back = links.select(F.col("b").alias("x"), F.col("a").alias("y"))
+    once = links.join(back, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").filter("x is null or b > a").select(F.col("b").alias("node"), F.col("a").alias("c"))
+    for _ in range(2):
+        up = once.select(F.col("node").alias("c"), F.col("c").alias("above"))
+        once = settle(once.join(up, "c", "left").select("node", F.coalesce("above", "c").alias("c")), "stars")
+    return once
+
+
 def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -132,12 +120,12 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     named = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = named.filter(F.col("doc_id").isNotNull())
     often = named.select("text").mapInPandas(functools.partial(_frequent, size), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= IN_ALL)
-    frequent = sc.broadcast(_bit_table(often.select(*_slots("h"))))
+    frequent = sc.broadcast(bit_table(often.select("h")))
     rows = settle(named.mapInPandas(functools.partial(_rows, size, num, den, frequent), "doc_id long, n long, d1 long, d2 long, first array<long>"), "rows")
 
     # rows of the matrix: distinct sets, named by their smallest document
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("first").alias("first"))
+    nodes = settle(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("first").alias("first")), "nodes")
     cells = nodes.select("node", "n", F.posexplode("first").alias("p", "gram")).select("gram", "node", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"))
     shared = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram")
     # what is summed is written before it is joined back, so that a column of very many rows can be split in the join
@@ -158,8 +146,8 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     best = Window.partitionBy("b").orderBy(F.col("hits").desc(), "a")
     links = _linked(texts, cells, met.withColumn("k", F.row_number().over(best)).filter("k = 1").select("a", "b"), size, num, den)
 
-    group = settle(connected(links), "groups")
-    grouped = cells.join(group, "node", "left").select("gram", "node", "n", "p", F.coalesce("component", "node").alias("c"))
+    group = _stars(links)
+    grouped = cells.join(group, "node", "left").select("gram", "node", "n", "p", F.coalesce("c", "node").alias("c"))
     mixed = grouped.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("gram")
     rest = settle(grouped.join(settle(mixed, "mixed"), "gram"), "rest")
     heads = rest.filter(F.col("n") - F.col("p") >= required(F.col("n"), F.col("n"), num, den))
@@ -172,8 +160,7 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     more = _linked(texts, cells, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), size, num, den)
     known = settle(connected(links.union(more)), "components")
 
-    classes = settle(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    named_rows = rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(known, "node", "left")
+    named_rows = rows.select("doc_id", "n", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(known, "node", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
     return named_rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 

@@ -56,13 +56,25 @@ def _sums(weights: np.ndarray, slots: np.ndarray, text: np.ndarray, word: np.nda
     return np.bincount(text, weights[slots].sum(1)[word], n)
 
 
+def _in_parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """distinct_words of a long list, made part by part to spare memory."""
+    slots, text, word, done = [], [], [], 0
+    for part in pieces(pd.DataFrame({"text": texts, "i": range(len(texts))})):
+        s, t, w = distinct_words(list(part.text))
+        slots.append(s.astype(np.int32))
+        text.append(t + part.i.iloc[0])
+        word.append(w + done)
+        done += len(s)
+    return np.concatenate(slots), np.concatenate(text), np.concatenate(word)
+
+
 def fit(texts: list[str], grades: list[int]) -> Model | None:
     """Maximum likelihood with sparse weights, by adaptive proximal steps over the whole sample."""
     values = np.unique(grades)
     if not len(values):
         return None
     y, n, levels = np.searchsorted(values, grades), len(grades), len(values)
-    slots, text, word = distinct_words(texts)
+    slots, text, word = _in_parts(texts)
     share = np.cumsum(np.bincount(y, minlength=levels))[:-1] / n
     cuts = np.log(share / (1 - share))
     w, seen, rate = np.zeros(SLOTS), np.zeros(SLOTS), RATE
