@@ -15,6 +15,7 @@ only where these leave room. The result is the exact set of components.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ from tessera.llm.bits import bit_table, holds, id_hashes, id_table
 from tessera.llm.common import hash_words, mix64, only, settle, shingle_hashes, word_list
 from tessera.operators.graph import connected
 
-#: An n-gram seen so often in one batch is counted as frequent, and placed last if all batches have seen it so often.
-IN_BATCH, IN_ALL = 3, 24
+#: N-grams are counted when about so many are held. One seen so often in one count is reported, and is placed last if all
+#: reports together have seen it so often.
+COUNTED, IN_BATCH, IN_ALL = 4_000_000, 3, 24
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -41,11 +43,24 @@ def required(n: Column | int, m: Column | int, num: int, den: int) -> Column:
     return F.floor((total + (den + num - 1)) / F.lit(den + num)).cast("long")
 
 
+def _often(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that ``h`` holds ``least`` times or more, and how often. Sorts ``h`` in place and copies only these."""
+    h.sort()
+    ahead = least - 1
+    values, c = np.unique(h[: len(h) - ahead][h[ahead:] == h[: len(h) - ahead]], return_counts=True)
+    return values, c + ahead
+
+
 def _frequent(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        sets = [shingle_set(t, size) for t in pdf.text]
-        h, c = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
-        yield pd.DataFrame({"h": h[c >= IN_BATCH], "c": c[c >= IN_BATCH]})
+    held, n = [], 0
+    for pdf in itertools.chain(batches, [None]):
+        for text in [] if pdf is None else pdf.text:
+            held.append(shingle_set(text, size))
+            n += len(held[-1])
+        if held and (pdf is None or n >= COUNTED):
+            values, c = _often(np.concatenate(held), IN_BATCH)
+            held, n = [], 0
+            yield pd.DataFrame({"h": values, "c": c})
 
 
 def _rows(size: int, num: int, den: int, frequent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

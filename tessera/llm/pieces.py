@@ -25,7 +25,7 @@ from tessera.llm.common import only
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Characters of text that are encoded together, and words remembered between batches.
-BATCH_CHARS, REMEMBERED = 2_000_000, 300_000
+BATCH_CHARS, REMEMBERED = 500_000, 300_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -201,9 +201,13 @@ class Model:
             before = word
         return out
 
+    def marked(self, texts: list[str]) -> list[list[str]]:
+        """The marked words of each text."""
+        return [self.words.findall((MARK if self.prefix and t else "") + t.replace(" ", MARK)) for t in texts]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; distinct words are encoded once."""
-        marked = [self.words.findall((MARK if self.prefix and t else "") + t.replace(" ", MARK)) for t in texts]
+        marked = self.marked(texts)
         fresh = set().union(*marked).difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
@@ -211,6 +215,11 @@ class Model:
         self.known |= self.encode_words(list(fresh))
         return [np.array([i for w in words for i in self.known[w]], np.int32) for words in marked]
 
+    def forget(self, texts: list[str]) -> None:
+        """Keep the words of these texts alone: a worker goes on to other work with little memory taken."""
+        kept = {w for words in self.marked(texts) for w in words}
+        self.known = {w: ids for w, ids in self.known.items() if w in kept}
+
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -222,7 +231,7 @@ def _model(proto: bytes, model_type: int | None) -> Model:
 
 
 def _encoded(proto, model_type: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model = _model(proto.value, model_type)
+    model, texts = _model(proto.value, model_type), []
     for pdf in batches:
         lengths = pdf.text.str.len().fillna(0).to_numpy(float)
         for _, part in pdf.groupby((np.cumsum(lengths) // BATCH_CHARS).astype(int), sort=True):
@@ -237,6 +246,7 @@ def _encoded(proto, model_type: int | None, batches: Iterator[pd.DataFrame]) ->
                     "decodes": [model.decode(x) == t for x, t in zip(ids, texts, strict=True)],
                 }
             )
+    model.forget(texts)
 
 
 def _decoded(proto, model_type: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
