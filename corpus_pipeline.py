@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, pieces.default_model())
 
 
+def small_batches(stage):
+    """The stage with whole texts going to Python 2,000 at a time, so that workers and Arrow buffers stay small."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", known_language),
-    ("near_duplicates", one_of_each_group),
-    ("secrets", without_secrets),
-    ("mixture", mixed),
-    ("tokens", tokens),
+    ("language", small_batches(known_language)),
+    ("near_duplicates", small_batches(one_of_each_group)),
+    ("secrets", small_batches(without_secrets)),
+    ("mixture", small_batches(mixed)),
+    ("tokens", small_batches(tokens)),
 ]
 
 #: SQL can't express the language model or the tokenizer; the tests compare the stages with brute force.
