@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from tessera.llm import ngram_join
 
 SCHEMA = "doc_id long, text string, node string, gram int, component_id int"
@@ -79,3 +81,11 @@ def test_empty_table_and_rows_without_id(spark):
     got = ngram_join.components(frame(spark, [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e")])).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got if r.doc_id) == [(3, 2, 3), (3, 2, 3)]
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(2, None)]
+
+
+def test_frequent_ngrams_are_counted_across_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNTED", 10)
+    batches = [["a b c d e f g"] * 2, [None, "", "a b c d e f g"], ["x y z w"] * 2]
+    found = list(ngram_join._frequent(4, iter([pd.DataFrame({"text": b}) for b in batches])))
+    assert [f.c.tolist() for f in found] == [[3] * 4, []]
+    assert set(found[0].h) == set(ngram_join.shingle_set("a b c d e f g", 4))
