@@ -1,9 +1,10 @@
 """Secret scan with a recursive decoding worklist.
 
 Three fixed patterns are matched over every whole text. Then each layer of a text is unwrapped - URL escapes and Unicode
-escapes in place, base64 runs and what is compressed inside them as layers of their own - and each new layer is scanned
-and unwrapped in turn until none is new. A layer's characters know the span of the text that they came from, so matches
-inside layers are reported as spans of the text. Layers already seen are not opened again, which ends cycles.
+escapes and wide characters in place, base64 runs (of one line or of several) and what is compressed inside them as layers
+of their own - and each new layer is scanned and unwrapped in turn until none is new. A layer's characters know the span of
+the text that they came from, so matches inside layers are reported as spans of the text. A layer already seen at the same
+span is not opened again, which ends cycles; the same layer at another place of the text is.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,7};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 broken into lines (line breaks as such or as written in strings); the last line may be short.
+BREAK = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*")
+LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+#: Characters of UTF-16 or UTF-32, as far as the patterns can use them, read as bytes.
+WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e]\x00{3}){4,}|(?:\x00{3}[\t\n\r\x20-\x7e]){4,}|(?:[\t\n\r\x20-\x7e]\x00){4,}|(?:\x00[\t\n\r\x20-\x7e]){4,}")
 #: A layer larger than this after decompression is left closed, and the document says so in ``n_closed``.
 MAX_LAYER = 1 << 26
 
@@ -52,30 +58,56 @@ def matches(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """What a compressed block holds, and whether it was too large; None if it is not compressed."""
+def _member(raw: bytes, room: int) -> tuple[bytes, bytes] | None:
+    """What the first compressed member of ``raw`` holds, up to ``room`` bytes, and what follows it; None if it has none.
+
+    Of a broken member what can be read before the break is taken."""
+    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
+        d = zlib.decompressobj(47)
+    elif raw[:3] == b"BZh":
+        d = bz2.BZ2Decompressor()
+    elif raw[:6] == b"\xfd7zXZ\x00":
+        d = lzma.LZMADecompressor()
+    else:
+        return None
+    out, size, at = [], 0, 0
     try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            return None, False
-        out = d.decompress(raw, MAX_LAYER + 1)
+        while at < len(raw) and size < room and not d.eof:
+            piece = raw[at : at + 4096]
+            at += len(piece)
+            while size < room:
+                got = d.decompress(piece, room - size)
+                out.append(got)
+                size += len(got)
+                piece = getattr(d, "unconsumed_tail", b"")
+                if d.eof or not piece and (not got or getattr(d, "needs_input", True)):
+                    break
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None, False
-    return (None, True) if len(out) > MAX_LAYER else (out, False)
+        return (b"".join(out), b"") if size else None
+    return b"".join(out), d.unused_data + raw[at:] if d.eof else b""
+
 
+def _inflate(raw: bytes) -> tuple[bytes | None, bytes, bool]:
+    """What the compressed members of a block hold together, what follows them, and whether it was too large.
 
-def _readable(raw: bytes) -> str | None:
+    None if the block is not compressed."""
+    out, size, rest = [], 0, raw
+    while got := _member(rest, MAX_LAYER + 1 - size):
+        out.append(got[0])
+        size += len(got[0])
+        if size > MAX_LAYER:
+            return None, b"", True
+        rest = got[1].lstrip(b"\0")  # members may be padded
+    return (b"".join(out), rest, False) if out else (None, raw, False)
+
+
+def _as_text(raw: bytes) -> tuple[str, np.ndarray]:
+    """Bytes as UTF-8, else one character for each byte; the place of each character's first byte, and the end."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    plain = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return text if text and plain >= 0.95 * len(text) else None
+        return raw.decode("latin-1"), np.arange(len(raw) + 1)
+    return text, np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
 
 
 def _in_place(text: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray, np.ndarray, np.ndarray] | None:
@@ -129,40 +161,72 @@ def _unicode(run: str) -> list[tuple[str, int, int]] | None:
     return out or None
 
 
-def _runs(text: str) -> Iterator[tuple[str | None, int, int, np.ndarray | None, bool]]:
-    """Layers inside base64 runs: text, span of the run, each character's first byte unless compressed, too large."""
+def _wide(run: str) -> list[tuple[str, int, int]] | None:
+    held = [i for i, c in enumerate(run) if c != "\0"]
+    width = len(run) // len(held)
+    return [(run[i], k * width, (k + 1) * width) for k, i in enumerate(held)]
+
+
+def _pieces(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans whose characters, joined, may be base64: each run alone, and runs that line breaks part.
+
+    Of lines that follow each other all together are tried, all but the first (which may end something else), and each
+    block of lines of one length with the shorter line that ends it."""
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        yield [m.span()]
+    for m in LINES.finditer(text):
+        cuts = [m.start(), *(m.start() + x for b in BREAK.finditer(m[0]) for x in b.span()), m.end()]
+        lines = list(zip(cuts[::2], cuts[1::2], strict=True))
+        n, sizes = len(lines), [b - a for a, b in lines]
+        tried = {(0, n), (1, n)}
+        i = 0
+        while i < n:
+            j = i + 1
+            while j < n and sizes[j] == sizes[i]:
+                j += 1
+            j += j < n and sizes[j] < sizes[i]
+            tried.add((i, j))
+            i = j
+        yield from (lines[i:j] for i, j in sorted(tried) if j - i > 1)
+
+
+def _runs(text: str) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Bytes of base64 runs, and the start and end in ``text`` of the characters that hold each byte."""
+    for spans in _pieces(text):
+        body = "".join(text[a:b] for a, b in spans).rstrip("=").replace("-", "+").replace("_", "/")
         body = body[: len(body) - (len(body) % 4 == 1)]
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        inner, large = _inflate(raw)
-        if large:
-            yield None, m.start(), m.end(), None, True
+        if not raw:
             continue
-        squeezed = inner is not None
-        while inner is not None:  # compressed more than once
-            raw = inner
-            inner, large = _inflate(raw)
-        layer = _readable(raw)
-        if layer is not None:
-            first = None if squeezed else np.cumsum([0, *(len(c.encode("utf-8")) for c in layer)])
-            yield layer, m.start(), m.end(), first, False
+        places = np.concatenate([np.arange(a, b) for a, b in spans])
+        byte = np.arange(len(raw)) // 3 * 4  # three bytes in four characters
+        yield raw, places[byte], places[np.minimum(byte + 4, len(places)) - 1] + 1
+
+
+def _at(places: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """``places[index]``; places that are all one, as those of compressed layers, stay one number."""
+    return np.broadcast_to(places[0], len(index)) if len(places) and places.strides == (0,) else places[index]
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Base matches, all matches (start, kind, end), layers opened, layers left closed for their size."""
     text = text or ""
     base = matches(text)
-    spans, seen, closed = set(base), {text}, 0
+    spans, seen, opened, closed = set(base), set(), 0, 0
     work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]  # None: the text itself
 
     def push(layer: str, starts: np.ndarray, ends: np.ndarray, fresh: np.ndarray | None) -> None:
-        if layer in seen:
+        nonlocal opened
+        if not layer:
+            return
+        key = (layer, int(starts.min()), int(ends.max()))
+        if key in seen or layer == text:
             return
-        seen.add(layer)
+        seen.add(key)
+        opened += 1
         for a, kind, b in matches(layer):
             if fresh is None or fresh[a:b].any():
                 spans.add((int(starts[a:b].min()), kind, int(ends[a:b].max())))
@@ -170,21 +234,32 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
 
     while work:
         layer, starts, ends = work.pop()
-        for mark, pattern, decode in (("%", URL_ESCAPE, _url), ("\\&", UNICODE_ESCAPE, _unicode)):
+        for mark, pattern, decode in (("%", URL_ESCAPE, _url), ("\\&", UNICODE_ESCAPE, _unicode), ("\0", WIDE, _wide)):
             if any(c in layer for c in mark) and (got := _in_place(layer, pattern, decode)):
                 new, a, b, fresh = got
-                push(new, a if starts is None else starts[a], b if ends is None else ends[b - 1], fresh)
-        for inner, a, b, first, large in _runs(layer):
-            closed += large
-            if inner is None:
-                continue
-            n = len(inner)
-            if first is None:
-                s, e = np.full(n, a), np.full(n, b)
-            else:  # three bytes in four characters
-                s, e = a + first[:-1] // 3 * 4, np.minimum(b, a + -(-first[1:] // 3) * 4)
-            push(inner, s if starts is None else starts[s], e if ends is None else ends[e - 1], None)
-    return base, sorted(spans), len(seen) - 1, closed
+                push(new, a if starts is None else _at(starts, a), b if ends is None else _at(ends, b - 1), fresh)
+        blocks = ((raw, a if starts is None else _at(starts, a), b if ends is None else _at(ends, b - 1)) for raw, a, b in _runs(layer))
+        for block in blocks:
+            packed = [block]
+            while packed:
+                raw, a, b = packed.pop()
+                lo, hi = int(a.min()), int(b.max())
+                inner, rest, large = _inflate(raw)
+                if inner is None and not large:
+                    new, at = _as_text(raw)
+                    push(new, _at(a, at[:-1]), _at(b, at[1:] - 1), None)
+                    continue
+                key = (hashlib.sha256(raw).digest(), lo, hi)
+                if key in seen:
+                    continue
+                seen.add(key)
+                closed += large
+                hi = hi if large else int(b[: len(b) - len(rest)].max())
+                if inner:
+                    packed.append((inner, np.broadcast_to(np.int64(lo), len(inner)), np.broadcast_to(np.int64(hi), len(inner))))
+                if rest:
+                    packed.append((rest, a[len(a) - len(rest) :], b[len(b) - len(rest) :]))
+    return base, sorted(spans), opened, closed
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -1,7 +1,10 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
+import struct
 import zlib
 
 from tessera.llm import secrets
@@ -74,3 +77,49 @@ def test_masking_takes_every_secret_out():
     m = secrets.mask(t)
     assert m.startswith("keep [SECRET]") and m.endswith(" end") and not secrets.scan(m)[1]
     assert secrets.mask(None) is None and secrets.mask("plain") == "plain"
+
+
+def coded(raw):
+    return base64.b64encode(raw).decode()
+
+
+def test_a_gzip_that_unpacks_to_itself_ends(monkeypatch):
+    real = secrets._member
+    monkeypatch.setattr(secrets, "_member", lambda raw, room: (raw, b"") if raw[:4] == b"\x1f\x8b\x08Q" else real(raw, room))
+    assert secrets.scan(coded(b"\x1f\x8b\x08Q" + bytes(60)))[1] == []
+
+
+def test_a_large_second_layer_is_counted(monkeypatch):
+    monkeypatch.setattr(secrets, "MAX_LAYER", 10_000)
+    assert secrets.scan(coded(gzip.compress(gzip.compress(bytes(20_000)))))[3] == 1
+    assert secrets.scan(coded(gzip.compress(gzip.compress(bytes(9_000)))))[3] == 0
+
+
+def test_every_member_and_what_follows_is_read():
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        for body in (pack(b"nothing") + pack(KEY.encode()), pack(KEY[:8].encode()) + pack(KEY[8:].encode()), pack(b"nothing") + f" {KEY}".encode(), pack(pack(b"a") + pack(KEY.encode()))):
+            assert [k for _, k in spans(f"a {coded(body)} b")] == ["assign"]
+    assert spans("a " + coded(bz2.compress(bytes(100_000)) + gzip.compress(b"x" * 300_000 + f" {AKIA}".encode())))
+
+
+def test_base64_over_lines():
+    for nl in ("\n", "\r\n", "\n    ", "\\n"):
+        for raw in (b"x" * 50 + KEY.encode(), gzip.compress(bytes(range(256)) * 2 + f" {KEY}".encode(), 0)):
+            body = coded(raw)
+            text = "key: " + nl.join(body[i : i + 76] for i in range(0, len(body), 76)) + "\nThe end"
+            assert "assign" in [k for _, k in spans(text)]
+            assert secrets.mask(text).startswith("key: ") and secrets.mask(text).endswith("\nThe end")
+    # the span of a secret across two lines
+    body = coded(b"x" * 50 + AKIA.encode())
+    text = f"{body[:76]}\n{body[76:]} b"
+    (a, kind, b), = secrets.scan(text)[1]
+    assert (kind, a, b) == (1, 64, len(text) - 2)
+
+
+def test_layers_that_are_not_plain_text_are_scanned():
+    for raw in (b"\0\1".join([b"\xff\xfe", KEY.encode(), bytes(90)]), KEY.encode("utf-16"), KEY.encode("utf-16-be"), KEY.encode("utf-32"), struct.pack("<9d", *range(9)) + KEY.encode()):
+        assert [k for _, k in spans(f"a {coded(raw)} b")] == ["assign"], raw
+
+
+def test_the_same_layer_twice_is_found_twice():
+    assert len(spans(f"{coded(KEY.encode())} and {coded(KEY.encode())}")) == 2
