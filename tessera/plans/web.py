@@ -76,10 +76,10 @@ def stream_failure_streaks(spark, sf):
 
 @query("SELECT user_id, min(ts) AS first_ts FROM events GROUP BY user_id")
 def stream_first_by_key(spark, sf):
-    rows = table(spark, sf, "events")
-    events = jobs.read_table(spark, sf, "events", rows.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    kept = jobs.drain(jobs.first_by_link(events, "user_id", "ts", "365 days"), "first_by_key")
-    return kept.groupBy("user_id").agg(F.min("ts").cast("timestamp_ntz").alias("first_ts"))
+    events = jobs.read_table(spark, sf, "events", table(spark, sf, "events").schema)
+    # the state is the least time so far, whatever the order of arrival
+    least = jobs.drain(events.groupBy("user_id").agg(F.min("ts").alias("first_ts")), "first_by_key", "update")
+    return least.groupBy("user_id").agg(F.min("first_ts").cast("timestamp_ntz").alias("first_ts"))
 
 
 @query(

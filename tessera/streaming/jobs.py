@@ -72,10 +72,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, schema: StructType)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one else reader.parquet(path)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there, into the shared folder, and read what it wrote."""
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, into the shared folder, and read what it wrote.
+
+    In mode "update" that is every state a row has had after a batch."""
     import uuid
 
     out = f"{shared_dir(stream.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+    if mode == "append":
+        writer = stream.writeStream.format("parquet").option("path", f"{out}/rows")
+    else:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"))
+    writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
