@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def failure_streaks(df: DataFrame, source: str, order: list[str], failed: str, warn: int = 3, critical: int = 12) -> DataFrame:
@@ -26,17 +31,24 @@ def rate_limit(df: DataFrame, key: str, ts: str, tie: str, window_s: int, limit:
     """Each request with its number in its window and whether it passes.
 
     A window begins with the first request after the one before has ended, so it depends on all earlier requests of
-    the key: a fold over the key's times in order. A key's requests must fit a row; longer histories belong in the
-    streaming form, which keeps one window for each key.
+    the key: a fold over the key's times in order. Spark sorts the requests, and only a key's window is held.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(micros.alias("t"), F.col(tie).alias("tie")))).alias("rows"))
-    start = F.expr("named_struct('from', cast(null as bigint), 'n', 0, 'out', cast(array() as array<struct<tie: bigint, n: int>>))")
-
-    def step(acc, r):
-        new = acc["from"].isNull() | (r["t"] - acc["from"] > window_s * 1_000_000)
-        n = F.when(new, F.lit(1)).otherwise(acc["n"] + 1)
-        return F.struct(F.when(new, r["t"]).otherwise(acc["from"]).alias("from"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(r["tie"].alias("tie"), n.alias("n")))).alias("out"))
-
-    out = rows.select(key, F.explode(F.aggregate("rows", start, step)["out"]).alias("o"))
-    return out.select(key, F.col("o.tie").alias(tie), F.col("o.n").alias("in_window"), (F.col("o.n") <= limit).alias("allowed"))
+    rows = df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"), tie).repartition(key).sortWithinPartitions(key, "_micros", tie)
+    schema = T.StructType([df.schema[key], df.schema[tie], T.StructField("in_window", T.IntegerType()), T.StructField("allowed", T.BooleanType())])
+    return rows.mapInArrow(functools.partial(_numbered, window_s * 1_000_000, limit), schema)
+
+
+def _numbered(width: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, start, n = object(), None, 0
+    for batch in batches:
+        counts = []
+        for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if key != held:
+                held, start, n = key, None, 0
+            # a request without a time joins the window that is open
+            if start is None or t is not None and t - start > width:
+                start, n = t, 0
+            n += 1
+            counts.append(n)
+        allowed = pa.array([c <= limit for c in counts], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int32()), allowed], [batch.schema.names[0], batch.schema.names[2], "in_window", "allowed"])

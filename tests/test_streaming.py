@@ -1,5 +1,6 @@
 import datetime as dt
 
+from tessera.operators import health
 from tessera.plans import web
 
 DAY = dt.datetime(2024, 1, 5)
@@ -12,3 +13,17 @@ def test_first_by_key_in_any_order_of_arrival(spark, tmp_path):
         df.write.mode("append").parquet(str(tmp_path / "events.parquet"))
     got = {r.user_id: r.first_ts for r in web.stream_first_by_key(spark, str(tmp_path)).collect()}
     assert got == {1: DAY + dt.timedelta(days=2), 2: DAY, None: DAY + dt.timedelta(days=1)}
+
+
+def test_rate_limit_holds_no_history_in_a_row(spark):
+    rows = spark.range(30_000).selectExpr("id as event_id", "if(id % 3 = 0, null, 1L) as user_id", "timestamp_seconds((id * 7919) % 30000) as ts")
+    df = health.rate_limit(rows, "user_id", "ts", "event_id", 100, 2)
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    got = {r.event_id: (r.in_window, r.allowed) for r in df.collect()}
+    want = {}
+    for odd in (False, True):
+        start, n = None, 0
+        for t, i in sorted((i * 7919 % 30_000, i) for i in range(30_000) if (i % 3 == 0) == odd):
+            start, n = (t, 1) if start is None or t - start > 100 else (start, n + 1)
+            want[i] = (n, n <= 2)
+    assert got == want
