@@ -3,13 +3,14 @@
 A page becomes a sequence of tokens: the path of each element (tags with class or id) and each block of text. Over the
 pages of a host, tokens with the same occurrence vector - how often each page holds them - form an equivalence class. A
 vector is kept as an exclusive-or of hashes of (page, count), so it can be summed in parts and a host's pages never meet
-in one task. Classes that are found on most of a host's pages and hold several tokens are valid; nested by page order,
-they are the template, and what they do not hold are its slots. Slots inside the article are its text; on pages without
-an article element the slots outside menus, notices and the like are.
+in one task. Equal pages of a host count as one. Classes that are found on most of a host's pages and hold several tokens
+are valid; together, neither nested nor ordered, they are the template. Blocks of the article that the template does not
+hold are its text; on pages without an article element those outside menus, notices and the like are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -114,15 +115,14 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks; without an article element, all blocks that are neither aside nor in the template."""
+    """The article's blocks that the template does not hold; without an article element, all such blocks not aside.
+
+    Where the template holds all of them they are the page's only content, and stay."""
     found = [(path, text, article, aside) for path, text, article, aside in blocks(page or "") if text]
-    inside = [text for _, text, article, aside in found if article and not aside]
-    if inside:
-        return "\n".join(inside)
-    rest = [(path, text) for path, text, _, aside in found if not aside]
+    rest = [(path, text) for path, text, article, aside in found if article and not aside] or [(path, text) for path, text, _, aside in found if not aside]
     if template and rest:
         marks = token_hashes([f"{path}|{text}" for path, text in rest])
-        rest = [x for x, mark in zip(rest, marks, strict=True) if int(mark) not in template]
+        rest = [x for x, mark in zip(rest, marks, strict=True) if int(mark) not in template] or rest
     return "\n".join(text for _, text in rest)
 
 
@@ -133,24 +133,27 @@ def token_hashes(tokens: list[str]) -> np.ndarray:
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         hosts, marks, counts, pages, texts = [], [], [], [], []
-        for host, page_id, page in zip(pdf.host, pdf.page_id, pdf.html, strict=True):
-            seen = Counter((f"{path}|{text}", bool(text)) for path, text, _, _ in blocks(page or ""))
+        for host, page in zip(pdf.host, pdf.html, strict=True):
+            tokens = [(f"{path}|{text}", bool(text)) for path, text, _, _ in blocks(page or "")]
+            seen = Counter(tokens)
             if seen:
+                # equal pages are one page, whatever their ids
+                page_id = int.from_bytes(hashlib.blake2b("\0".join(t for t, _ in tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
                 hosts += [host] * len(seen)
                 marks.append(token_hashes([t for t, _ in seen]))
                 texts += [is_text for _, is_text in seen]
                 counts += seen.values()
                 pages += [page_id] * len(seen)
-        yield pd.DataFrame({"host": hosts, "token": np.concatenate(marks) if marks else np.empty(0, np.int64), "is_text": texts, "n": counts, "page_id": pages})
+        yield pd.DataFrame({"host": hosts, "token": np.concatenate(marks) if marks else np.empty(0, np.int64), "is_text": texts, "n": counts, "page": pages})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens: the text tokens of each host's valid classes. ``pages`` has host, page_id and html."""
-    tokens = pages.mapInPandas(_tokens, "host string, token long, is_text boolean, n long, page_id long")
+    """host, tokens: the text tokens of each host's valid classes. ``pages`` has host and html; equal pages count once."""
+    tokens = settle(pages.mapInPandas(_tokens, "host string, token long, is_text boolean, n long, page long").distinct(), "page_tokens")
     vectors = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page_id", "n")).alias("vector"), F.count(F.lit(1)).alias("n_pages"), F.max("is_text").alias("is_text")
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("n_pages"), F.max("is_text").alias("is_text")
     )
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    sizes = tokens.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     frequent = vectors.filter(F.col("n_pages") >= FEWEST_PAGES).join(sizes, "host").filter(F.col("n_pages") >= MOST * F.col("host_pages"))
     valid = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("tokens")).filter(F.col("size") >= FEWEST_TOKENS)
     # a class on most pages has no more tokens than a page has, divided by that share
@@ -170,5 +173,5 @@ def extract(pages: DataFrame) -> DataFrame:
     are not read. An empty table gives none.
     """
     named = only(pages, "page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
-    known = settle(templates(named.select("host", "page_id", "html")).select(F.col("host").alias("h"), "tokens"), "templates")
+    known = settle(templates(named.select("host", "html")).select(F.col("host").alias("h"), "tokens"), "templates")
     return named.join(known, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "tokens").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")

@@ -38,3 +38,19 @@ def test_template_takes_out_what_pages_of_a_host_share(spark):
 def test_article_text_that_pages_share_stays(spark):
     rows = [(i, "https://h.example/x", PAGE) for i in range(30)]
     assert {r.text for r in H.extract(frame(spark, rows)).collect()} == {"T & U\nT & U\nOne two three inline.\nx\ny"}
+
+
+def texts_of(spark, pages):
+    return {r.page_id: r.text for r in H.extract(frame(spark, [(i, "https://h.example/x", h) for i, h in enumerate(pages)])).collect()}
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    copy = "<div><h1>Story</h1><p>begins here</p><p>and ends</p></div>"
+    got = texts_of(spark, [copy] * 12 + [f"<div><p>Other {i}</p></div>" for i in range(3)])
+    assert [got[i] for i in range(15)] == ["Story\nbegins here\nand ends"] * 12 + [f"Other {i}" for i in range(3)]
+
+
+def test_template_applies_inside_articles_and_leaves_no_page_empty(spark):
+    frame_ = "<article><p>Welcome to us</p>{}<p>Read our terms</p></article>"
+    got = texts_of(spark, [frame_.format(f"<p>Story {i}</p>") for i in range(9)] + [frame_.format("")])
+    assert [got[i] for i in range(10)] == [f"Story {i}" for i in range(9)] + ["Welcome to us\nRead our terms"]
