@@ -37,8 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav header footer aside form button dialog menu head".split())
 ARTICLE = frozenset("article main".split())
 ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|cookie|cookies|consent|notice|notices"
-    r"|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|footer|header|masthead|toolbar|widget|pagination|pager|skip)(?:$|[\s_-])",
+    r"(?:^|\s)(?:ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|cookie|cookies|consent|notice|notices"
+    r"|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|footer|header|masthead|toolbar|widget|pagination|pager|skip)(?:$|\s)",
     re.I,
 )
 ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -50,11 +50,12 @@ SAME = {"li": ("li", ("ul", "ol", "menu")), "tr": ("tr", ("table",)), "td": ("td
 MOST, FEWEST_PAGES, FEWEST_TOKENS = 0.6, 4, 3
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(path, text, within an article, within an aside) of each block of text in page order.
+def blocks(page: str) -> Iterator[tuple[str, str, int, int]]:
+    """(path, text, article, aside) of each block of text in page order.
 
-    Elements themselves are given too, as their path with text ''."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, article, aside
+    article is 1 within an article, 2 if what holds the article is an aside by its name; aside is 1 within an aside by
+    its name, 2 within one by its element, role or hiding. An article ends an aside by name that holds it. Elements themselves are given too, as their path with text ''."""
+    stack: list[tuple[str, str, int, int]] = []  # tag, path, article, aside
     parts: list[str] = []
     at = 0
 
@@ -62,7 +63,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            _, path, article, aside = stack[-1] if stack else ("", "", False, False)
+            _, path, article, aside = stack[-1] if stack else ("", "", 0, 0)
             return [(path, text, article, aside)]
         return []
 
@@ -100,11 +101,14 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                         break
         found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m["attrs"])} if m["attrs"].strip() else {}
         name = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        above = stack[-1] if stack else ("", "", False, False)
-        article = above[2] or tag in ARTICLE or found.get("role", "").lower() in ("main", "article")
+        above = stack[-1] if stack else ("", "", 0, 0)
+        begins = not above[2] and (tag in ARTICLE or found.get("role", "").lower() in ("main", "article"))
+        article = (2 if above[3] == 1 else 1) if begins else above[2]
         # the heading of an article is part of it; a page's header is not
-        apart = tag in ASIDE and not (tag == "header" and above[2]) or found.get("role", "").lower() in ASIDE_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        aside = above[3] or apart or bool(name and tag not in ("html", "body") and tag not in ARTICLE and ASIDE_NAME.search(name))
+        heading = tag == "header" and above[2]
+        apart = tag in ASIDE and not heading or found.get("role", "").lower() in ASIDE_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+        named = bool(name and tag not in ("html", "body") and tag not in ARTICLE and not begins and not heading and ASIDE_NAME.search(name))
+        aside = max(0 if begins and above[3] == 1 else above[3], 2 if apart else int(named))
         path = f"{above[1]}>{tag}" + (f".{name}" if name else "") if tag not in INLINE else above[1]
         if not m["attrs"].rstrip().endswith("/") or tag not in VOID:
             stack.append((tag, path, article, aside))
@@ -119,7 +123,9 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
 
     Where the template holds all of them they are the page's only content, and stay."""
     found = [(path, text, article, aside) for path, text, article, aside in blocks(page or "") if text]
-    rest = [(path, text) for path, text, article, aside in found if article and not aside] or [(path, text) for path, text, _, aside in found if not aside]
+    plain = [(path, text, article) for path, text, article, aside in found if not aside]
+    # articles that stand in an aside by name count where no other is, such as a lone article in a wrapper of that name
+    rest = next((some for k in (1, 2, 0) if (some := [(path, text) for path, text, article in plain if article == k])), [])
     if template and rest:
         marks = token_hashes([f"{path}|{text}" for path, text in rest])
         rest = [x for x, mark in zip(rest, marks, strict=True) if int(mark) not in template] or rest

@@ -54,3 +54,11 @@ def test_template_applies_inside_articles_and_leaves_no_page_empty(spark):
     frame_ = "<article><p>Welcome to us</p>{}<p>Read our terms</p></article>"
     got = texts_of(spark, [frame_.format(f"<p>Story {i}</p>") for i in range(9)] + [frame_.format("")])
     assert [got[i] for i in range(10)] == [f"Story {i}" for i in range(9)] + ["Welcome to us\nRead our terms"]
+
+
+def test_names_of_wrappers_do_not_hide_an_article():
+    assert H.main_text("<div class='layout has-sidebar'><article><p>Text</p></article><div class='sidebar'>Aside</div></div>") == "Text"
+    assert H.main_text("<div class='no-sidebar'><div><p>Text</p></div></div>") == "Text"
+    assert H.main_text("<div class='sidebar'><article><p>Text</p><div class='comments'>No</div></article></div><p>Call now</p>") == "Text"
+    assert H.main_text("<article><header class='entry header'><h1>Head</h1></header><p>Text</p></article>") == "Head\nText"
+    assert H.main_text("<main><p>Text</p></main><div class='related'><article>Teaser</article></div>") == "Text"
