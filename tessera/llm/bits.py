@@ -1,6 +1,7 @@
-"""Filters of a fixed number of bits: small enough to go to every task, whatever the size of the input.
+"""Filters of bits that go to every task: sized by what they hold, and never more than a fixed number of bits.
 
-A filter may hold more than was put in, never less, so it is used only where an exact step follows.
+A filter may hold more than was put in, never less, so it is used only where an exact step follows. What would fill the
+largest filter gets none: the caller then joins instead.
 """
 
 from __future__ import annotations
@@ -14,14 +15,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64
 
-BITS = 1 << 22
+#: Logarithm of the bits of the smallest and the largest filter, and of the bits for each value: ROOM values fit.
+SMALLEST, LARGEST, EACH = 16, 23, 3
+ROOM = 1 << (LARGEST - EACH)
 
 
-def bit_table(hashes: DataFrame) -> np.ndarray:
-    """The filter of a column h of hashes: at most BITS / 64 rows come to the driver."""
-    at = F.col("h").bitwiseAND(F.lit(BITS - 1))
+def bit_table(hashes: DataFrame, n: int) -> np.ndarray | None:
+    """The filter of a column h of ``n`` hashes, or None if more than ROOM; at most 2**LARGEST / 64 rows come to the driver."""
+    if n > ROOM:
+        return None
+    bits = 1 << min(LARGEST, max(SMALLEST, (n << EACH).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(bits - 1))
     slots = hashes.select(F.shiftright(at, 6).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bits"))
-    table = np.zeros(BITS // 64, np.int64)
+    table = np.zeros(bits // 64, np.int64)
     for r in slots.groupBy("slot").agg(F.bit_or("bits").alias("bits")).collect():
         table[r.slot] = r.bits
     return table.view(np.uint64)
@@ -29,7 +35,7 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
 
 def holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether the filter may hold each hash."""
-    at = h.view(np.uint64) & np.uint64(BITS - 1)
+    at = h.view(np.uint64) & np.uint64(64 * len(table) - 1)
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
@@ -42,6 +48,16 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": id_hashes(pdf.iloc[:, 0].to_numpy())})
 
 
-def id_table(ids: DataFrame) -> np.ndarray:
-    """The filter of a single column of ids."""
-    return bit_table(ids.distinct().mapInPandas(_hashed, "h long"))
+def _held(table, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[holds(table.value, id_hashes(pdf.iloc[:, 0].to_numpy(np.int64)))]
+
+
+def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (its first column, a long that is not null) is among the distinct ``ids``, and
+    perhaps a few others: by a filter where the ids fit one, so that no row is shuffled, else by a semi-join."""
+    table = bit_table(ids.mapInPandas(_hashed, "h long"), ids.count())
+    if table is None:
+        return df.join(ids.toDF(key), key, "left_semi")
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    return df.mapInPandas(lambda batches: _held(shared, batches), df.schema)

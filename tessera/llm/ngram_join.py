@@ -15,7 +15,6 @@ only where these leave room. The result is the exact set of components.
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bits import bit_table, holds, id_hashes, id_table
+from tessera.llm.bits import ROOM, bit_table, holds, rows_of
 from tessera.llm.common import hash_words, mix64, only, settle, shingle_hashes, word_list
 from tessera.operators.graph import connected
 
 #: N-grams are counted when about so many are held. One seen so often in one count is reported, and is placed last if all
 #: reports together have seen it so often.
-COUNTED, IN_BATCH, IN_ALL = 4_000_000, 3, 24
+COUNTED, IN_BATCH, IN_ALL = 1_000_000, 3, 24
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -52,15 +51,24 @@ def _often(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequent(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, n = [], 0
-    for pdf in itertools.chain(batches, [None]):
-        for text in [] if pdf is None else pdf.text:
-            held.append(shingle_set(text, size))
-            n += len(held[-1])
-        if held and (pdf is None or n >= COUNTED):
-            values, c = _often(np.concatenate(held), IN_BATCH)
-            held, n = [], 0
-            yield pd.DataFrame({"h": values, "c": c})
+    held, n = np.empty(COUNTED + COUNTED // 8, np.int64), 0
+
+    def counted() -> pd.DataFrame:
+        values, c = _often(held[:n], IN_BATCH)
+        return pd.DataFrame({"h": values, "c": c})
+
+    for pdf in batches:
+        for text in pdf.text:
+            found = shingle_set(text, size)
+            if n + len(found) > len(held):
+                held = np.append(held[:n], np.empty(len(found), np.int64))
+            held[n : n + len(found)] = found
+            n += len(found)
+            if n >= COUNTED:
+                yield counted()
+                n = 0
+    if n:
+        yield counted()
 
 
 def _rows(size: int, num: int, den: int, frequent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,19 +80,18 @@ def _rows(size: int, num: int, den: int, frequent, batches: Iterator[pd.DataFram
             with np.errstate(over="ignore"):
                 u = s.view(np.uint64)
                 d1, d2 = mix64(u).sum(dtype=np.uint64), mix64(u ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-            first = s[np.lexsort((s, holds(frequent.value, s)))][: n - -(-num * n // den) + 1] if n else s
+            late = np.zeros(n, bool) if frequent.value is None else holds(frequent.value, s)
+            first = s[np.lexsort((s, late))][: n - -(-num * n // den) + 1] if n else s
             out.append((n, int(d1.view(np.int64)), int(d2.view(np.int64)), first))
         frame = pd.DataFrame(out, columns=["n", "d1", "d2", "first"])
         frame.insert(0, "doc_id", pdf.doc_id.to_numpy())
         yield frame
 
 
-def _sets(size: int, wanted, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ids = pdf.doc_id.to_numpy(np.int64)
-        keep = np.flatnonzero(holds(wanted.value, id_hashes(ids)))
-        if len(keep):
-            yield pd.DataFrame({"node": ids[keep], "grams": [shingle_set(pdf.text.iloc[i], size) for i in keep]})
+        if len(pdf):
+            yield pd.DataFrame({"node": pdf.doc_id.to_numpy(np.int64), "grams": [shingle_set(t, size) for t in pdf.text]})
 
 
 def _linked(docs: DataFrame, cells: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -101,8 +108,7 @@ def _linked(docs: DataFrame, cells: DataFrame, pairs: DataFrame, size: int, num:
         return likely
 
     def sets(side: str) -> DataFrame:
-        wanted = docs.sparkSession.sparkContext.broadcast(id_table(likely.select(side)))
-        return docs.mapInPandas(functools.partial(_sets, size, wanted), "node long, grams array<long>")
+        return rows_of(docs, "doc_id", likely.select(side).distinct()).mapInPandas(functools.partial(_sets, size), "node long, grams array<long>")
 
     # a repeated row may bring its set twice: links are distinct in the end
     both = likely.join(sets("a").toDF("a", "x"), "a").join(sets("b").toDF("b", "y"), "b")
@@ -135,8 +141,15 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     named = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = named.filter(F.col("doc_id").isNotNull())
     often = named.select("text").mapInPandas(functools.partial(_frequent, size), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= IN_ALL)
-    frequent = sc.broadcast(bit_table(often.select("h")))
+    often = settle(often, "frequent")
+    n_often = often.count()
+    if n_often > ROOM:  # the most frequent are enough: any order of the columns gives the same pairs
+        least = often.agg(F.percentile_approx("c", 1 - 0.9 * ROOM / n_often, 100_000)).scalar()
+        often = often.filter(F.col("c") > least)
+        n_often = often.count()
+    frequent = sc.broadcast(bit_table(often.select("h"), n_often))
     rows = settle(named.mapInPandas(functools.partial(_rows, size, num, den, frequent), "doc_id long, n long, d1 long, d2 long, first array<long>"), "rows")
+    frequent.unpersist()
 
     # rows of the matrix: distinct sets, named by their smallest document
     full = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())

@@ -2,16 +2,18 @@
 
 A text with white space marked falls into words that no piece crosses. The distinct words of a batch are sorted, so that
 the words below one node of their trie follow each other; they are walked depth first, and the forward table of the
-prefix that a word shares with the one before it is kept. For a unigram model the table holds the best score of each
-prefix and its last piece (Viterbi). For a merge model the best path is the one that merging yields: its last piece is
-the only one that the piece before it allows as a neighbour, so the same table with that rule in place of the score
-gives the ids of the model's own encoder.
+prefix that a word shares with the one before it is kept. The table holds, for each prefix, the score of its best path and that
+path's last piece (Viterbi). In a unigram model a path scores the sum of its pieces' scores. In a merge model a step from
+one piece to the next scores 0 if merging leaves the two side by side and minus infinity if it joins or parts them; only
+the path that merging itself takes keeps a finite score, so the table needs no numbers, and its last pieces give the ids
+of the model's own encoder.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,8 +26,8 @@ from tessera.llm.common import only
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-#: Characters of text that are encoded together, and words remembered between batches.
-BATCH_CHARS, REMEMBERED = 500_000, 300_000
+#: Characters of text that are encoded together; words, and pairs of pieces, remembered between batches.
+BATCH_CHARS, REMEMBERED = 1_000_000, 250_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -55,6 +57,31 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += n
 
 
+class Known(dict):
+    """Words with a number each, in the order they came, and their ids one after the other; a new word gets its number when asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.ids, self.sizes, self.uses = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def add(self, found: dict[str, tuple[int, ...]]) -> None:
+        """The ids of the words that came since the last call, in any order."""
+        new = [found[w] for w in itertools.islice(self, len(self.sizes), None)]
+        sizes = np.array([len(x) for x in new], np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(new), np.int32, int(sizes.sum()))
+        self.ids, self.sizes, self.uses = np.append(self.ids, ids), np.append(self.sizes, sizes), np.append(self.uses, np.zeros(len(new), np.int64))
+
+    def keep(self, wanted: np.ndarray) -> None:
+        words = [w for w, ok in zip(self, wanted.tolist(), strict=True) if ok]
+        self.ids, self.sizes, self.uses = self.ids[np.repeat(wanted, self.sizes)], self.sizes[wanted], np.zeros(int(wanted.sum()), np.int64)
+        self.clear()
+        self.update(zip(words, range(len(words)), strict=True))
+
+
 class Model:
     """Pieces of a SentencePiece model file whose normaliser is the identity."""
 
@@ -85,60 +112,67 @@ class Model:
         alone = "" if any("\n" in p for p in self.ids) else "\n"
         self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + ("|\n" if alone else ""))
         self.raw = [p.replace(MARK, " ").encode() if k in (1, 4) else bytes([int(p[3:5], 16)]) if k == 6 else b" \xe2\x81\x87 " if k == 2 else b"" for p, k in zip(self.pieces, kinds, strict=True)]
-        self._neighbours: dict[tuple[int, int], bool] = {}
+        self._neighbours: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._possible: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.ends)
+        self.known = Known()
 
     def _suffixes(self) -> None:
-        """An automaton over the pieces: each state knows the pieces that end there, longest first."""
-        children: list[dict[str, int]] = [{}]
-        own: list[int] = [-1]
+        """An automaton over the pieces: each state knows the pieces that end there, longest first.
+
+        A move's key is the state and the character in one number, which takes far less room than a table for each state."""
+        moves: dict[int, int] = {}
+        own, above, level, order = [-1], [(0, 0)], [0], []
         for text, piece in self.ids.items():
             at = 0
             for c in text:
-                if c not in children[at]:
-                    children[at][c] = len(children)
-                    children.append({})
+                key = at << 21 | ord(c)
+                to = moves.get(key)
+                if to is None:
+                    to = moves[key] = len(own)
                     own.append(-1)
-                at = children[at][c]
+                    above.append((at, ord(c)))
+                    level.append(level[at] + 1)
+                at = to
             own[at] = piece
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(children)
-        fail, level = [0] * len(children), [0]
-        while level:
-            below = []
-            for at in level:
-                for c, to in list(children[at].items()):
-                    back = fail[at]
-                    while back and c not in children[back]:
-                        back = fail[back]
-                    fail[to] = children[back][c] if at and c in children[back] else 0
-                    self.ends[to] = (((own[to], len(self.pieces[own[to]])),) if own[to] >= 0 else ()) + self.ends[fail[to]]
-                    below.append(to)
-            level = below
-        self.moves, self._fail, self._trie = [dict(x) for x in children], fail, children
-
-    def move(self, state: int, c: str) -> int:
-        """The state after one more character; moves along failing suffixes are kept, up to the alphabet of the pieces."""
-        back = state
-        while back and c not in self._trie[back]:
-            back = self._fail[back]
-        to = self._trie[back].get(c, 0)
-        if to:
-            self.moves[state][c] = to
-        return to
-
-    def merged(self, text: str) -> list[str]:
-        """The text's pieces by merging the best-scored neighbours, leftmost first."""
-        parts = list(text)
+        self._moves, self._fail = moves, [0] * len(own)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        order = np.argsort(np.array(level), kind="stable").tolist()
+        for at in order[1:]:
+            up, c = above[at]
+            self._fail[at] = back = self.move(self._fail[up], c) if up else 0
+            self.ends[at] = (((own[at], len(self.pieces[own[at]])),) if own[at] >= 0 else ()) + self.ends[back]
+
+    def move(self, state: int, c: int) -> int:
+        """The state after one more character: along the trie, or from the longest suffix that has such a move."""
+        moves, key = self._moves, state << 21 | c
+        while (to := moves.get(state << 21 | c)) is None and state:
+            state = self._fail[state]
+        if len(moves) < len(self._fail) + REMEMBERED:
+            moves[key] = to or 0
+        return to or 0
+
+    def merged(self, text: str, apart: int = 0) -> list[str] | None:
+        """The text's pieces by merging the best-scored neighbours, leftmost first; None if that joins what lies on both
+        sides of the place ``apart``."""
+        parts, ids, scores = list(text), self.ids, self.scores
+        found = [ids.get(a + b) for a, b in itertools.pairwise(parts)]
+        worth = [None if i is None else scores[i] for i in found]
         while True:
             best, at = None, -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
+            for i, score in enumerate(worth):
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
             if best is None:
                 return parts
+            if apart and sum(map(len, parts[: at + 1])) == apart:
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del worth[at]
+            for i in (at - 1, at):
+                if 0 <= i < len(worth):
+                    piece = ids.get(parts[i] + parts[i + 1])
+                    worth[i] = None if piece is None else scores[piece]
 
     def whole(self, piece: int) -> bool:
         if (got := self._whole.get(piece)) is None:
@@ -147,57 +181,67 @@ class Model:
 
     def neighbours(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' characters gives the two pieces."""
-        if (got := self._neighbours.get((left, right))) is None:
-            if len(self._neighbours) > 2 * REMEMBERED:
+        if (got := self._neighbours.get(left << 32 | right)) is None:
+            if len(self._neighbours) >= 2 * REMEMBERED:
                 self._neighbours.clear()
-            a, b = self.pieces[left], self.pieces[right]
-            got = self._neighbours[left, right] = self.merged(a + b) == [a, b]
+            a = self.pieces[left]
+            got = self._neighbours[left << 32 | right] = self.merged(a + self.pieces[right], len(a)) is not None
         return got
 
     def char(self, c: str) -> tuple[int, ...]:
         """The ids of a character that is no piece."""
         return tuple(self.bytes[b] for b in c.encode()) if self.fallback else (self.unknown,)
 
+    def possible(self, state: int) -> tuple[tuple[int, int], ...]:
+        """The pieces (and their lengths) that may end at a state, longest first; of merges only those that merging yields."""
+        found = self.ends[state]
+        if self.type == BPE:
+            found = tuple(x for x in found if self.whole(x[0]))
+        self._possible[state] = found
+        return found
+
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """The ids of each distinct word: a depth-first walk of the trie of the sorted words.
 
-        ``last[i]`` is the last piece of the best path of the first i characters (-1: an unknown character),
-        ``size[i]`` its length and ``score[i]`` the path's score.
+        For the first i characters of a word ``last[i]`` is the last piece of the best path (negative: the beginning or an
+        unknown character), ``path[i]`` its ids, ``score[i]`` its score and ``states[i]`` the automaton's state.
         """
-        scores, moves, ends, bpe, allowed = self.scores, self.moves, self.ends, self.type == BPE, self._neighbours
-        last, size, score, states = [-2], [0], [0.0], [0]
+        moves, possible, allowed, scores, bpe, least = self._moves, self._possible, self._neighbours, self.scores, self.type == BPE, self.least
+        last, path, score, states = [-1], [()], [0.0], [0]
         before, out = "", {}
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], size[shared + 1 :], score[shared + 1 :], states[shared + 1 :]
+            del last[shared + 1 :], path[shared + 1 :], score[shared + 1 :], states[shared + 1 :]
+            state = states[-1]
             for end in range(shared + 1, len(word) + 1):
-                state = moves[states[-1]].get(word[end - 1])
-                if state is None:
-                    state = self.move(states[-1], word[end - 1])
-                piece, length, best = -1, 1, 0.0 if bpe else score[end - 1] + self.least
-                for got, n in ends[state]:
-                    if bpe:
+                c = ord(word[end - 1])
+                to = moves.get(state << 21 | c)
+                state = self.move(state, c) if to is None else to
+                ends = possible[state]
+                if ends is None:
+                    ends = self.possible(state)
+                piece, length = -1, 1
+                if bpe:
+                    for got, n in ends:
                         left = last[end - n]
-                        if left >= 0:
-                            fits = allowed.get((left, got))
+                        if left >= 0:  # after an unknown character any piece may stand
+                            fits = allowed.get(left << 32 | got)
                             if not (self.neighbours(left, got) if fits is None else fits):
                                 continue
-                        if self.whole(got):  # after an unknown character (-1) any piece may stand
-                            piece, length = got, n
-                            break
-                    elif (s := score[end - n] + scores[got]) > best:
-                        piece, length, best = got, n, s
+                        piece, length = got, n
+                        break
+                else:
+                    best = score[end - 1] + least
+                    for got, n in ends:
+                        if (s := score[end - n] + scores[got]) > best:
+                            piece, length, best = got, n, s
+                    score.append(best)
                 last.append(piece)
-                size.append(length)
-                score.append(best)
+                path.append(path[end - length] + ((piece,) if piece >= 0 else self.char(chr(c))))
                 states.append(state)
-            path, at = [], len(word)
-            while at:
-                path.append((last[at],) if last[at] >= 0 else self.char(word[at - 1])[::-1])
-                at -= size[at]
-            out[word] = tuple(i for part in reversed(path) for i in (part if len(part) == 1 else part[::-1]))
+            out[word] = path[-1]
             before = word
         return out
 
@@ -206,32 +250,32 @@ class Model:
         return [self.words.findall((MARK if self.prefix and t else "") + t.replace(" ", MARK)) for t in texts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; distinct words are encoded once."""
+        """Ids of each text; distinct words are encoded once and then dealt out by their place in the texts."""
         marked = self.marked(texts)
-        fresh = set().union(*marked).difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = set().union(*marked)
-        self.known |= self.encode_words(list(fresh))
-        return [np.array([i for w in words for i in self.known[w]], np.int32) for words in marked]
-
-    def forget(self, texts: list[str]) -> None:
-        """Keep the words of these texts alone: a worker goes on to other work with little memory taken."""
-        kept = {w for words in self.marked(texts) for w in words}
-        self.known = {w: ids for w, ids in self.known.items() if w in kept}
+        counts = np.array([len(w) for w in marked], np.int64)
+        flat = list(itertools.chain.from_iterable(marked))
+        if len(self.known) > REMEMBERED:
+            self.known.keep(self.known.uses > 2)
+        before = len(self.known)
+        codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if len(self.known) > before:
+            self.known.add(self.encode_words(list(self.known)[before:]))
+        self.known.uses += np.bincount(codes, minlength=len(self.known))
+        each = self.known.sizes[codes]
+        upto = np.cumsum(each)
+        # the first id of each word among the known ones, less where the word begins in the output
+        shift = np.repeat((np.cumsum(self.known.sizes) - self.known.sizes)[codes] - (upto - each), each)
+        ids = self.known.ids[shift + np.arange(len(shift))]
+        return np.split(ids, np.concatenate([[0], upto])[np.cumsum(counts)[:-1]]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@functools.lru_cache(maxsize=2)
-def _model(proto: bytes, model_type: int | None) -> Model:
-    return Model(proto, model_type)
-
-
 def _encoded(proto, model_type: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model, texts = _model(proto.value, model_type), []
+    # the model lives as long as its task: a worker goes on to other work without it
+    model = Model(proto.value, model_type)
     for pdf in batches:
         lengths = pdf.text.str.len().fillna(0).to_numpy(float)
         for _, part in pdf.groupby((np.cumsum(lengths) // BATCH_CHARS).astype(int), sort=True):
@@ -246,11 +290,10 @@ def _encoded(proto, model_type: int | None, batches: Iterator[pd.DataFrame]) ->
                     "decodes": [model.decode(x) == t for x, t in zip(ids, texts, strict=True)],
                 }
             )
-    model.forget(texts)
 
 
 def _decoded(proto, model_type: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model = _model(proto.value, model_type)
+    model = Model(proto.value, model_type)
     for pdf in batches:
         yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy(), "text": [None if x is None else model.decode(np.asarray(x)) for x in pdf.ids]})
 
