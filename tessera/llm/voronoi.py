@@ -3,8 +3,9 @@
 Rows are given to the nearest of at most ``N_PIVOTS`` pivots. A summary of each cell (rows, radius, largest norm)
 bounds the inner product of any query in one cell with any row in another from both sides: with q = p + a, x = s + b,
 q.x lies within p.s +- (|a||s| + |p||b| + |a||b|), and is at most |q||x|. A cell's queries then have a score that k
-rows surely reach, and a row is sent only to those groups of cells where its upper bound reaches it. Each group meets
-its rows in blocks and is solved there; the blocks' bests are merged.
+rows surely reach, and a row is sent only to those groups of cells where its upper bound reaches it. Neighbouring cells
+share a block of rows, a large cell has several; a group of queries is sent only to the blocks of cells that can reach it
+and is solved there; the blocks' bests are merged.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ N_PIVOTS = 64
 
 def _pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Up to N_PIVOTS distinct rows of each of the commonest lengths, the same in every run."""
-    rows = vectors.select("vec", F.xxhash64("vec").alias("h")).groupBy("h").agg(F.first("vec").alias("vec")).orderBy("h").limit(N_PIVOTS).collect()
+    least = vectors.select(F.xxhash64("vec").alias("h")).distinct().orderBy("h").limit(N_PIVOTS)
+    rows = vectors.withColumn("h", F.xxhash64("vec")).join(F.broadcast(least), "h").groupBy("h").agg(F.first("vec").alias("vec")).collect()
     found: dict[int, list] = {}
     for r in rows:
         found.setdefault(len(r.vec), []).append(np.asarray(r.vec))
@@ -51,10 +53,13 @@ def _assign(pivots: dict[int, np.ndarray]):
 
 
 class Bounds:
-    """What the summaries say of one vector length: which groups of query cells a row has to reach."""
+    """What the summaries say of one vector length: which groups of query cells a row has to reach, and by which blocks.
+
+    ``cells``: cell, is_query, n (rows), ids (candidates counted in the cell, each id in one cell only), radius, norm."""
 
     def __init__(self, cells: pd.DataFrame, pivots: np.ndarray, k: int):
-        queries, data = cells[cells.is_query], cells.groupby("cell", as_index=False).agg(n=("n", "sum"), radius=("radius", "max"))
+        queries = cells[cells.is_query]
+        data = cells.groupby("cell", as_index=False).agg(n=("n", "sum"), ids=("ids", "sum"), radius=("radius", "max"), norm=("norm", "max"))
         self.pivots, self.cells = pivots, queries.cell.to_numpy()
         self.own, self.spread, self.norms = pivots[self.cells], queries.radius.to_numpy(), queries.norm.to_numpy()
         self.own_norm = np.linalg.norm(self.own, axis=1)
@@ -62,7 +67,7 @@ class Bounds:
         lower, self.reached = (mid - slack).T, np.full(len(queries), -np.inf)  # a row for each query cell
         for i, row in enumerate(lower):
             order = np.argsort(-row)
-            enough = np.flatnonzero(np.cumsum(data.n.to_numpy()[order]) >= k + 1)  # one may be the query's own
+            enough = np.flatnonzero(np.cumsum(data.ids.to_numpy()[order]) >= k + 1)  # one may be the query's own
             if len(enough):
                 self.reached[i] = row[order[enough[0]]]
         # neighbouring cells share a group of about GROUP_QUERIES queries; a larger cell is dealt into parts
@@ -73,6 +78,23 @@ class Bounds:
         self.parts = np.maximum(1, -(-queries.n.to_numpy() // GROUP_QUERIES))
         self.starts = {g: np.flatnonzero(self.group == g) for g in np.unique(self.group)}
         self.group_parts = {g: int(self.parts[i].max()) for g, i in self.starts.items()}
+        self._deal(data)
+
+    def _deal(self, data: pd.DataFrame) -> None:
+        """Blocks of about BLOCK_ROWS rows: several cells along a line share one, a larger cell has as many as it needs."""
+        cell, n = data.cell.to_numpy(), data.n.to_numpy()
+        self.first_block, self.n_blocks = np.zeros(len(self.pivots), int), np.ones(len(self.pivots), int)
+        block, rows = 0, 0
+        for i in np.argsort(self.pivots[cell] @ self.pivots[cell[0]], kind="stable"):
+            if rows and rows + n[i] > BLOCK_ROWS:
+                block, rows = block + 1, 0
+            self.first_block[cell[i]], self.n_blocks[cell[i]] = block, -(-n[i] // BLOCK_ROWS)
+            rows += n[i]
+            if rows >= BLOCK_ROWS:
+                block, rows = block + self.n_blocks[cell[i]], 0
+        self.blocks = {}
+        for g, some in self.needed(cell, data.radius.to_numpy(), data.norm.to_numpy()):
+            self.blocks[g] = sorted({b for c in cell[some] for b in range(self.first_block[c], self.first_block[c] + self.n_blocks[c])})
 
     def _mid(self, cell: np.ndarray) -> np.ndarray:
         return self.pivots[cell] @ self.own.T
@@ -89,24 +111,27 @@ class Bounds:
             yield g, np.flatnonzero(ok[:, members].any(1))
 
 
-def _route(bounds: dict[int, Bounds], n_blocks: dict[int, int], queries: bool):
+def _route(bounds: dict[int, Bounds], queries: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for n, part in pdf.groupby("dim", sort=True):
-                b, s = bounds.get(n), n_blocks.get(n, 1)
+                b = bounds.get(n)
                 if b is None:
                     continue
-                ids = part.vec_id.to_numpy()
+                ids, cell, x = part.vec_id.to_numpy(), part.cell.to_numpy(), part.x.to_numpy()
                 if queries:
-                    slot = np.searchsorted(b.cells, part.cell.to_numpy())
-                    g, sub = b.group[slot], (ids // 20) % b.parts[slot]
-                    for block in range(s):
-                        yield pd.DataFrame({"dim": n, "grp": g, "sub": sub, "block": block, "vec_id": ids, "x": part.x.to_numpy()})
+                    slot = np.searchsorted(b.cells, cell)
+                    group, sub = b.group[slot], (ids // 20) % b.parts[slot]
+                    for g in np.unique(group):
+                        mine = np.flatnonzero(group == g)
+                        for block in b.blocks[g]:
+                            yield pd.DataFrame({"dim": n, "grp": g, "sub": sub[mine], "block": block, "vec_id": ids[mine], "x": x[mine]})
                 else:
-                    block = pd.util.hash_array(ids) % np.uint64(s)
-                    for g, rows in b.needed(part.cell.to_numpy(), part.radius.to_numpy(), part.norm.to_numpy()):
+                    # rows of one cell, or of one id, are dealt by their place in the batch
+                    block = b.first_block[cell] + np.arange(len(part)) % b.n_blocks[cell]
+                    for g, rows in b.needed(cell, part.radius.to_numpy(), part.norm.to_numpy()):
                         for sub in range(b.group_parts[g]):
-                            yield pd.DataFrame({"dim": n, "grp": g, "sub": sub, "block": block[rows].astype(np.int64), "vec_id": ids[rows], "x": part.x.to_numpy()[rows]})
+                            yield pd.DataFrame({"dim": n, "grp": g, "sub": sub, "block": block[rows].astype(np.int64), "vec_id": ids[rows], "x": x[rows]})
 
     return run
 
@@ -125,9 +150,13 @@ def _solve(k: int):
         if len(data) and len(queries):
             data = data.sort_values("vec_id", kind="stable")
             x, ids = stack(data.x), data.vec_id.to_numpy()
+            firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            repeated, ids = len(firsts) < len(ids), ids[firsts]
             q, qids = stack(queries.x), queries.vec_id.to_numpy()
             for at in range(0, len(q), 256):
                 score, mine = _products(q[at : at + 256], x), qids[at : at + 256]
+                if repeated:
+                    score = np.maximum.reduceat(score, firsts, axis=1)
                 keep = min(k + 1, len(ids))  # one may be the query's own
                 if score.dtype == object:
                     best = np.array([sorted(range(len(ids)), key=lambda j, row=row: (-row[j], j))[:keep] for row in score])
@@ -157,15 +186,18 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", v
     vectors = whole.select("vec_id", F.zip_with("vec", "near", lambda v, r: F.when(r + 1 <= v * scale, r + 1).when(r > v * scale, r - 1).otherwise(r)).alias("vec"), (F.col("vec_id") % every == 0).alias("is_query"))
     pivots = _pivots(vectors)
     placed = vectors.mapInPandas(_assign(pivots), "vec_id long, dim int, cell int, radius double, norm double, is_query boolean, x binary")
-    cells = placed.groupBy("dim", "cell", "is_query").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).toPandas()  # N_PIVOTS rows a length
-    bounds, n_blocks = {}, {}
+    # an id is a candidate of one cell only, in the counts that bounds rest on
+    once = placed.groupBy("dim", "vec_id", "is_query").agg(F.min("cell").alias("own"))
+    once = once.groupBy("dim", F.col("own").alias("cell"), "is_query").agg(F.count(F.lit(1)).alias("ids"))
+    cells = placed.groupBy("dim", "cell", "is_query").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm"))
+    cells = cells.join(once, ["dim", "cell", "is_query"], "left").fillna(0, ["ids"]).toPandas()  # N_PIVOTS rows a length
+    bounds = {}
     for n, part in cells.sort_values(["cell", "is_query"]).groupby("dim"):
         if part.is_query.any():
             bounds[n] = Bounds(part, pivots.get(n, np.zeros((1, n))), k)
-            n_blocks[n] = max(1, -(-int(part.n.sum()) // BLOCK_ROWS))
     schema, keys = "dim int, grp long, sub long, block long, vec_id long, x binary", ["dim", "grp", "sub", "block"]
-    data = placed.mapInPandas(_route(bounds, n_blocks, False), schema)
-    queries = placed.filter("is_query").mapInPandas(_route(bounds, n_blocks, True), schema)
+    data = placed.mapInPandas(_route(bounds, False), schema)
+    queries = placed.filter("is_query").mapInPandas(_route(bounds, True), schema)
     return ranked(meet(queries, data, keys, _solve(k), "query_id long, vec_id long, score long"), k)
 
 

@@ -40,7 +40,7 @@ def test_voronoi_prunes_far_cells(spark):
     cells = np.array([[100.0, 0], [0, 100.0]])
     import pandas as pd
 
-    table = pd.DataFrame({"cell": [0, 0, 1, 1], "is_query": [False, True, False, True], "n": [500, 5, 500, 5], "radius": [1.0] * 4, "norm": [101.0] * 4})
+    table = pd.DataFrame({"cell": [0, 0, 1, 1], "is_query": [False, True, False, True], "n": [500, 5, 500, 5], "ids": [500, 5, 500, 5], "radius": [1.0] * 4, "norm": [101.0] * 4})
     b = voronoi.Bounds(table, cells, 20)
     routed = {g: rows.tolist() for g, rows in b.needed(np.array([0, 1]), np.array([1.0, 1.0]), np.array([101.0, 101.0]))}
     assert sorted(i for rows in routed.values() for i in rows) == [0, 1]
@@ -95,3 +95,61 @@ def test_collision_ties_by_id_in_a_large_group_of_copies(spark):
 
 def test_all_candidates_if_fewer(spark):
     assert len(got(voronoi.top_k(frame(spark, [[1.0], [2.0], [3.0]])))[0]) == 2
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Several blocks of rows and groups of queries."""
+    for module in (voronoi, collision):
+        monkeypatch.setattr(module, "BLOCK_ROWS", 150)
+        monkeypatch.setattr(module, "GROUP_QUERIES", 8)
+
+
+def clustered(n, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, 8)) * 5
+    return [(centres[i % 12] + rng.standard_normal(8) * 0.2).astype(np.float32).tolist() for i in range(n)]
+
+
+def test_voronoi_over_several_blocks_and_groups(spark, small_blocks):
+    rng = np.random.default_rng(6)
+    v = clustered(900) + [[1.0] * 8] * 300 + rng.standard_normal((300, 8)).astype(np.float32).tolist()
+    want = brute(v, 64, 20)
+    assert {q: [(i, int(s)) for i, s in r] for q, r in want.items()} == got(voronoi.top_k(frame(spark, v)))
+
+
+def test_voronoi_sends_queries_only_to_blocks_that_reach_them(spark, small_blocks):
+    import pandas as pd
+
+    far = np.array([[100.0, 0], [0, 100.0], [-100.0, 0]])
+    cells = pd.DataFrame({"cell": [0, 0, 1, 1, 2, 2], "is_query": [False, True] * 3, "n": [500, 5] * 3, "ids": [500, 5] * 3, "radius": [1.0] * 6, "norm": [101.0] * 6})
+    b = voronoi.Bounds(cells, far, 20)
+    assert b.n_blocks.tolist() == [4, 4, 4] and sorted(b.first_block.tolist()) == [0, 4, 8]
+    assert sum(len(x) for x in b.blocks.values()) < 12 * len(b.blocks)
+
+
+def test_collision_recall_over_several_blocks_and_groups(spark, small_blocks):
+    rng = np.random.default_rng(7)
+    v = clustered(900) + rng.standard_normal((600, 8)).astype(np.float32).tolist()
+    r, want = got(collision.nearest(frame(spark, v))), brute(v, None, 20)
+    hits = sum(len({i for i, _ in r[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+
+
+@pytest.mark.parametrize("sparse", [0.0, 2.0])
+def test_collisions_are_counted_alike_both_ways(monkeypatch, sparse):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, 6))
+    norm = np.linalg.norm(x, axis=1).max()
+    want = [sorted(r.tolist()) for r, _ in collision.Index(x, norm).search(x[:9], 20, [np.array([i]) for i in range(9)])]
+    monkeypatch.setattr(collision, "SPARSE", sparse)
+    assert want == [sorted(r.tolist()) for r, _ in collision.Index(x, norm).search(x[:9], 20, [np.array([i]) for i in range(9)])]
+
+
+def test_voronoi_many_rows_of_one_id(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((100, 4)).astype(np.float32).tolist()
+    best = [[50.0] * 4] * 40
+    r = got(voronoi.top_k(frame(spark, v + best + [v[0]] * 30, [*range(100), *[1000] * 40, *[0] * 30])))
+    want = brute([*v, best[0]], 64, 20)
+    assert [i if i != 100 else 1000 for i, _ in want[0]] == [i for i, _ in r[0]]
