@@ -3,9 +3,11 @@
 A page becomes a sequence of tokens: the path of each element (tags with class or id) and each block of text. Over the
 pages of a host, tokens with the same occurrence vector - how often each page holds them - form an equivalence class. A
 vector is kept as an exclusive-or of hashes of (page, count), so it can be summed in parts and a host's pages never meet
-in one task. Equal pages of a host count as one. Classes that are found on most of a host's pages and hold several tokens
-are valid; together, neither nested nor ordered, they are the template. Blocks of the article that the template does not
-hold are its text; on pages without an article element those outside menus, notices and the like are.
+in one task. Equal pages of a host count as one, and so do pages whose article elements have the same longest block, if it
+is a paragraph: they are copies of one article. Classes that are found on most of a host's pages and hold several tokens are valid if their tokens stand in one
+order on most of the pages. The one on most pages is the root of the template; another belongs to it if it lies within one
+slot of the root, the same on most pages: so the classes nest. What the template doesn't hold is what its slots hold:
+blocks of the article in slots are the text; on pages without an article element those outside menus, notices and the like.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 SPACE = re.compile(r"\s+")
 
 # Elements by their part in a page.
@@ -36,10 +38,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i in
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu head".split())
 ARTICLE = frozenset("article main".split())
-ASIDE_NAME = re.compile(
-    r"(?:^|\s)(?:ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|cookie|cookies|consent|notice|notices"
-    r"|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|footer|header|masthead|toolbar|widget|pagination|pager|skip)(?:$|\s)",
-    re.I,
+ASIDE_NAME = frozenset(
+    """ad ads advert advertisement adverts banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent
+    notice notices popup modal newsletter subscribe share sharing social related recommended comment comments disqus reply replies footer header masthead
+    toolbar widget pagination pager skip""".split()
 )
 ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: A page opened by one of these tags closes an open p, as readers of HTML do.
@@ -48,6 +50,8 @@ SAME = {"li": ("li", ("ul", "ol", "menu")), "tr": ("tr", ("table",)), "td": ("td
 
 #: Share of a host's pages that a class must be found on, fewest pages, and fewest tokens of a valid class.
 MOST, FEWEST_PAGES, FEWEST_TOKENS = 0.6, 4, 3
+#: Characters of a block that tells copies of an article.
+PARAGRAPH = 80
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, int, int]]:
@@ -59,16 +63,24 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int]]:
     parts: list[str] = []
     at = 0
 
+    def block() -> tuple[str, str, int, int]:
+        return next((x for x in reversed(stack) if x[0] not in INLINE), ("", "", 0, 0))
+
+    def read(text: str) -> None:
+        # an aside within a block, such as an advert in a paragraph, is no part of it
+        if text and not (stack and stack[-1][0] in INLINE and stack[-1][3] > block()[3]):
+            parts.append(text)
+
     def flush():
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            _, path, article, aside = stack[-1] if stack else ("", "", 0, 0)
+            _, path, article, aside = block()
             return [(path, text, article, aside)]
         return []
 
     for m in TOKEN.finditer(page):
-        parts.append(page[at : m.start()])
+        read(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -99,22 +111,25 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int]]:
                     if stack[i][0] in own.split():
                         del stack[i:]
                         break
-        found = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m["attrs"])} if m["attrs"].strip() else {}
-        name = f"{found.get('class', '')} {found.get('id', '')}".strip()
+        found: dict[str, str] = {}
+        for key, *values in ATTR.findall(m["attrs"]) if m["attrs"].strip() else ():
+            found.setdefault(key.lower(), html.unescape("".join(values)))  # the first of a repeated attribute holds
+        classes = found.get("class", "").split()
+        name = " ".join([*classes, *([found["id"]] if found.get("id") else [])])
         above = stack[-1] if stack else ("", "", 0, 0)
         begins = not above[2] and (tag in ARTICLE or found.get("role", "").lower() in ("main", "article"))
         article = (2 if above[3] == 1 else 1) if begins else above[2]
         # the heading of an article is part of it; a page's header is not
         heading = tag == "header" and above[2]
         apart = tag in ASIDE and not heading or found.get("role", "").lower() in ASIDE_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        named = bool(name and tag not in ("html", "body") and tag not in ARTICLE and not begins and not heading and ASIDE_NAME.search(name))
+        named = bool(name and tag not in ("html", "body") and tag not in ARTICLE and not begins and not heading and not ASIDE_NAME.isdisjoint([*(c.lower() for c in classes), found.get("id", "").lower()]))
         aside = max(0 if begins and above[3] == 1 else above[3], 2 if apart else int(named))
         path = f"{above[1]}>{tag}" + (f".{name}" if name else "") if tag not in INLINE else above[1]
         if not m["attrs"].rstrip().endswith("/") or tag not in VOID:
             stack.append((tag, path, article, aside))
         if tag not in INLINE:
             yield path, "", article, aside
-    parts.append(page[at:])
+    read(page[at:])
     yield from flush()
 
 
@@ -138,32 +153,66 @@ def token_hashes(tokens: list[str]) -> np.ndarray:
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        hosts, marks, counts, pages, texts = [], [], [], [], []
+        out = []
         for host, page in zip(pdf.host, pdf.html, strict=True):
-            tokens = [(f"{path}|{text}", bool(text)) for path, text, _, _ in blocks(page or "")]
-            seen = Counter(tokens)
-            if seen:
-                # equal pages are one page, whatever their ids
-                page_id = int.from_bytes(hashlib.blake2b("\0".join(t for t, _ in tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
-                hosts += [host] * len(seen)
-                marks.append(token_hashes([t for t, _ in seen]))
-                texts += [is_text for _, is_text in seen]
-                counts += seen.values()
-                pages += [page_id] * len(seen)
-        yield pd.DataFrame({"host": hosts, "token": np.concatenate(marks) if marks else np.empty(0, np.int64), "is_text": texts, "n": counts, "page": pages})
+            found = list(blocks(page or ""))
+            if not found:
+                continue
+            tokens = [f"{path}|{text}" for path, text, _, _ in found]
+            first, last, counts = {}, {}, Counter(tokens)
+            for place, token in enumerate(tokens):
+                first.setdefault(token, place)
+                last[token] = place
+            texts = {token for token, block in zip(tokens, found, strict=True) if block[1]}
+            # equal pages are one page, whatever their ids
+            page_id = _digest("\0".join(tokens))
+            longest = max((text for _, text, article, aside in found if article and not aside), key=len, default="")
+            out.append(
+                pd.DataFrame(
+                    {
+                        "host": host, "token": token_hashes(list(counts)), "is_text": [t in texts for t in counts], "n": list(counts.values()), "page": page_id,
+                        "longest": _digest(longest) if len(longest) >= PARAGRAPH else page_id, "first": [first[t] for t in counts], "last": [last[t] for t in counts],
+                    }
+                )
+            )
+        if out:
+            yield pd.concat(out)
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+
+
+TOKENS = "host string, token long, is_text boolean, n long, page long, longest long, first int, last int"
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens: the text tokens of each host's valid classes. ``pages`` has host and html; equal pages count once."""
-    tokens = settle(pages.mapInPandas(_tokens, "host string, token long, is_text boolean, n long, page long").distinct(), "page_tokens")
+    """host, tokens: the text tokens of each host's template. ``pages`` has host and html; copies of a page count once."""
+    everywhere = settle(pages.mapInPandas(_tokens, TOKENS).distinct(), "page_tokens")
+    chosen = everywhere.groupBy("host", "longest").agg(F.min("page").alias("page")).select("host", "page").distinct()
+    tokens = settle(everywhere.join(settle(chosen, "pages_once"), ["host", "page"]), "tokens_once")
     vectors = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("n_pages"), F.max("is_text").alias("is_text")
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("n_pages"), F.max("n").alias("most"), F.max("is_text").alias("is_text")
     )
     sizes = tokens.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     frequent = vectors.filter(F.col("n_pages") >= FEWEST_PAGES).join(sizes, "host").filter(F.col("n_pages") >= MOST * F.col("host_pages"))
-    valid = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("tokens")).filter(F.col("size") >= FEWEST_TOKENS)
+    frequent = settle(frequent, "frequent_tokens")
+    classes = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size"), F.max("n_pages").alias("n_pages"), F.max("most").alias("most")).filter(F.col("size") >= FEWEST_TOKENS)
+    roots = classes.filter("most = 1").groupBy("host").agg(F.max(F.struct("n_pages", "size", "vector")).alias("root")).select("host", F.col("root.vector").alias("root"))
+    members = frequent.select("host", "token", "vector", "is_text").join(classes.select("host", "vector"), ["host", "vector"])
+    members = settle(members.join(roots, "host"), "class_members")
+    # where the tokens of each class stand on each page: a page's tokens are no more than the page
+    stand = tokens.select("host", "page", "token", "first", "last").join(members, ["host", "token"])
+    order = F.transform(F.sort_array(F.collect_list(F.struct("first", "token"))), lambda x: x["token"])
+    spans = stand.groupBy("host", "page", "vector", "root").agg(F.xxhash64(order).alias("sequence"), F.min("first").alias("lo"), F.max("last").alias("hi"))
+    marks = stand.filter("vector = root").groupBy("host", "page").agg(F.collect_list("first").alias("marks"))
+    before = lambda at: F.when(F.col("vector") == F.col("root"), 0).otherwise(F.size(F.filter(F.coalesce("marks", F.array()), lambda m: m < F.col(at))))
+    placed = spans.join(marks, ["host", "page"], "left").select("host", "vector", "sequence", before("lo").alias("lo_slot"), before("hi").alias("hi_slot"))
+    alike = placed.groupBy("host", "vector", "sequence", "lo_slot", "hi_slot").agg(F.count(F.lit(1)).alias("n"))
+    commonest = alike.groupBy("host", "vector").agg(F.max(F.struct("n", (F.col("lo_slot") == F.col("hi_slot")).alias("inside"))).alias("top"), F.sum("n").alias("all"))
+    nested = commonest.filter(F.col("top.inside") & (F.col("top.n") >= MOST * F.col("all"))).select("host", "vector")
     # a class on most pages has no more tokens than a page has, divided by that share
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens")).filter(F.size("tokens") > 0)
+    return members.filter("is_text").join(nested, ["host", "vector"]).groupBy("host").agg(F.collect_list("token").alias("tokens"))
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +225,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     A null or empty page has the text ''. A null url has the host ''. Repeated rows are each extracted; other columns
-    are not read. An empty table gives none.
+    are not read; very long pages are parsed whole. Where classes tie for the root the larger hash takes it. An empty
+    table gives none.
     """
     named = only(pages, "page_id", "url", "html").withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
     known = settle(templates(named.select("host", "html")).select(F.col("host").alias("h"), "tokens"), "templates")

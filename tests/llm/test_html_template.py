@@ -62,3 +62,62 @@ def test_names_of_wrappers_do_not_hide_an_article():
     assert H.main_text("<div class='sidebar'><article><p>Text</p><div class='comments'>No</div></article></div><p>Call now</p>") == "Text"
     assert H.main_text("<article><header class='entry header'><h1>Head</h1></header><p>Text</p></article>") == "Head\nText"
     assert H.main_text("<main><p>Text</p></main><div class='related'><article>Teaser</article></div>") == "Text"
+
+
+def test_attributes_are_read_as_such():
+    for tag in ('<div style="overflow:hidden">', '<p title="a hidden gem">', '<p data-id="comment 3">', '<p data-class=\'ad\'>', '<section id="social science">', '<div class="related-work">', "<p class=lead id=intro>"):
+        assert H.main_text(f"<article>{tag}Text</article>") == "Text", tag
+    for tag in ("<div hidden>", '<div class="big ad">', "<div ID=comments>", "<div role='navigation'>", '<div aria-hidden="true">', "<div class='&#97;d'>"):
+        assert H.main_text(f"<article><p>Text</p>{tag}No</div></article>") == "Text", tag
+
+
+def test_asides_inside_a_block_are_cut_out():
+    assert H.main_text('<article><p>foo <span class="ad">buy <b>now</b></span> baz</p></article>') == "foo baz"
+    assert H.main_text('<article><p>foo <a class="share">tell</a></p><p>end</p></article>') == "foo\nend"
+    assert H.main_text('<article><p>foo <span class="ad">never closed</p><p>end</p></article>').startswith("foo")
+
+
+def test_classes_equal_brute_force(spark):
+    """Text that a valid, ordered and nested class holds goes; the classes are found again by comparing whole vectors."""
+    import random
+
+    rng = random.Random(4)
+    pages = []
+    for i in range(40):
+        top = "<p>Welcome</p>" if rng.random() < 0.9 else ""
+        parts = [top, "<p>Our terms</p>", f"<p>Story {i}</p>", "<p>Call us</p>", "<p>Half</p>" if i % 2 else ""]
+        pages.append(f"<div>{''.join(parts)}</div>")
+    tokens = [[f"{path}|{text}" for path, text, _, _ in H.blocks(p)] for p in pages]
+    vector = {t: tuple(x.count(t) for x in tokens) for x in tokens for t in x}
+    classes = {}
+    for t, v in vector.items():
+        if sum(n > 0 for n in v) >= max(H.FEWEST_PAGES, H.MOST * len(pages)):
+            classes.setdefault(v, []).append(t)
+    valid = {t for some in classes.values() if len(some) >= H.FEWEST_TOKENS for t in some}
+    want = {i: "\n".join(t.split("|")[1] for t in x if t.split("|")[1] and t not in valid) for i, x in enumerate(tokens)}
+    assert any("Half" in w for w in want.values()) and not any("terms" in w for w in want.values())
+    assert texts_of(spark, pages) == want
+
+
+def test_a_class_in_no_order_or_in_several_slots_is_no_template(spark):
+    import random
+
+    rng = random.Random(5)
+    pages = []
+    for i in range(30):
+        moving = ["<p>one</p>", "<p>two</p>", "<p>three</p>"]
+        rng.shuffle(moving)
+        pages.append(f"<header><b>Site</b></header><section><p>Head</p></section><div>{''.join(moving)}<p>Story {i}</p></div><footer>Foot</footer>")
+    got = texts_of(spark, pages)
+    assert all({"one", "two", "three", f"Story {i}"} <= set(got[i].split("\n")) for i in range(30))
+
+
+def test_near_copies_of_a_page_make_no_template(spark):
+    body = "<p>The same long first paragraph of one story that was copied with small changes again and again.</p><p>second</p><p>third</p>"
+    got = texts_of(spark, [f"<article>{body}<p>edit {i}</p></article>" for i in range(20)] + [f"<article><p>Other story number {i} that is its own.</p></article>" for i in range(3)])
+    assert all(got[i].split("\n")[1:] == ["second", "third", f"edit {i}"] for i in range(20))
+
+
+def test_very_long_page():
+    body = "".join(f"<p>Paragraph {i}</p>" for i in range(50_000))
+    assert H.main_text(f"<article>{body}</article>").count("\n") == 49_999
