@@ -6,7 +6,7 @@ largest filter gets none: the caller then joins instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,16 +48,16 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": id_hashes(pdf.iloc[:, 0].to_numpy())})
 
 
-def _held(table, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf[holds(table.value, id_hashes(pdf.iloc[:, 0].to_numpy(np.int64)))]
-
-
-def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` (its first column, a long that is not null) is among the distinct ``ids``, and
-    perhaps a few others: by a filter where the ids fit one, so that no row is shuffled, else by a semi-join."""
+def map_rows_of(df: DataFrame, ids: DataFrame, then: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``df.mapInPandas(then, schema)`` over the rows whose first column, a long that is not null, is among the distinct
+    ``ids``, and perhaps over a few others: by a filter where the ids fit one, so that no row is shuffled, else by a
+    semi-join. Filter and ``then`` run in one Python worker."""
     table = bit_table(ids.mapInPandas(_hashed, "h long"), ids.count())
     if table is None:
-        return df.join(ids.toDF(key), key, "left_semi")
+        return df.join(ids.toDF(df.columns[0]), df.columns[0], "left_semi").mapInPandas(then, schema)
     shared = df.sparkSession.sparkContext.broadcast(table)
-    return df.mapInPandas(lambda batches: _held(shared, batches), df.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return then(pdf[holds(shared.value, id_hashes(pdf.iloc[:, 0].to_numpy(np.int64)))] for pdf in batches)
+
+    return df.mapInPandas(run, schema)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bits import ROOM, bit_table, holds, rows_of
+from tessera.llm.bits import ROOM, bit_table, holds, map_rows_of
 from tessera.llm.common import hash_words, mix64, only, settle, shingle_hashes, word_list
 from tessera.operators.graph import connected
 
@@ -108,7 +108,7 @@ def _linked(docs: DataFrame, cells: DataFrame, pairs: DataFrame, size: int, num:
         return likely
 
     def sets(side: str) -> DataFrame:
-        return rows_of(docs, "doc_id", likely.select(side).distinct()).mapInPandas(functools.partial(_sets, size), "node long, grams array<long>")
+        return map_rows_of(docs, likely.select(side).distinct(), functools.partial(_sets, size), "node long, grams array<long>")
 
     # a repeated row may bring its set twice: links are distinct in the end
     both = likely.join(sets("a").toDF("a", "x"), "a").join(sets("b").toDF("b", "y"), "b")
