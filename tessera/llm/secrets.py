@@ -13,6 +13,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -36,14 +37,21 @@ KINDS = ("assign", "access", "hex")
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,7};)+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: An escape that ends here, and the characters that may end one.
+LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});)\Z")
+ENDS_ESCAPE = frozenset("0123456789abcdefABCDEF;")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 #: Base64 broken into lines (line breaks as such or as written in strings); the last line may be short.
 BREAK = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n)[ \t]*")
 LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 #: Characters of UTF-16 or UTF-32, as far as the patterns can use them, read as bytes.
 WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e]\x00{3}){4,}|(?:\x00{3}[\t\n\r\x20-\x7e]){4,}|(?:[\t\n\r\x20-\x7e]\x00){4,}|(?:\x00[\t\n\r\x20-\x7e]){4,}")
-#: A layer larger than this after decompression is left closed, and the document says so in ``n_closed``.
-MAX_LAYER = 1 << 26
+#: What is compressed is read in windows of so many bytes, each of which begins with the last bytes of the one before. All
+#: matches in it have the span of what holds it, so a match of any length that a window cuts is still found.
+WINDOW, SHARED = 1 << 24, 1 << 20
+#: Escapes within escapes: so many layers are scanned one by one, what is deeper is unwrapped to its end in one pass.
+DEPTH = 8
 
 
 def matches(text: str) -> list[tuple[int, int, int]]:
@@ -58,47 +66,52 @@ def matches(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _member(raw: bytes, room: int) -> tuple[bytes, bytes] | None:
-    """What the first compressed member of ``raw`` holds, up to ``room`` bytes, and what follows it; None if it has none.
-
-    Of a broken member what can be read before the break is taken."""
+def _opener(raw: bytes):
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        d = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor()
-    else:
-        return None
-    out, size, at = [], 0, 0
-    try:
-        while at < len(raw) and size < room and not d.eof:
-            piece = raw[at : at + 4096]
-            at += len(piece)
-            while size < room:
-                got = d.decompress(piece, room - size)
-                out.append(got)
-                size += len(got)
-                piece = getattr(d, "unconsumed_tail", b"")
-                if d.eof or not piece and (not got or getattr(d, "needs_input", True)):
-                    break
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return (b"".join(out), b"") if size else None
-    return b"".join(out), d.unused_data + raw[at:] if d.eof else b""
-
-
-def _inflate(raw: bytes) -> tuple[bytes | None, bytes, bool]:
-    """What the compressed members of a block hold together, what follows them, and whether it was too large.
-
-    None if the block is not compressed."""
-    out, size, rest = [], 0, raw
-    while got := _member(rest, MAX_LAYER + 1 - size):
-        out.append(got[0])
-        size += len(got[0])
-        if size > MAX_LAYER:
-            return None, b"", True
-        rest = got[1].lstrip(b"\0")  # members may be padded
-    return (b"".join(out), rest, False) if out else (None, raw, False)
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _stream(raw: bytes, rest: list[bytes]) -> Iterator[bytes]:
+    """What the compressed members of a block hold, part by part; what follows them, or the first broken one, goes to ``rest``.
+
+    Of a broken member what can be read before the break is given too."""
+    while (d := _opener(raw)) is not None:
+        at = 0
+        try:
+            while at < len(raw) and not d.eof:
+                piece = raw[at : at + 65_536]
+                at += len(piece)
+                while True:
+                    if got := d.decompress(piece, SHARED):
+                        yield got
+                    piece = getattr(d, "unconsumed_tail", b"")
+                    if d.eof or not piece and (not got or getattr(d, "needs_input", False)):
+                        break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            break
+        if not d.eof:
+            break
+        raw = (d.unused_data + raw[at:]).lstrip(b"\0")  # members may be padded
+    rest.append(raw)
+
+
+def _windows(raw: bytes, rest: list[bytes]) -> Iterator[bytes]:
+    held = bytearray()
+    fresh = False
+    for part in _stream(raw, rest):
+        held += part
+        fresh = True
+        if len(held) >= WINDOW:
+            yield bytes(held)
+            del held[: len(held) - SHARED]
+            fresh = False
+    if fresh:
+        yield bytes(held)
 
 
 def _as_text(raw: bytes) -> tuple[str, np.ndarray]:
@@ -161,6 +174,29 @@ def _unicode(run: str) -> list[tuple[str, int, int]] | None:
     return out or None
 
 
+def _deepest(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray] | None:
+    """As _in_place, for URL and Unicode escapes however deep: each decoded character may end an escape in turn.
+
+    Bytes beyond ASCII become one character each, which no pattern asks for."""
+    chars, starts, ends, fresh, some = [], [], [], [], False
+    for i, c in enumerate(text):
+        chars.append(c)
+        starts.append(i)
+        ends.append(i + 1)
+        fresh.append(False)
+        while chars[-1] in ENDS_ESCAPE and (m := LAST_ESCAPE.search("".join(chars[-10:]))):
+            n = len(m[0])
+            code = next(int(g, 10 if k == 6 else 16) for k, g in enumerate(m.groups(), 1) if g)
+            first, last = starts[-n], ends[-1]
+            del chars[-n:], starts[-n:], ends[-n:], fresh[-n:]
+            chars.append(chr(code) if code < 0x110000 else "\ufffd")
+            starts.append(first)
+            ends.append(last)
+            fresh.append(True)
+            some = True
+    return ("".join(chars), np.array(starts, np.int64), np.array(ends, np.int64), np.array(fresh, bool)) if some else None
+
+
 def _wide(run: str) -> list[tuple[str, int, int]] | None:
     held = [i for i, c in enumerate(run) if c != "\0"]
     width = len(run) // len(held)
@@ -174,6 +210,9 @@ def _pieces(text: str) -> Iterator[list[tuple[int, int]]]:
     block of lines of one length with the shorter line that ends it."""
     for m in BASE64.finditer(text):
         yield [m.span()]
+        # a name and a joint before the run itself: the joint is base64 too, of the other alphabet
+        if len(parts := PART.findall(m[0])) and parts != [m[0]]:
+            yield from ([(m.start() + p.start(), m.start() + p.end())] for p in PART.finditer(m[0]))
     for m in LINES.finditer(text):
         cuts = [m.start(), *(m.start() + x for b in BREAK.finditer(m[0]) for x in b.span()), m.end()]
         lines = list(zip(cuts[::2], cuts[1::2], strict=True))
@@ -211,18 +250,18 @@ def _at(places: np.ndarray, index: np.ndarray) -> np.ndarray:
     return np.broadcast_to(places[0], len(index)) if len(places) and places.strides == (0,) else places[index]
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Base matches, all matches (start, kind, end), layers opened, layers left closed for their size."""
+def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """Base matches, all matches (start, kind, end), layers opened."""
     text = text or ""
     base = matches(text)
-    spans, seen, opened, closed = set(base), set(), 0, 0
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]  # None: the text itself
+    spans, seen, opened = set(base), set(), 0
+    work: list[tuple[str, np.ndarray | None, np.ndarray | None, int]] = [(text, None, None, 0)]  # None: the text itself
 
-    def push(layer: str, starts: np.ndarray, ends: np.ndarray, fresh: np.ndarray | None) -> None:
+    def push(layer: str, starts: np.ndarray, ends: np.ndarray, fresh: np.ndarray | None, depth: int) -> None:
         nonlocal opened
         if not layer:
             return
-        key = (layer, int(starts.min()), int(ends.max()))
+        key = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), int(starts.min()), int(ends.max()))
         if key in seen or layer == text:
             return
         seen.add(key)
@@ -230,36 +269,62 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         for a, kind, b in matches(layer):
             if fresh is None or fresh[a:b].any():
                 spans.add((int(starts[a:b].min()), kind, int(ends[a:b].max())))
-        work.append((layer, starts, ends))
+        work.append((layer, starts, ends, depth))
+
+    def unwrap(layer: str, starts: np.ndarray | None, ends: np.ndarray | None, depth: int) -> None:
+        escapes = ("%", lambda t: _in_place(t, URL_ESCAPE, _url)), ("\\&", lambda t: _in_place(t, UNICODE_ESCAPE, _unicode))
+        if depth >= DEPTH:
+            escapes = (("%\\&", _deepest),)
+        for marks, decoded in (*escapes, ("\0", lambda t: _in_place(t, WIDE, _wide))):
+            if any(c in layer for c in marks) and (got := decoded(layer)):
+                new, a, b, fresh = got
+                push(new, a if starts is None else _at(starts, a), b if ends is None else _at(ends, b - 1), fresh, depth + 1)
 
     while work:
-        layer, starts, ends = work.pop()
-        for mark, pattern, decode in (("%", URL_ESCAPE, _url), ("\\&", UNICODE_ESCAPE, _unicode), ("\0", WIDE, _wide)):
-            if any(c in layer for c in mark) and (got := _in_place(layer, pattern, decode)):
-                new, a, b, fresh = got
-                push(new, a if starts is None else _at(starts, a), b if ends is None else _at(ends, b - 1), fresh)
-        blocks = ((raw, a if starts is None else _at(starts, a), b if ends is None else _at(ends, b - 1)) for raw, a, b in _runs(layer))
-        for block in blocks:
-            packed = [block]
+        layer, starts, ends, depth = work.pop()
+        unwrap(layer, starts, ends, depth)
+        for raw, a, b in _runs(layer):
+            packed = [(raw, a if starts is None else _at(starts, a), b if ends is None else _at(ends, b - 1))]
             while packed:
                 raw, a, b = packed.pop()
+                if not raw:
+                    continue
                 lo, hi = int(a.min()), int(b.max())
-                inner, rest, large = _inflate(raw)
-                if inner is None and not large:
+                if _opener(raw) is None:
                     new, at = _as_text(raw)
-                    push(new, _at(a, at[:-1]), _at(b, at[1:] - 1), None)
+                    push(new, _at(a, at[:-1]), _at(b, at[1:] - 1), None, 0)
                     continue
-                key = (hashlib.sha256(raw).digest(), lo, hi)
+                key = ("bytes", hashlib.sha256(raw).digest(), lo, hi)
                 if key in seen:
                     continue
                 seen.add(key)
-                closed += large
-                hi = hi if large else int(b[: len(b) - len(rest)].max())
-                if inner:
-                    packed.append((inner, np.broadcast_to(np.int64(lo), len(inner)), np.broadcast_to(np.int64(hi), len(inner))))
-                if rest:
-                    packed.append((rest, a[len(a) - len(rest) :], b[len(b) - len(rest) :]))
-    return base, sorted(spans), opened, closed
+                rest: list[bytes] = []
+                windows = _windows(raw, rest)
+                first, second = next(windows, None), next(windows, None)
+                if second is None:
+                    inside = b[: len(b) - len(rest[0])]
+                    packed.append((first or b"", *_one_place(lo, int(inside.max()) if len(inside) else hi, len(first or b""))))
+                else:  # one window at a time is held; what it holds is opened before the next
+                    for window in itertools.chain((first, second), windows):
+                        spans.update((lo, kind, hi) for kind in scan_layer(window))
+                left = rest[0], a[len(a) - len(rest[0]) :], b[len(b) - len(rest[0]) :]
+                if _opener(left[0]) is None:
+                    packed.append(left)
+                else:  # broken, or it only began like something compressed
+                    new, at = _as_text(left[0])
+                    push(new, _at(left[1], at[:-1]), _at(left[2], at[1:] - 1), None, 0)
+    return base, sorted(spans), opened
+
+
+def scan_layer(raw: bytes) -> set[int]:
+    """The kinds of secrets in a window of what is compressed, its own layers included."""
+    if _opener(raw) is not None:
+        raw = base64.b64encode(raw)
+    return {kind for _, kind, _ in scan(raw.decode("latin-1"))[1]}
+
+
+def _one_place(lo: int, hi: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.broadcast_to(np.int64(lo), n), np.broadcast_to(np.int64(hi), n)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -270,15 +335,15 @@ def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for text in pdf.text:
-            base, spans, layers, closed = scan(text)
+            base, spans, layers = scan(text)
             counts = np.bincount([k for _, k, _ in base], minlength=3)
-            rows.append((*map(int, counts), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), layers, closed))
-        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_closed"])
+            rows.append((*map(int, counts), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), layers))
+        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers"])
         out.insert(0, "doc_id", pdf.doc_id.to_numpy())
         yield out
 
 
-REPORT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_closed long"
+REPORT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +351,9 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text has no spans (digest of the empty string). Spans are in code points, end exclusive, ordered by
     start and kind; a secret in a compressed layer has the span of the run that holds it. Repeated rows are each
-    reported. n_layers counts the layers opened, n_closed those left closed because they exceed MAX_LAYER bytes.
+    reported; columns beside the two are not read; an empty table gives no row. n_layers counts the layers opened. Escapes
+    nested deeper than DEPTH are unwrapped to their end at once. A very long text is taken whole; what unpacks to more
+    than WINDOW bytes is read window by window.
     """
     named = only(docs, id_col, text_col).toDF("doc_id", "text")
     return named.mapInPandas(_report, REPORT)

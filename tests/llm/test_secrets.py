@@ -35,7 +35,7 @@ def test_base_matches_equal_plain_patterns():
 
 
 def spans(text):
-    base, every, _, _ = secrets.scan(text)
+    base, every, _ = secrets.scan(text)
     return [(text[a:b], secrets.KINDS[k]) for a, k, b in every if (a, k, b) not in base]
 
 
@@ -84,15 +84,50 @@ def coded(raw):
 
 
 def test_a_gzip_that_unpacks_to_itself_ends(monkeypatch):
-    real = secrets._member
-    monkeypatch.setattr(secrets, "_member", lambda raw, room: (raw, b"") if raw[:4] == b"\x1f\x8b\x08Q" else real(raw, room))
+    real = secrets._stream
+
+    def stream(raw, rest):
+        if raw[:4] != b"\x1f\x8b\x08Q":
+            yield from real(raw, rest)
+        else:
+            yield raw
+            rest.append(b"")
+
+    monkeypatch.setattr(secrets, "_stream", stream)
     assert secrets.scan(coded(b"\x1f\x8b\x08Q" + bytes(60)))[1] == []
 
 
-def test_a_large_second_layer_is_counted(monkeypatch):
-    monkeypatch.setattr(secrets, "MAX_LAYER", 10_000)
-    assert secrets.scan(coded(gzip.compress(gzip.compress(bytes(20_000)))))[3] == 1
-    assert secrets.scan(coded(gzip.compress(gzip.compress(bytes(9_000)))))[3] == 0
+def test_layers_of_many_windows_are_read_to_their_end(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 10_000)
+    monkeypatch.setattr(secrets, "SHARED", 1_000)
+    for at in (0, 9_990, 25_000, 39_000):
+        body = b"." * at + f" {KEY} ".encode() + b"." * (40_000 - at)
+        for raw in (gzip.compress(body), zlib.compress(zlib.compress(body)), bz2.compress(body) + gzip.compress(b"tail"), gzip.compress(coded(gzip.compress(f" {KEY}".encode())).encode() + body[:at])):
+            assert [k for _, k in spans(f"a {coded(raw)} b")] == ["assign"], at
+    assert spans(f"a {coded(gzip.compress(bytes(30_000)) + f' {KEY}'.encode())} b")
+
+
+def test_a_bomb_is_read_in_windows():
+    body = bytes(20_000_000) + f" {KEY}".encode()
+    assert [k for _, k in spans(coded(zlib.compress(body)))] == ["assign"]
+
+
+def test_escapes_within_escapes_take_linear_time():
+    import time
+
+    for text in ("%" + "25" * 300_000 + "41", "%25" * 200_000, "\\u0025" * 50_000 + "41", "%5Cu0025" * 50_000):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 20
+    deep = "".join(f"%{ord(c):02x}" for c in KEY)
+    for _ in range(30):
+        deep = deep.replace("%", "%25")
+    assert [k for _, k in spans(deep)] == ["assign"]
+
+
+def test_base64_behind_a_name():
+    for joint in ("key_", "x-y-", "id_"):
+        assert "assign" in [k for _, k in spans(f"a {joint}{coded(KEY.encode())} b")]
 
 
 def test_every_member_and_what_follows_is_read():
