@@ -11,6 +11,8 @@ import pandas as pd
 from tessera.llm.common import mix64
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as parts of words there but are no letters: numerals such as fractions and Roman numbers.
+NUMERAL = re.compile(r"[^\W\d_a-z]")
 #: Hash slots of features, and characters of text that are handled together.
 SLOTS, BATCH_CHARS = 1 << 18, 500_000
 
@@ -22,9 +24,16 @@ def pieces(pdf: pd.DataFrame, column: str = "text", chars: int = BATCH_CHARS) ->
         yield part
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters; numerals that are no decimal digits part them as digits do."""
+    if not text.isascii() and (numerals := {c for c in set(NUMERAL.findall(text)) if not c.isalpha()}):
+        text = text.translate(dict.fromkeys(map(ord, numerals), " "))
+    return LETTERS.findall(text)
+
+
 def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct letter runs in lower case, the code of each word in order, and the number of words of each text."""
-    found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    found = [letter_runs(t.lower()) if t else [] for t in texts]
     counts = np.array([len(w) for w in found], np.int64)
     if not counts.sum():
         return [], np.empty(0, np.int64), counts

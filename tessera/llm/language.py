@@ -144,7 +144,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     named = only(docs, "doc_id", "text", "lang").filter(f"text is not null and lang is not null and not {HELD_OUT}")
     chosen = named.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the ids alone are sorted; at most ``sample`` of them are broadcast to fetch the texts
-    rows = named.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").distinct().collect()
+    one = F.min(F.struct("text", "lang")).alias("r")  # one text an id, however many rows share it
+    rows = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.lang))
     return fit([r.text for r in rows], [r.lang for r in rows])
 

@@ -148,19 +148,36 @@ def mix_sources(
 def draw_documents(docs: DataFrame, max_passes: float = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as mix_sources draws it; texts are not shuffled.
 
-    Each pass is a prefix of the source's order, so its last key per source and pass tells which rows are drawn.
+    Each pass is a prefix of the source's order, so its last key per source and pass, and how many rows with that key are
+    drawn, tell which rows are: equal rows at the cut are numbered by their place in the table and cut by number. Nulls
+    and empty tables are as in mix_sources; columns of any name are kept.
     """
     counts = settle(token_counts(docs), "tokens")
     passes = settle(source_passes(counts, max_passes, entropy, budget).coalesce(1), "passes")
+    own = "_" * (1 + max(map(len, docs.columns)))  # begins no column of docs
+    s, epoch, end, drawn, place = (f"{own}{x}" for x in ("s", "epoch", "end", "drawn", "place"))
+    d = lambda c: F.coalesce(c, F.lit(-(2**63)))
     ends = (
         plan_mix(counts, passes, seed)
-        .groupBy(F.col("source").alias("_s"), F.col("epoch").alias("_epoch"))
-        .agg(F.max(F.struct("order_key", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "n_tokens")).alias("_end"))
-    )
+        .groupBy(F.col("source").alias(s), F.col("epoch").alias(epoch), "order_key", d("doc_id").alias("d"), "n_tokens").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(s, epoch).agg(F.max(F.struct("order_key", "d", "n_tokens", "n")).alias("last"))
+        .select(s, epoch, F.struct("last.order_key", "last.d", "last.n_tokens").alias(end), F.col("last.n").alias(drawn))
+    )
     ends = settle(ends.coalesce(1), "pass_ends")
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.struct(md5_key(F.lit(seed), F.col("_epoch"), F.col("doc_id")).alias("order_key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), n.alias("n_tokens"))
-    return docs.join(ends, F.col("source").eqNullSafe(F.col("_s"))).filter(key <= F.col("_end")).select(*[docs[f"`{c}`"] for c in docs.columns])
+    key = F.struct(md5_key(F.lit(seed), F.col(epoch), F.col("doc_id")).alias("order_key"), d(F.col("doc_id")).alias("d"), n.alias("n_tokens"))
+    passed = docs.join(ends, F.col("source").eqNullSafe(F.col(s)))
+    before = passed.filter(key < F.col(end))
+    last = settle(passed.filter(key == F.col(end)).withColumn(place, F.monotonically_increasing_id()), "cut_rows")
+    part = F.shiftright(place, 33)  # the partition that read the row
+    sums = last.groupBy(s, epoch, part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy(s, epoch).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(s).alias(f"{own}s2"), F.col(epoch).alias(f"{own}epoch2"), F.col("part").alias(f"{own}part2"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(f"{own}ahead"))
+    number = F.row_number().over(Window.partitionBy(s, epoch, part).orderBy(place))
+    numbered = last.withColumn(f"{own}n", number).withColumn(f"{own}part", part)
+    numbered = numbered.join(sums, F.col(s).eqNullSafe(F.col(f"{own}s2")) & (F.col(epoch) == F.col(f"{own}epoch2")) & (F.col(f"{own}part") == F.col(f"{own}part2")))
+    cut = numbered.filter(F.col(f"{own}n") + F.col(f"{own}ahead") <= F.col(drawn)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return before.select(*[docs[f"`{c}`"] for c in docs.columns]).unionAll(cut)
 
 
 ORACLE = rf"""

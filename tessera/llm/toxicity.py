@@ -128,7 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str, sample: int = SAMPLE)
     named = labels.select("doc_id", F.expr(grade).cast("int").alias("grade")).filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = only(docs, "doc_id", "text").filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").distinct().collect()  # ``sample`` rows
+    one = F.min("text").alias("text")  # one text an id, however many rows share it
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(one).select("doc_id", "text", "grade").collect()  # ``sample`` rows
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows], [r.grade for r in rows])
 

@@ -100,3 +100,14 @@ def test_no_python_in_the_plan(spark):
     df = mixing.mix_sources(frame(spark, rows_of({"a": 20, "b": 5})))
     plan = df._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_equal_rows_at_the_cut_are_cut_by_number(spark):
+    rows = [(7, "a b c", "small")] * 200 + [(i, "a b c", "big") for i in range(282)]
+    docs = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, source string, _s int, epoch string").repartition(5)
+    plan = mixing.mix_sources(docs).groupBy("source").count()
+    drawn = mixing.draw_documents(docs)
+    assert drawn.columns == docs.columns
+    assert {r.source: r["count"] for r in drawn.groupBy("source").count().collect()} == {r.source: r["count"] for r in plan.collect()}
+    per = {r._s: r["count"] for r in drawn.groupBy("_s").count().collect()}
+    assert set(per) == set(range(482)) and set(per.values()) <= {1, 2}

@@ -102,3 +102,11 @@ def test_severity_is_learned_in_order_and_held_out(spark):
     assert toxicity.grade_documents(df.limit(0), model).collect() == []
     assert toxicity.learn(df, spark.createDataFrame([], "doc_id long, grade int"), "grade") is None
     assert {r.severity for r in toxicity.grade_documents(df, None).collect()} == {0.0}
+
+
+def test_numerals_are_no_letters():
+    from tessera.llm.features import letter_runs
+
+    assert letter_runs("½ ² ⅷ 3 _") == []
+    assert letter_runs("a½b été² 漢字") == ["a", "b", "été", "漢字"]
+    assert all(c.isalpha() for w in letter_runs("".join(map(chr, range(32, 0x3000)))) for c in w)
