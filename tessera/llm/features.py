@@ -14,7 +14,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters that count as parts of words there but are no letters: numerals such as fractions and Roman numbers.
 NUMERAL = re.compile(r"[^\W\d_a-z]")
 #: Hash slots of features, and characters of text that are handled together.
-SLOTS, BATCH_CHARS = 1 << 18, 500_000
+SLOTS, BATCH_CHARS = 1 << 18, 350_000
 
 
 def pieces(pdf: pd.DataFrame, column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:

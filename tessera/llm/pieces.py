@@ -26,8 +26,9 @@ from tessera.llm.common import only
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-#: Characters of text that are encoded together; words, and pairs of pieces, remembered between batches.
-BATCH_CHARS, REMEMBERED = 1_000_000, 250_000
+#: Characters of text that are encoded together; words, and pairs of pieces, that a task remembers between batches: more
+#: take more memory and spare work.
+BATCH_CHARS, REMEMBERED = 300_000, 250_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -85,7 +86,8 @@ class Known(dict):
 class Model:
     """Pieces of a SentencePiece model file whose normaliser is the identity."""
 
-    def __init__(self, proto: bytes, model_type: int | None = None):
+    def __init__(self, proto: bytes, model_type: int | None = None, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.pieces, self.scores, kinds, trainer, norm = [], [], [], {}, {}
         for number, value in _fields(proto):
             if number == 1:
@@ -148,7 +150,7 @@ class Model:
         moves, key = self._moves, state << 21 | c
         while (to := moves.get(state << 21 | c)) is None and state:
             state = self._fail[state]
-        if len(moves) < len(self._fail) + REMEMBERED:
+        if len(moves) < len(self._fail) + self.remembered // 2:
             moves[key] = to or 0
         return to or 0
 
@@ -182,7 +184,7 @@ class Model:
     def neighbours(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' characters gives the two pieces."""
         if (got := self._neighbours.get(left << 32 | right)) is None:
-            if len(self._neighbours) >= 2 * REMEMBERED:
+            if len(self._neighbours) >= self.remembered:
                 self._neighbours.clear()
             a = self.pieces[left]
             got = self._neighbours[left << 32 | right] = self.merged(a + self.pieces[right], len(a)) is not None
@@ -254,7 +256,7 @@ class Model:
         marked = self.marked(texts)
         counts = np.array([len(w) for w in marked], np.int64)
         flat = list(itertools.chain.from_iterable(marked))
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.keep(self.known.uses > 2)
         before = len(self.known)
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
@@ -273,9 +275,9 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def _encoded(proto, model_type: int | None, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encoded(proto, model_type: int | None, remembered: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     # the model lives as long as its task: a worker goes on to other work without it
-    model = Model(proto.value, model_type)
+    model = Model(proto.value, model_type, remembered)
     for pdf in batches:
         lengths = pdf.text.str.len().fillna(0).to_numpy(float)
         for _, part in pdf.groupby((np.cumsum(lengths) // BATCH_CHARS).astype(int), sort=True):
@@ -304,15 +306,16 @@ def _file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, model_path: str, model_type: int | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, model_type: int | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256 (of the ids as little-endian 32-bit integers) and decodes, for every row.
 
-    ``model_type`` overrides the kind that the file names (1 unigram, 2 merges). A null or empty text has no ids.
-    ``decodes`` says whether the ids give back the text; only a text that holds the mark character itself may not.
-    Repeated rows are each encoded; other columns are not read.
+    ``model_type`` overrides the kind that the file names (1 unigram, 2 merges); ``remembered`` bounds the memory of a task
+    and changes no result. A null or empty text has no ids. ``decodes`` says whether the ids give back the text; only a text
+    that holds the mark character itself may not. Repeated rows are each encoded; other columns are not read; a very long
+    text is encoded whole; an empty table gives no row.
     """
     proto = _file(docs.sparkSession, model_path)
-    return only(docs, "doc_id", "text").mapInPandas(functools.partial(_encoded, proto, model_type), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decodes boolean")
+    return only(docs, "doc_id", "text").mapInPandas(functools.partial(_encoded, proto, model_type, remembered), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decodes boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
