@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row."""
-    return pieces.encode_documents(docs, pieces.default_model())
+    """Token ids of each row. Workers stand beside executors that hold what the stages before have left: they remember less."""
+    return pieces.encode_documents(docs, pieces.default_model(), remembered=50_000)
 
 
 def small_batches(stage):
