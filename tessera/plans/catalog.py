@@ -436,7 +436,18 @@ def topic_related(spark, sf):
     return member.withColumn("r", F.row_number().over(order)).filter("r between 2 and 11").select("cluster", "id", "score", (F.col("r") - 1).alias("place"))
 
 
-@query()
+STEPS = """
+nb AS (SELECT id, list(n) AS ns FROM (SELECT a AS id, b AS n FROM pair UNION ALL SELECT b, a FROM pair) GROUP BY id),
+s AS (SELECT o.id, o.i, coalesce(nb.ns, []::BIGINT[]) AS ns FROM o LEFT JOIN nb USING (id))"""
+
+
+@query(
+    f"WITH RECURSIVE {ARTICLES}, {S.title_pairs('art', 0.4)}, o AS (SELECT id, row_number() OVER (ORDER BY coalesce(score, 0) DESC, id) AS i FROM art), {STEPS}, "
+    "r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT s.i, CASE WHEN list_has_any(s.ns, r.kept) THEN r.kept ELSE list_append(r.kept, s.id) END FROM r JOIN s ON s.i = r.i + 1), "
+    "k AS (SELECT unnest(arg_max(kept, i)) AS id FROM r), n AS (SELECT id, unnest(ns) AS n FROM s), "
+    "p AS (SELECT n.id, arg_min(o.id, o.i) AS primary_id FROM n JOIN k ON k.id = n.n JOIN o ON o.id = n.n WHERE n.id NOT IN (SELECT id FROM k) GROUP BY n.id) "
+    "SELECT s.id, p.primary_id IS NULL AS kept, p.primary_id FROM s LEFT JOIN p USING (id)"
+)
 def greedy_dedup(spark, sf):
     rows = _titles(spark, sf)
     return similarity.first_independent(rows, similarity.similar_titles(rows), [-F.coalesce("score", F.lit(0.0))])
@@ -451,7 +462,13 @@ def cosine_pairs(spark, sf):
     return similarity.cosine_pairs(_vectors(spark, sf), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE pair AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.3), "
+    f"o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings), {STEPS}, "
+    "r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS leader, []::BIGINT[] AS members UNION ALL "
+    "SELECT i, list_concat(used, members), leader, members FROM (SELECT s.i, r.used, s.id AS leader, CASE WHEN list_contains(r.used, s.id) THEN []::BIGINT[] ELSE list_filter(list_prepend(s.id, s.ns), lambda x: NOT list_contains(r.used, x)) END AS members FROM r JOIN s ON s.i = r.i + 1)) "
+    "SELECT unnest(members) AS id, leader FROM r WHERE len(members) > 1"
+)
 def leader_clusters(spark, sf):
     rows = _vectors(spark, sf)
     return similarity.leader_clusters(rows, similarity.cosine_pairs(rows, 0.3))
