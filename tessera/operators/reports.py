@@ -104,3 +104,62 @@ def as_of(reports: DataFrame, wanted: DataFrame, within: int | None = 3) -> Data
         last = Window.orderBy("d", "ask").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
         return both.withColumn("report_date", F.last("report_date", ignorenulls=True).over(last)).filter("ask = 1 and report_date is not null").select(F.col("d").alias("wanted"), "report_date", (F.col("report_date") < F.col("d")).alias("is_stale"))
     return found.groupBy("wanted").agg(F.max("report_date").alias("report_date")).withColumn("is_stale", F.col("report_date") < F.col("wanted"))
+
+
+def top_categories(df: DataFrame, order: list[Column], n: int = 3) -> DataFrame:
+    """The ``n`` commonest categories, ties by first appearance: category, n, first (the smallest order key as a struct)."""
+    return df.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")).orderBy(F.desc("n"), "first").limit(n)
+
+
+def article_card(df: DataFrame) -> DataFrame:
+    """The card of an article in a report: an empty excerpt counts as none, and the text's first 200 characters stand in."""
+    text = F.coalesce(F.nullif(F.col("excerpt"), F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, 200))
+    return df.withColumn("excerpt", text)
+
+
+def insight_lines(insights: Column, summary: Column) -> Column:
+    """The first four insights, or else the first three parts of the summary between line breaks and full stops."""
+    parts = F.filter(F.transform(F.split(F.coalesce(summary, F.lit("")), "\n|。"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(F.coalesce(insights, F.array().cast("array<string>"))) > 0, F.slice(insights, 1, 4)).otherwise(F.slice(parts, 1, 3))
+
+
+def section_articles(articles: Column, subsections: Column) -> Column:
+    """A section's own articles, then those of its subsections in order; null lists are empty."""
+    inner = F.flatten(F.transform(F.coalesce(subsections, F.array()), lambda s: F.coalesce(s["articles"], F.array())))
+    return F.concat(F.coalesce(articles, F.array()), inner)
+
+
+def feed_items(report: DataFrame, date: str, titles: DataFrame, names: dict[str, str], summary: str | None = None) -> DataFrame:
+    """A daily report (section, rank, id, score) as feed items, one for each section in the order of ``names``: place, title,
+    description (ten numbered titles with their scores), guid, category. A summary comes first. ``titles`` has id and title."""
+    label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("section")]
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("section")).cast("int")
+    score = F.when(F.coalesce("score", F.lit(0.0)) != 0, F.concat(F.lit(" ("), F.col("score").cast("long"), F.lit(")"))).otherwise(F.lit(""))
+    line = F.concat(F.col("rank"), F.lit(". "), F.col("title"), score)
+    lines = report.filter("rank <= 10").join(titles, "id").groupBy("section").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    items = lines.select(
+        order.alias("place"), F.coalesce(label, F.lit("Section")).alias("title"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("description"),
+        F.concat(F.lit(f"daily-{date}-"), "section").alias("guid"), F.col("section").alias("category"),
+    )
+    if not summary:
+        return items
+    first = report.sparkSession.createDataFrame([(0, "Summary", summary, f"daily-{date}-summary", "summary")], "place int, title string, description string, guid string, category string")
+    return first.unionByName(items)
+
+
+def period_overview(df: DataFrame, start: dt.datetime, end: dt.datetime, sources: int) -> DataFrame:
+    """One row over a week or month: counts of each category, total, mean score, the commonest sources in order with their
+    counts, and one insight for each category that has items, by count."""
+    chosen = between(df, start - ZONE, end - ZONE).filter((F.col("status") == "selected") & (F.col("score") >= PUBLISH))
+    row = category_distribution(chosen)
+    ranked = top_sources(chosen, "source_id", "id", sources).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "first", "source", "n"))).alias("l"))
+    best = ranked.select(F.array_join(F.transform("l", lambda x: F.concat(x["source"], F.lit(" "), x["n"])), ", ").alias("top_sources"))
+    each = F.array(*[F.struct((-F.col(c)).alias("k"), F.lit(i).alias("i"), F.lit(c).alias("name"), F.col(c).alias("n")) for i, c in enumerate(CATEGORIES)])
+    lines = F.transform(F.array_sort(F.filter(each, lambda x: x["n"] > 0)), lambda x: F.concat(x["name"], F.lit(": "), x["n"]))
+    return row.withColumns({"insights": F.array_join(lines, "\n"), "top_sources": best.scalar()})
+
+
+def display_counts(df: DataFrame, today: str, days: int = 7) -> DataFrame:
+    """Published items of the local day, and of the days before it back to ``days``."""
+    age = F.datediff(F.lit(today).cast("date"), F.to_date(F.from_utc_timestamp("pub_date", "Asia/Shanghai")))
+    return df.agg(F.count_if(age == 0).alias("today"), F.count_if(age.between(1, days)).alias("recent"), F.max("pub_date").alias("latest"))
