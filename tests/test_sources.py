@@ -85,3 +85,53 @@ def test_day_without_selected_items_shows_the_week_before(spark):
     rows = [(1, dt.datetime(2024, 1, 5, 3), 40.0, "selected"), (2, dt.datetime(2024, 1, 6, 3), 5.0, "selected"), (3, dt.datetime(2024, 1, 8, 3), 20.0, "pending")]
     df = spark.createDataFrame(rows, "id long, pub_date timestamp, score double, status string")
     assert sorted((r.section, r.rank, r.id) for r in reports.daily_report(df, "2024-01-08").collect()) == [("recent_highlights", 1, 1), ("review_signals", 1, 3)]
+
+
+def test_dangerous_elements_and_attributes_are_taken_out():
+    page = (
+        "<article>" + "<p>" + "Text of the story. " * 12 + '</p><object data="x"><p>inner</p></object><embed src="y"><svg onload="z()"></svg><math></math><base href="//evil"><meta http-equiv="refresh">'
+        '<a xlink:href=" JavaScript:x()" style="background:url( javascript:1)">a</a><p style="background:url(pic.png)">kept</p></article>'
+    )
+    markup, _, text = html.body_of(page, "https://x.org/")
+    for word in ("object", "embed", "svg", "math", "base", "meta", "onload", "avaScript", "javascript", "inner"):
+        assert word not in markup, word
+    assert "url(pic.png)" in markup and "kept" in text
+
+
+def test_head_of_a_body_is_stripped_to_its_first_real_child():
+    story = "<p>" + "Text of the story. " * 12 + "</p>"
+    _, _, text = html.body_of(f'<article><div class="top-bar">Hello</div><p>Sign in</p><div><a href="/x">All</a></div><div></div><h2>Head</h2>{story}<p>Login below stays</p></article>', None)
+    assert text.split()[:2] == ["Head", "Text"] and "Login below stays" in text
+    _, cover, _ = html.body_of(f'<article>{story}<img src="a.jpg" width="20" height="400"><img src="b.jpg" width="640"></article>', "https://x.org/a/")
+    assert cover == "https://x.org/a/b.jpg"
+
+
+def test_titles_and_dates_by_their_cascades(spark):
+    rows = [
+        ("<meta content='Title by meta' property='og:title'><h1>Another headline</h1>", "Title by meta"), ('<meta name="twitter:title" content="short"><div class="x aTitle">Title by class</div>', "Title by class"),
+        ("<h1>First headline</h1><article><p>x</p><h1>Article headline</h1></article>", "Article headline"), ("<h1>新闻标题</h1><title>No title of these</title>", None),
+    ]
+    got = spark.createDataFrame(rows, "html string, want string").select("want", html.page_title(F.col("html")).alias("t")).collect()
+    assert [r.t for r in got] == [r.want for r in got]
+    rows = [
+        ('<meta name="pubdate" content="2024-02-03"><time datetime="2024-01-01">x</time>', "u", "2024-02-03"), ('<meta name="pubdate" content="1980-02-03"><time>2024-01-01</time>', "u", "2024-01-01"),
+        ("<head>2001-01-01</head><body>on 2024年3月5日 we</body>", "u", "2024-03-05"), ("<body>nothing</body>", "https://x/?a=1&_t=1700000000#x", "2023-11-14"), ("<body>2031-01-01</body>", "u", None),
+    ]
+    got = spark.createDataFrame(rows, "html string, url string, want string").select("want", F.to_date(html.published_at(F.col("html"), as_of(), F.col("url"))).cast("string").alias("t")).collect()
+    assert [r.t for r in got] == [r.want for r in got]
+
+
+def test_links_are_resolved_as_readers_do(spark):
+    from urllib.parse import urljoin
+
+    base = "https://x.org/a/b/c.html?q=1#f"
+    links = ["/n", "d.html", "./d.html", "../d.html", "../../../d", "?p=2", "#top", "", "//y.org/z", "http://y.org", "mailto:a@b", "d/../e?x=/../1", "..", ".", "d/"]
+    got = {r.h: r.u for r in spark.createDataFrame([(h, base) for h in links], "h string, b string").select("h", html.resolve(F.col("h"), F.col("b")).alias("u")).collect()}
+    assert got == {h: urljoin(base, h) if h else "https://x.org/a/b/c.html?q=1" for h in links}
+
+
+def test_answers_that_are_no_pages(spark):
+    rows = [(1, "%PDF-1.4", "u", None), (2, PAGE, "https://x.org/a", "image/png"), (3, PAGE, "https://x.org/a", "text/html"), (4, None, "u", None), (5, '<meta name="description" content="A description of the page.">', "u", "")]
+    got = {r.page_id: r for r in html.article_page(spark.createDataFrame(rows, "page_id long, html string, url string, kind string"), as_of(), content_type="kind").collect()}
+    assert [got[i].title for i in (1, 2, 4)] == [None] * 3 and got[3].title == "A headline here" and not got[3].summary_only
+    assert got[5].summary_only and got[5].text == "A description of the page." and got[5].tier == "external"
