@@ -9,7 +9,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import beijing_date
+from tessera.functions.text import beijing_date, encode_cursor
 
 LABELS = {"frontier": "Frontier", "industry_model": "Industry", "regulatory": "Regulation", "dispute": "Disputes", "normative": "Norms"}
 
@@ -85,6 +85,16 @@ def items(df: DataFrame, category: str | None = None, take: int = 20, cursor: tu
     return page.withColumn("place", place).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > take).filter(F.col("place") <= take).withColumn("total", total)
 
 
+def items_page(df: DataFrame, mode: str = "selected", category: str | None = None, after: str | None = None, take: int = 20, cursor: str | None = None, q: str | None = None, columns: tuple[str, ...] = ("title",)) -> DataFrame:
+    """The public listing: ``mode`` selected (published items) or all (pending ones too), published from ``after`` on, of one
+    category, behind a cursor, matching ``q``. On a page that more rows follow, next_cursor tells where to go on."""
+    rows = published(df) if mode == "selected" else df.filter(F.col("status").isin("selected", "pending"))
+    rows = rows if after is None else rows.filter(F.col("pub_date") >= F.lit(after).cast("timestamp"))
+    page = items(rows, category, take, decode_cursor(cursor) if cursor else None, q, columns)
+    last = F.col("has_more") & (F.col("place") == F.max("place").over(Window.partitionBy()))  # of one page
+    return page.withColumn("next_cursor", F.when(last, encode_cursor(F.col("pub_date"), F.col("id"))))
+
+
 def public_item(df: DataFrame) -> DataFrame:
     """The public shape: score 0 for none, the category's label, the review tier."""
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.col("category")]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import xml_escape
+
 
 def upsert(target: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``target`` that no update replaces, and the updates. Keys are unique in ``updates``."""
@@ -44,13 +46,28 @@ def snapshot_guard(fresh: DataFrame, existing: DataFrame, key: list[str], today:
     return fresh.join(closed.select(*key), key, "left_anti").unionByName(closed, allowMissingColumns=True)
 
 
-def feed_xml(items: DataFrame, title: str, link: str) -> DataFrame:
-    """One row, xml: an RSS 2.0 feed of ``items`` (place, title, link, description), which must be a limited list."""
-    from tessera.functions.text import xml_escape
+def feed_xml(items: DataFrame, title: str, link: str, description: str = "", language: str = "en", built: Column | None = None) -> DataFrame:
+    """One row, xml: an RSS 2.0 feed of ``items`` (place, title, link, description, pub_date, guid, category), a limited list.
+
+    A missing category or date has no element; ``built`` is the time of the feed, left out without one."""
+
+    def element(name: str, value: Column, attributes: str = "") -> Column:
+        return F.concat(F.lit(f"<{name}{attributes}>"), xml_escape(F.coalesce(value, F.lit(""))), F.lit(f"</{name}>"))
 
-    item = F.format_string(
-        "<item><title>%s</title><link>%s</link><description>%s</description></item>", *[xml_escape(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "link", "description")]
-    )
+    def where(value: Column, shown: Column) -> Column:
+        return F.when(value.isNotNull(), shown).otherwise(F.lit(""))
+
+    category = F.nullif(F.col("category"), F.lit(""))
+    item = F.concat(
+        F.lit("<item>"), *[element(c, F.col(c)) for c in ("title", "link", "description")], where(F.col("pub_date"), element("pubDate", feed_time(F.col("pub_date")))),
+        element("guid", F.col("guid").cast("string"), ' isPermaLink="false"'), where(category, element("category", category)), F.lit("</item>"),
+    )
     rows = items.agg(F.array_sort(F.collect_list(F.struct("place", item.alias("x")))).alias("rows"))
-    head = f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{title}</title><link>{link}</link>'
-    return rows.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+    head = [element(n, F.lit(v)) for n, v in (("title", title), ("link", link), ("description", description), ("language", language))]
+    head += [] if built is None else [element("lastBuildDate", feed_time(built))]
+    return rows.select(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel>'), *head, F.array_join(F.transform("rows", lambda r: r["x"]), ""), F.lit("</channel></rss>")).alias("xml"))
+
+
+def feed_time(ts: Column) -> Column:
+    """A time as feeds write it, in UTC."""
+    return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")

@@ -604,12 +604,47 @@ def cursor_codec(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.encode_cursor(F.col("o_orderdate"), F.col("o_orderkey")).alias("cursor"))
 
 
-@query()
+def _feed(where: str, n: int, title: str) -> str:
+    """SQL of a feed of the newest items; their titles hold nothing to escape but the links do."""
+    item = (
+        "'<item><title>' || title || '</title><link>https://example.org/a?x=1&amp;id=' || id || '</link><description>' || category || '</description><pubDate>' || strftime(pub_date, '%a, %d %b %Y %H:%M:%S GMT') || "
+        "'</pubDate><guid isPermaLink=\"false\">' || id || '</guid><category>' || category || '</category></item>'"
+    )
+    head = f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{title}</title><link>https://example.org/</link><description>News</description><language>en</language><lastBuildDate>Fri, 01 Mar 2024 00:00:00 GMT</lastBuildDate>'
+    return f"WITH {ITEMS}, f AS (SELECT *, row_number() OVER ({NEWEST}) AS place FROM item WHERE {where} {NEWEST} LIMIT {n}) SELECT {S.q(head)} || coalesce(string_agg({item}, '' ORDER BY place), '') || '</channel></rss>' AS xml FROM f"
+
+
+def _feed_of(rows: DataFrame, n: int, title: str) -> DataFrame:
+    place = F.row_number().over(Window.orderBy(F.desc("pub_date"), F.desc("id")))  # n rows
+    items = listing.newest(rows, n).select(place.alias("place"), "title", F.concat(F.lit("https://example.org/a?x=1&id="), "id").alias("link"), F.col("category").alias("description"), "pub_date", F.col("id").alias("guid"), "category")
+    return sinks.feed_xml(items, title, "https://example.org/", "News", built=F.lit(AS_OF).cast("timestamp"))
+
+
+FEED_TIME = "pub_date >= TIMESTAMP '2001-08-01' - INTERVAL 60 DAY"
+
+
+@query(_feed(f"status = 'selected' AND {FEED_TIME}", 50, "Selected"))
 def xml_feed(spark, sf):
-    rows = listing.newest(listing.published(order_items(spark, sf)), 50)
-    place = F.row_number().over(Window.orderBy(F.desc("pub_date"), F.desc("id")))  # 50 rows
-    items = rows.select(place.alias("place"), "title", F.concat(F.lit("https://example.org/a?x=1&id="), "id").alias("link"), F.col("category").alias("description"))
-    return sinks.feed_xml(items, "Selected", "https://example.org/")
+    return _feed_of(listing.since(listing.published(order_items(spark, sf)), "2001-08-01", 60), 50, "Selected")
+
+
+@query(_feed(f"status <> 'rejected' AND {FEED_TIME}", 100, "All"))
+def xml_feed_all(spark, sf):
+    return _feed_of(listing.since(order_items(spark, sf).filter("status <> 'rejected'"), "2001-08-01", 60), 100, "All")
+
+
+@query(_feed(f"status = 'selected' AND category = 'dispute' AND {FEED_TIME}", 30, "Disputes"))
+def xml_feed_category(spark, sf):
+    return _feed_of(listing.since(listing.published(order_items(spark, sf)).filter("category = 'dispute'"), "2001-08-01", 60), 30, "Disputes")
+
+
+@query(
+    f"WITH {ITEMS}, r AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY pub_date DESC, id DESC) AS place FROM item WHERE status <> 'rejected' AND category = 'regulatory' AND pub_date >= TIMESTAMP '1996-01-01' AND {AFTER}) "
+    "SELECT id, place::INT AS place, total, total > 15 AS has_more, CASE WHEN total > 15 AND place = 15 THEN rtrim(replace(replace(base64(encode(strftime(pub_date, '%Y-%m-%dT%H:%M:%S.%f') || '|' || id)), '+', '-'), '/', '_'), '=') END AS next_cursor FROM r WHERE place <= 15"
+)
+def items_page(spark, sf):
+    cursor = "MTk5OC0wMS0wMVQwMDowMDowMC4wMDAwMDB8NTAwMA"  # the time and id of CURSOR
+    return listing.items_page(order_items(spark, sf), "all", "regulatory", "1996-01-01", 15, cursor).select("id", "place", "total", "has_more", "next_cursor")
 
 
 @query(

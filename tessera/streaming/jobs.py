@@ -24,8 +24,11 @@ def first_by_link(stream: DataFrame, link: str, ts: str, delay: str = "7 days")
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([link])
 
 
-def _limited(window_s: int, limit: int):
+def _limited(window_s: int, limit: int, evict: bool):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (None, 0)
         rows = pd.concat(batches).sort_values(["micros", "id"])
         counts = []
@@ -35,17 +38,23 @@ def _limited(window_s: int, limit: int):
             n += 1
             counts.append(n)
         state.update((start, n))
+        if evict:
+            state.setTimeoutTimestamp(max(start // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": key[0], "id": rows.id, "in_window": counts, "allowed": [c <= limit for c in counts]})
 
     return run
 
 
-def rate_limit(stream: DataFrame, key: str, ts: str, id_col: str, window_s: int, limit: int) -> DataFrame:
+def rate_limit(stream: DataFrame, key: str, ts: str, id_col: str, window_s: int, limit: int, late: str | None = None) -> DataFrame:
     """Each request with its number in its key's window, which begins with the first request after the last one ended.
 
-    State is one window for each key."""
-    rows = stream.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), F.col(id_col).alias("id"))
-    return rows.groupBy("key").applyInPandasWithState(_limited(window_s, limit), "key long, id long, in_window int, allowed boolean", "start long, n int", "append", GroupStateTimeout.NoTimeout)
+    State is one window for each key. With ``late``, how far requests may come out of order, a key whose window has ended that
+    long ago has no state any more, so that state grows with the keys of a window and not with all that ever came."""
+    time = F.col(ts).cast("timestamp")
+    rows = stream.select(F.col(key).alias("key"), time.alias("ts"), F.unix_micros(time).alias("micros"), F.col(id_col).alias("id"))
+    rows = rows.drop("ts") if late is None else rows.withWatermark("ts", late)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("key").applyInPandasWithState(_limited(window_s, limit, late is not None), "key long, id long, in_window int, allowed boolean", "start long, n int", "append", timeout)
 
 
 def _streaks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -27,3 +27,24 @@ def test_rate_limit_holds_no_history_in_a_row(spark):
             start, n = (t, 1) if start is None or t - start > 100 else (start, n + 1)
             want[i] = (n, n <= 2)
     assert got == want
+
+
+def test_windows_that_have_ended_leave_no_state(spark, tmp_path):
+    import datetime as dt
+
+    from tessera.streaming import jobs
+
+    t0 = dt.datetime(2024, 1, 1)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ip long, id long, ts timestamp"
+    spark.createDataFrame([], schema).write.parquet(source)
+    stream = jobs.rate_limit(spark.readStream.schema(schema).parquet(source), "ip", "ts", "id", 60, 1, late="10 seconds")
+    left = []
+    for batch in ([(1, 0, 0), (2, 1, 5), (1, 2, 30)], [(3, 3, 500)], [(1, 4, 505)], [(9, 5, 2000)], [(9, 6, 2001)]):
+        spark.createDataFrame([(ip, i, t0 + dt.timedelta(seconds=s)) for ip, i, s in batch], schema).coalesce(1).write.mode("append").parquet(source)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        left.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r.id, r.in_window) for r in spark.read.parquet(out).collect())
+    assert got == [(0, 1), (1, 1), (2, 2), (3, 1), (4, 1), (5, 1), (6, 2)]
+    assert left[-1] == 1, left
