@@ -132,7 +132,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     Returns query_id, rank (from 1), vec_id, score (the inner product in double precision); ties go to the smaller id;
     a query with no more than k candidates gets all. Rows without id, and vectors that are null, empty, zero or hold a
     null or non-finite component take no part; vectors meet only those of their own length. Rows that share an id are
-    one candidate with the best of their scores and never candidates of that id's query.
+    one candidate with the best of their scores and never candidates of that id's query. Columns of any other name are
+    not read; an empty table gives no row.
     """
     vectors = usable(df, id_col, vec_col, nonzero=True)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))

@@ -154,7 +154,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words, n_switches of every row of ``docs`` (doc_id, text).
 
     A text that is null, empty or without letters is ``und`` with score 0, as is every text without a fitted model.
-    Repeated rows are each predicted; other columns are not read. held_out is true where crc32(doc_id as text) mod 4 is
+    Repeated rows are each predicted; columns of any other name are not read; very long texts are read whole; of languages
+    with equal shares the first by name is given; an empty table gives no row. held_out is true where crc32(doc_id as text) mod 4 is
     2 or there is no doc_id.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SLOTS and the number of languages

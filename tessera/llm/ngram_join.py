@@ -135,7 +135,8 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     Two documents link when |A & B| / |A | B| >= num / den over their sets of ``size``-word shingles; a text of fewer
     words is one shingle, and one without words, null or empty, has none and links with nothing. component_id is the
     smallest doc_id that links reach. A row without doc_id links with nothing and has no component. A doc_id stands for
-    one text; repeated rows are returned as often as they come. An empty table gives no row.
+    one text; repeated rows are returned as often as they come. Very long texts are taken whole; columns of any other name
+    are not read; pairs just at the bound link. An empty table gives no row.
     """
     sc = docs.sparkSession.sparkContext
     named = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -138,7 +138,8 @@ def grade_documents(docs: DataFrame, model: Model | None, least: float = 0.3) ->
     """doc_id, severity (the expected grade), p_toxic (probability of a grade above the lowest), toxic, for every row.
 
     ``toxic`` is p_toxic >= ``least``. A null or empty text has no features and gets what the thresholds alone give; a
-    missing model (no labelled row) gives 0. Repeated rows are each graded; other columns are not read.
+    missing model (no labelled row) gives 0. Repeated rows are each graded; columns of any other name are not read; very
+    long texts are read whole; an empty table gives no row. ``toxic`` holds at the bound itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SLOTS
     return only(docs, "doc_id", "text").mapInPandas(functools.partial(_graded, shared, least), "doc_id long, severity double, p_toxic double, toxic boolean")

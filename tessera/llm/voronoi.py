@@ -178,7 +178,8 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", v
     Components become floor(scale * x). Returns query_id, rank (from 1), vec_id, score (long); ties go to the smaller
     id; a query with fewer candidates gets all. Rows without id, and vectors that are null, empty or hold a null or
     non-finite component, before or after scaling, take no part; vectors meet only those of their own length. Rows that share an id are one
-    candidate with the best of their scores and never candidates of that id's query. An empty table gives no row.
+    candidate with the best of their scores and never candidates of that id's query. Columns of any other name are not
+    read; an empty table gives no row.
     """
     whole = usable(df, id_col, vec_col).select("vec_id", F.transform("vec", lambda v: F.rint(v * scale - 0.5)).alias("near"), "vec")
     # floor() gives a long and would wrap for huge values: correct the rounded half step instead

@@ -61,3 +61,30 @@ def test_run_gives_tokens_of_the_mixture(spark, tmp_path):
 
 def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, [])).collect() == []
+
+
+def test_repeated_rows_null_ids_very_long_texts_and_clashing_names(spark):
+    rng = random.Random(3)
+    long = speak(rng, TONGUES["aa"], 30_000)
+    rows = [(1, long, "aa", "s0"), (1, long, "aa", "s0"), (1, long + " more", "aa", "s0"), (2, long, "aa", "s1"), (None, "the on ing", "aa", "s0"), (None, "the on ing", "aa", "s0"), (4, None, None, None), (5, "", None, "s0")]
+    df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), k, "x") for k, r in enumerate(rows)], f"{SCHEMA}, component_id int, node string")
+    out = dict(corpus_pipeline.STAGES)
+    kept = out["near_duplicates"](spark, df, "").collect()
+    assert sorted(((r.doc_id or 0), r.component_id) for r in kept) == [(0, 4), (0, 5), (1, 0), (4, 6), (5, 7)]
+    masked = out["secrets"](spark, df, "")
+    assert masked.columns == df.columns and masked.count() == len(rows)
+    drawn = out["mixture"](spark, df, "")
+    assert drawn.columns == df.columns and {r.component_id for r in drawn.collect()} == set(range(len(rows)))
+    assert len(out["tokens"](spark, df, "").collect()) == len(rows)
+    assert out["language"](spark, df, "").columns == df.columns
+
+
+def test_language_stage_keeps_what_the_model_accepts(spark):
+    from tessera.llm import language
+
+    rng = random.Random(4)
+    rows = [(i, speak(rng, TONGUES["aa" if i % 2 else "bb"], 40), "aa" if i % 2 else "bb", "s0") for i in range(80)] + [(90, "12 ½", None, "s0"), (91, None, None, "s0")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    model = language.learn(df)
+    want = {i for (i, text, *_), (lang, score, _, _) in zip(rows, language.predict(model, [r[1] for r in rows]), strict=True) if lang != "und" and score >= 0.5}
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, df, "").collect()} == want == set(range(80))
