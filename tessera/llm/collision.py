@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import settle
 from tessera.llm.vectors import BLOCK_ROWS, GROUP_QUERIES, meet, ranked, stack, usable
 
 #: Lines; half a window in units of the radius; growth of the radius; deviations below the mean that still collide.
@@ -101,12 +102,12 @@ class Index:
         return count
 
 
-def _solve(k: int, norm: float):
+def _solve(k: int):
     def run(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(data) and len(queries):
             data = data.sort_values("vec_id", kind="stable")
-            ids, index = data.vec_id.to_numpy(), Index(stack(data.x), norm)
+            ids, index = data.vec_id.to_numpy(), Index(stack(data.x), float(data.norm.iloc[0]))
             asked = queries.vec_id.to_numpy()
             own = [np.arange(a, b) for a, b in zip(np.searchsorted(ids, asked), np.searchsorted(ids, asked, "right"), strict=True)]
             for mine, (found, score) in zip(asked, index.search(stack(queries.x), k, own), strict=True):
@@ -137,20 +138,15 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     """
     vectors = usable(df, id_col, vec_col, nonzero=True)
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    known = {r.dim: r for r in vectors.groupBy(F.size("vec").alias("dim")).agg(F.max(length).alias("norm"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
-    if not known:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    placed = vectors.mapInPandas(_as_bytes, "vec_id long, dim int, x binary")
-    sized = F.create_map(*[F.lit(x) for d, r in known.items() for x in (d, -(-r.n // BLOCK_ROWS))])[F.col("dim")]
-    groups = F.create_map(*[F.lit(x) for d, r in known.items() for x in (d, max(1, -(-r.q // GROUP_QUERIES)))])[F.col("dim")]
-    data = placed.select("*", F.pmod(F.xxhash64("vec_id"), sized).alias("block"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("grp"))
-    queries = placed.filter(F.col("vec_id") % every == 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), sized.cast("long") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id"), groups).cast("int").alias("grp"))
-    # every length has its own largest norm, and so its own solver
-    parts = [
-        meet(queries.filter(F.col("dim") == d), data.filter(F.col("dim") == d), ["grp", "block"], _solve(k, r.norm), "query_id long, vec_id long, score double")
-        for d, r in known.items() if r.q
-    ]
-    found = parts[0] if parts else df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found, k)
+    # every length has its own largest norm, and its own blocks and groups: a row for each length
+    known = vectors.groupBy(F.size("vec").alias("dim")).agg(
+        F.max(length).alias("norm"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("vec_id") % every == 0) / GROUP_QUERIES).cast("int").alias("groups")
+    )
+    known = settle(known.filter("groups > 0").coalesce(1), "lengths")
+    placed = vectors.mapInPandas(_as_bytes, "vec_id long, dim int, x binary").join(known, "dim")
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = [F.col(c).alias(c) for c in ("vec_id", "dim", "x")]  # both sides need columns of their own
+    data = placed.select(*own, "norm", deal(F.col("blocks")).alias("block"), every_one("groups").alias("grp"))
+    queries = placed.filter(F.col("vec_id") % every == 0).select(*own, deal(F.col("groups")).alias("grp"), every_one("blocks").alias("block"))
+    return ranked(meet(queries, data, ["dim", "grp", "block"], _solve(k), "query_id long, vec_id long, score double"), k)
