@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chaining, collision, html_template, language, mixing, ngram_join, pieces, secrets, toxicity, voronoi
+from tessera.llm import chaining, chat, collision, fim, html_template, language, mixing, ngram_join, pieces, secrets, toxicity, voronoi
 from tessera.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 #: Every query, and its SQL where there is one.
 ALL = (
     (op1_voronoi, voronoi.ORACLE),
@@ -68,6 +76,8 @@ ALL = (
     (op8_language, None),
     (op9_html_template, None),
     (op10_mixing, mixing.ORACLE),
+    (op12_chat, chat.ORACLE),
+    (op13_fim, fim.ORACLE),
 )
 
 
