@@ -129,7 +129,7 @@ def record_fingerprint(record: Column) -> Column:
     keys = lambda c: F.call_function("json_object_keys", c)
 
     def inner(k: Column) -> Column:
-        first = F.get_json_object(record, F.concat(F.lit("$['"), k, F.lit("'][0]")))
+        first = F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]")))
         return F.coalesce(F.transform(keys(first), lambda i: F.concat(k, F.lit("[]."), i)), F.array(k))
 
     top = F.filter(keys(record), lambda k: k.isin(*sorted({p.split("[")[0] for p in KNOWN})))
@@ -137,17 +137,21 @@ def record_fingerprint(record: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
 
 
+def _parsed(record: Column, layout: Layout) -> Column:
+    """The turns of a JSON record of that layout."""
+    return F.transform(F.array(F.from_json(record, layout.ddl)), lambda p: layout.mapping(lambda name: p[name]))[0].cast(TURNS)
+
+
 def record_turns(df: DataFrame, key: str, record: str) -> DataFrame:
     """key, layout and turns of rows whose JSON ``record`` may have another layout in each row.
 
-    A record that is null, no JSON object or of no known layout keeps its row, with null layout and turns; so does a record of
-    one turn, which is no conversation. Repeated rows are read each, further fields are not read."""
+    A record that is null, no JSON object, of no known layout or of a single turn of a table keeps its row, with null layout
+    and turns. Repeated rows are read each, further fields are not read."""
     mark, text = F.col("mark"), F.col("record")
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for found, known in BY_PRINT.items():
         if known.mapping is not None:
-            parsed = F.transform(F.array(F.from_json(text, known.ddl)), lambda p, known=known: known.mapping(lambda name: p[name]))[0].cast(TURNS)
-            layout, turns = F.when(mark == found, F.lit(known.name)).otherwise(layout), F.when(mark == found, parsed).otherwise(turns)
+            layout, turns = F.when(mark == found, F.lit(known.name)).otherwise(layout), F.when(mark == found, _parsed(text, known)).otherwise(turns)
     rows = df.select(df[f"`{key}`"].alias("key"), df[f"`{record}`"].alias("record"), record_fingerprint(df[f"`{record}`"]).alias("mark"))
     return rows.select(F.col("key").alias(key), layout.alias("layout"), turns.alias("turns"))
 
