@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chaining, chat, collision, fim, html_template, language, mixing, ngram_join, pieces, secrets, toxicity, voronoi
+from tessera.llm import chaining, chat, collision, fim, html_template, importance, language, mixing, ngram_join, pieces, secrets, toxicity, voronoi
 from tessera.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ ALL = (
     (op8_language, None),
     (op9_html_template, None),
     (op10_mixing, mixing.ORACLE),
+    (op11_importance, importance.ORACLE),
     (op12_chat, chat.ORACLE),
     (op13_fim, fim.ORACLE),
 )
