@@ -22,11 +22,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.common import hash_words, mix64, only, settle
+from tessera.llm.common import batches_of, hash_words, mix64, only, settle
 
 #: Words that a block of texts holds (a longer text is a block of its own), and characters of text for each range.
-BLOCK_WORDS, RANGE_CHARS = 1_000_000, 8_000_000
+BLOCK_WORDS, RANGE_CHARS = 1_200_000, 14_000_000
+#: Rows that go to Python at a time: packed features and texts are large.
+ROWS = 1_000
 BUCKETS = 10_000
 #: A-Z in lower case; what is neither a digit, a letter nor beyond ASCII parts words.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,14 +46,39 @@ def n_features(n_words):
 
 
 def pack(**arrays: np.ndarray | bytes) -> bytes:
-    """Arrays in their narrowest type, compressed."""
-    narrow = {k: v if isinstance(v, bytes) else v.astype(np.min_scalar_type(int(v.max()) if len(v) else 0)) for k, v in arrays.items()}
-    raw = pickle.dumps(narrow, 5)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+    """Arrays of whole numbers in their narrowest type, the bytes of each place of a number compressed apart."""
+    codec = pa.Codec("zstd", compression_level=3)
+    out = {}
+    for name, v in arrays.items():
+        v = np.frombuffer(v, np.uint8) if isinstance(v, bytes) else v.astype(np.min_scalar_type(int(v.max()) if len(v) else 0))
+        planes = v.view(np.uint8).reshape(len(v), v.itemsize).T
+        out[name] = v.dtype.str, len(v), [codec.compress(np.ascontiguousarray(x), asbytes=True) for x in planes]
+    return pickle.dumps(out, 5)
+
+
+def unpack(packed: bytes) -> dict[str, np.ndarray]:
+    codec, out = pa.Codec("zstd"), {}
+    for name, (kind, n, planes) in pickle.loads(packed).items():
+        raw = np.empty((n, len(planes)), np.uint8)
+        for k, x in enumerate(planes):
+            raw[:, k] = np.frombuffer(codec.decompress(x, n), np.uint8)
+        out[name] = raw.reshape(-1).view(kind)
+    return out
+
 
+def common_heads(words: list[bytes]) -> np.ndarray:
+    """How many bytes each of the sorted words has in common with the one before, 16 at most."""
+    heads = np.array([b"", *words], "S16").view(np.uint8).reshape(-1, 16)
+    return np.cumprod(heads[1:] == heads[:-1], axis=1, dtype=np.uint8).sum(axis=1, dtype=np.int64)
 
-def unpack(packed: bytes) -> dict[str, np.ndarray | bytes]:
-    return pickle.loads(pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True))
+
+def sorted_words(heads: np.ndarray, tails: bytes) -> list[bytes]:
+    """Words from what each has in common with the one before, and the rest of each."""
+    out, word = [], b""
+    for k, tail in zip(heads.tolist(), tails.split(b" "), strict=True):
+        word = word[:k] + tail
+        out.append(word)
+    return out
 
 
 def _runs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,26 +94,53 @@ def _runs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _distinct(first: np.ndarray, second: np.ndarray, third: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """Distinct pairs and runs of ids up to n: both words of each pair, pair and third word of each run, and the run of each input."""
-    pairs, of = np.unique(first * (n + 1) + second, return_inverse=True)
-    runs, run_of = np.unique(of * (n + 1) + third, return_inverse=True)
-    return pairs // (n + 1), pairs % (n + 1), runs // (n + 1), runs % (n + 1), run_of
+    pairs, of = _codes(first.astype(np.int64) * (n + 1) + second)
+    runs, run_of = _codes(of.astype(np.int64) * (n + 1) + third)
+    small = lambda x: x.astype(np.int32)
+    return small(pairs // (n + 1)), small(pairs % (n + 1)), small(runs // (n + 1)), small(runs % (n + 1)), run_of
+
+
+def _codes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the number of each key among them; less memory than numpy's own."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    codes = np.empty(len(keys), np.int32)
+    codes[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], codes
+
+
+def _steps(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Values that grow within each group of neighbours as their steps, from 0 in each group."""
+    return np.where(np.append(True, groups[1:] != groups[:-1]), values, np.diff(values, prepend=0))
+
+
+def _summed(steps: np.ndarray, new_group: np.ndarray) -> np.ndarray:
+    """The values of ``_steps``; ``new_group`` is not 0 where a group begins."""
+    total = np.cumsum(steps, dtype=np.int64)
+    begin = np.flatnonzero(new_group)
+    return total - np.repeat((total - steps)[begin], np.diff(np.append(begin, len(steps))))
 
 
 def _block(known: dict[bytes, int], texts: list[np.ndarray], n_ranges: int) -> Iterator[tuple[int, bytes]]:
     """Range and packed runs of a block of texts, given as ids (from 1) of the known words."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    first = np.concatenate(texts).astype(np.int64)
+    first = np.concatenate(texts)
     if not len(first):
         return
-    a, b, pair, third, run_of = _distinct(first, *_runs(first, lengths), len(known))
-    words = list(known)
+    words = sorted(known)
+    order = np.zeros(len(words) + 1, np.int32)  # ids in the order of the words
+    order[[known[w] for w in words]] = np.arange(1, len(words) + 1)
+    first = order[first]
+    a, b, pair, third, run_of = _distinct(first, *_runs(first, lengths), len(words))
+    heads = common_heads(words)
     hashes = np.concatenate([np.zeros(1, np.uint64), hash_words(words)])
     with np.errstate(over="ignore"):
         pair_range = (mix64(hashes[a] * np.uint64(0x9E3779B97F4A7C15) + hashes[b]) % np.uint64(n_ranges)).astype(np.int64)
-    by_range = np.argsort(pair_range[pair], kind="stable")  # runs of a range, in order of their pairs
-    place = np.empty(len(by_range), np.int64)
+    by_range = np.argsort(pair_range[pair], kind="stable").astype(np.int32)  # runs of a range, in order of their pairs
+    place = np.empty(len(by_range), np.int32)
     place[by_range] = np.arange(len(by_range))
-    docs = np.repeat(np.arange(len(texts)), lengths)[np.argsort(place[run_of], kind="stable")]
+    docs = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)[np.argsort(place[run_of], kind="stable")]
     counts = np.bincount(run_of, minlength=len(pair))[by_range]
     docs_end, run_range = np.cumsum(counts), pair_range[pair[by_range]]
     ends = np.flatnonzero(np.append(np.diff(run_range), 1)) + 1
@@ -96,45 +151,62 @@ def _block(known: dict[bytes, int], texts: list[np.ndarray], n_ranges: int) -> I
         used = used[used > 0]
         at = lambda ids, used=used: np.where(ids > 0, np.searchsorted(used, ids) + 1, 0)
         held = docs[docs_end[begin] - counts[begin] : docs_end[end - 1]]
+        # what two sorted words have in common, all words between them have too
+        shared = np.append(0, np.minimum.reduceat(heads[: used[-1]], used[:-1]) if len(used) > 1 else heads[:0])
+        tails = b" ".join(words[i - 1][k:] for i, k in zip(used.tolist(), shared.tolist(), strict=True))
         yield int(run_range[begin]), pack(
-            words=b" ".join(words[i - 1] for i in used), first=at(a[own]), second=at(b[own]), n_runs=n_runs, third=at(third[runs]), counts=counts[begin:end], docs=held
+            heads=shared, tails=tails, first=np.diff(at(a[own]), prepend=0), second=_steps(at(b[own]), a[own]), n_runs=n_runs, third=at(third[runs]), counts=counts[begin:end], docs=held
         )
 
 
 BLOCKS = "block string, range long, runs binary, n_words array<long>"
 
 
-def _blocks(n_ranges: int):
+def _blocks(n_ranges: int, kind: pa.DataType):
     """A function from batches of texts to packed runs by range, and a row with the documents of each block."""
 
-    def rows(name: str, known: dict[bytes, int], ids: list, texts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        out = [(name, r, runs, None, None) for r, runs in _block(known, texts, n_ranges)]
-        out.append((name, zlib.crc32(name.encode()) % n_ranges, None, [len(t) for t in texts], ids))
-        for k in range(0, len(out), 64):
-            yield pd.DataFrame(out[k : k + 64], columns=["block", "range", "runs", "n_words", "doc_ids"])
+    def rows(name: str, known: dict[bytes, int], ids: list, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))  # most places are then in documents of small numbers
+        ids, texts = [ids[i] for i in order], [texts[i] for i in order]
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(kind)]
+        row = lambda r, runs, n, i: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, r, runs, n, i), kinds, strict=True)], ["block", "range", "runs", "n_words", "doc_ids"])
+        yield row(zlib.crc32(name.encode()) % n_ranges, None, [len(t) for t in texts], ids)
+        for r, runs in _block(known, texts, n_ranges):
+            yield row(r, runs, None, None)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, k, size = TaskContext.get().partitionId(), 0, 0
         known: dict[bytes, int] = {}
         ids: list = []
         texts: list[np.ndarray] = []
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["text"], strict=True):
-                words = words_of(text)
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                doc_id, words = doc_id.as_py(), words_of(text.as_py())
                 texts.append(np.array([known.setdefault(w, len(known) + 1) for w in words], np.int32))
                 ids.append(doc_id)
                 size += len(words) + 8
                 if size >= BLOCK_WORDS:
                     yield from rows(f"{task}-{k}", known, ids, texts)
                     k, size, known, ids, texts = k + 1, 0, {}, [], []
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield from rows(f"{task}-{k}", known, ids, texts)
+            pa.default_memory_pool().release_unused()
 
     return of
 
 
+def _hashed(state: np.ndarray, of: np.ndarray, words: list[bytes], more: np.ndarray) -> np.ndarray:
+    """The hashes of strings that go on from those with hash ``state[of]`` by a word each."""
+    out = np.empty(len(of), np.uint32)
+    for k in range(0, len(of), 100_000):
+        part = slice(k, k + 100_000)
+        out[part] = [zlib.crc32(words[j], s) for j, s in zip(more[part].tolist(), state[of[part]].tolist(), strict=True)]
+    return out
+
+
 def _features(buckets: int):
     """A function from all packed runs of a range to its sums by bucket, and the buckets and documents of each block's runs."""
 
@@ -143,10 +215,11 @@ def _features(buckets: int):
         known: dict[bytes, int] = {}
         firsts, seconds, thirds = [], [], []
         for _, x in blobs:
-            ids = np.array([0, *(known.setdefault(w, len(known) + 1) for w in x.pop("words").split(b" "))], np.int64)
-            pair = np.repeat(np.arange(len(x["n_runs"])), x["n_runs"])
-            firsts.append(ids[x.pop("first")][pair])
-            seconds.append(ids[x.pop("second")][pair])
+            words = sorted_words(x.pop("heads"), x.pop("tails").tobytes())
+            ids = np.array([0, *(known.setdefault(w, len(known) + 1) for w in words)], np.int32)
+            first = x.pop("first").astype(np.int64)
+            firsts.append(np.repeat(ids[np.cumsum(first)], x["n_runs"]))
+            seconds.append(np.repeat(ids[_summed(x.pop("second").astype(np.int64), first)], x["n_runs"]))
             thirds.append(ids[x.pop("third")])
         out = pdf.loc[pdf["runs"].isna(), ["block", "n_words", "doc_ids"]].assign(features=None, sums=None)
         if not blobs:
@@ -154,16 +227,15 @@ def _features(buckets: int):
         a, b, pair, third, run_of = _distinct(*(np.concatenate(x) for x in (firsts, seconds, thirds)), len(known))
         del firsts, seconds, thirds
         counts = np.bincount(run_of, np.concatenate([x["counts"] for _, x in blobs]), len(pair)).astype(np.int64)
-        word, more = [b"", *known], [b"", *(b" " + w for w in known)]
-        crc = zlib.crc32
         one, one_of = np.unique(a, return_inverse=True)
-        state = [crc(word[i]) for i in one]
-        of_one = np.array(state, np.int64) % buckets
-        state = [crc(more[j], state[i]) for i, j in zip(one_of.tolist(), b.tolist(), strict=True)]
-        of_pair = np.where(b > 0, np.array(state, np.int64) % buckets, buckets)
-        of_run = np.array([crc(more[j], state[i]) for i, j in zip(pair.tolist(), third.tolist(), strict=True)], np.int64)
-        of_run = np.where(third > 0, of_run % buckets, buckets)
-        del word, more, state, known
+        words = [b"", *known]
+        state = np.array([zlib.crc32(words[i]) for i in one.tolist()], np.uint32)
+        of_one = state % buckets
+        words = [b"", *(b" " + w for w in known)]
+        state = _hashed(state, one_of, words, b)
+        of_pair = np.where(b > 0, state % buckets, buckets).astype(np.int32)
+        of_run = np.where(third > 0, _hashed(state, pair, words, third) % buckets, buckets).astype(np.int32)
+        del words, state, known
         of_first = of_one[one_of][pair]
         sums = sum(np.bincount(x, counts, buckets + 1) for x in (of_first, of_pair[pair], of_run))[:buckets].astype(np.int64)
         begin, packed = 0, []
@@ -187,9 +259,10 @@ def dictionary(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_ranges = max(1, -(-chars // RANGE_CHARS))
-    blocks = only(docs, "doc_id", "text").mapInPandas(_blocks(n_ranges), f"{BLOCKS}, doc_ids array<{kind}>")
+    blocks = only(docs, "doc_id", "text").mapInArrow(_blocks(n_ranges, to_arrow_type(docs.schema["doc_id"].dataType)), f"{BLOCKS}, doc_ids array<{kind}>")
     held = blocks.groupBy("range").applyInPandas(_features(buckets), f"block string, features binary, sums array<long>, n_words array<long>, doc_ids array<{kind}>")
-    return settle(held, "features")
+    with batches_of(docs.sparkSession, ROWS):
+        return settle(held, "features")
 
 
 def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -216,16 +289,17 @@ def _block_weights(gain: np.ndarray):
             parts = []
             for packed in pdf["features"]:
                 if packed is None:
-                    parts.append((None, None))
+                    parts.append(None)
                     continue
                 x = unpack(packed)
                 of_run = np.repeat(padded[x["one"]] + padded[x["two"]], x["n_runs"]) + padded[x["three"]]
                 docs = x["docs"].astype(np.int64)
                 weights = np.bincount(docs, np.repeat(of_run, x["counts"]))
                 there = np.flatnonzero(np.bincount(docs))
-                parts.append((there.astype(np.int32), weights[there].astype(np.int64)))
-            pdf["places"], pdf["weights"] = [p[0] for p in parts], [p[1] for p in parts]
-            yield pdf[["block", "places", "weights", "n_words", "doc_ids"]]
+                found = weights[there].astype(np.int64)
+                parts.append(pack(places=np.diff(there, prepend=0), up=np.maximum(found, 0), down=np.maximum(-found, 0)))
+            pdf["weights"] = parts
+            yield pdf[["block", "weights", "n_words", "doc_ids"]]
 
     return of
 
@@ -234,9 +308,9 @@ def _sum_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Documents of a block with the weights that its ranges give them."""
     docs = pdf[pdf["n_words"].notna()].iloc[0]
     n_words, total = np.array(docs["n_words"], np.int64), np.zeros(len(docs["n_words"]), np.int64)
-    for places, weights in zip(pdf["places"], pdf["weights"], strict=True):
-        if places is not None:
-            total[places] += weights
+    for packed in pdf["weights"].dropna():
+        x = unpack(packed)
+        total[np.cumsum(x["places"], dtype=np.int64)] += x["up"].astype(np.int64) - x["down"].astype(np.int64)
     return pd.DataFrame({"doc_id": pd.Series(list(docs["doc_ids"]), dtype=object), "n_words": n_words, "n_features": n_features(n_words), "weight": total})
 
 
@@ -251,8 +325,9 @@ def weigh(docs: DataFrame, target: DataFrame, key: str = "item_id", buckets: int
     wanted = dictionary(target.select(F.col(f"`{key}`").alias("doc_id"), "text"), buckets)
     gain = gains(bucket_counts(features, buckets), bucket_counts(wanted, buckets))
     held = features.filter("block IS NOT NULL").select("block", "features", "n_words", "doc_ids")
-    parts = held.mapInPandas(_block_weights(gain), f"block string, places array<int>, weights array<long>, n_words array<long>, doc_ids array<{kind}>")
-    return settle(parts.groupBy("block").applyInPandas(_sum_block, f"doc_id {kind}, n_words long, n_features long, weight long"), "weights")
+    parts = held.mapInPandas(_block_weights(gain), f"block string, weights binary, n_words array<long>, doc_ids array<{kind}>")
+    with batches_of(docs.sparkSession, ROWS):
+        return settle(parts.groupBy("block").applyInPandas(_sum_block, f"doc_id {kind}, n_words long, n_features long, weight long"), "weights")
 
 
 def noise(seed: int, doc_id: Column) -> Column:
