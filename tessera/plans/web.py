@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators.jobs import with_selectors
 from tessera.plans import sql as S
 from tessera.plans.articles import table
 from tessera.plans.catalog import query
 from tessera.sources import html as H
+from tessera.sources import selectors
 from tessera.streaming import jobs
 
 DECODED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -79,6 +82,39 @@ def list_items(spark, sf):
     return H.list_items(table(spark, sf, "pages"), as_of).withColumn("pub_date", F.col("pub_date").cast("timestamp_ntz"))
 
 
+# all links of the sample pages are in nav > ul > li, none of them has an address that looks like an article's
+LINKS = (
+    f"a AS (SELECT page_id, url, unnest({ANCHORS.format(1)}) AS h, {{}} AS t, unnest(range(len({ANCHORS.format(1)}))) AS place FROM pages), "
+    "l AS (SELECT page_id, place, regexp_extract(url, '^(https?://([^/?#]*))', 2) AS host, t AS title, regexp_extract(url, '^(https?://[^/?#]*)', 1) || h AS href FROM a WHERE length(t) BETWEEN 6 AND 200)"
+).format(_decoded(S.plain(f"unnest({ANCHORS.format(2)})")))
+
+
+@query(
+    f"WITH {LINKS}, f AS (SELECT page_id, href, min(place) AS place, arg_min(title, place) AS title FROM l WHERE page_id % 3 < 2 GROUP BY ALL) "
+    "SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place))::INT AS place, title, href, TIMESTAMP '2024-03-01 10:20' AS pub_date, true AS selected FROM f"
+)
+def selected_links(spark, sf):
+    """Items of list pages: by the configured selector, by one of the page's own in its place, and where neither selects any, by links."""
+    pages = table(spark, sf, "pages").withColumns({"id": (F.col("page_id") % 3).cast("string")})
+    pages = with_selectors(pages.withColumn("selector", F.when(F.col("id") == "0", "nav > ul > li").otherwise("article li")), {"1": "body nav a[href], #none"})
+    rows = selectors.page_list(pages, F.lit("2024-03-01 10:20:30").cast("timestamp"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("place"))
+    return rows.select("page_id", place.alias("place"), "title", "href", F.col("pub_date").cast("timestamp_ntz").alias("pub_date"), "selected")
+
+
+@query(
+    f"WITH {LINKS}, m AS (SELECT host, href, min({{'p': page_id, 'i': place}}) AS at, arg_max(title, {{'p': page_id, 'i': place}}) AS title FROM l WHERE page_id % 4 <> 3 GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at, href) AS place FROM m) "
+    "SELECT host AS source_id, place::INT AS place, title, href, TIMESTAMP '2024-03-01 10:20' AS pub_date FROM r WHERE place <= 50"
+)
+def source_pages(spark, sf):
+    """All pages of a host as one list: an address once, the first 50; every fourth page has failed."""
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    pages = table(spark, sf, "pages").select(host.alias("source_id"), F.col("page_id").alias("page_no"), "url", F.when(F.col("page_id") % 4 != 3, F.col("html")).alias("html"), F.lit("ul > li").alias("selector"))
+    rows = selectors.source_list(pages, F.lit("2024-03-01 10:20:30").cast("timestamp"))
+    return rows.withColumn("pub_date", F.col("pub_date").cast("timestamp_ntz"))
+
+
 @query()
 def article_pages(spark, sf):
     as_of = F.lit("2024-03-01").cast("timestamp")
