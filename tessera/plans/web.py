@@ -11,6 +11,7 @@ from tessera.plans.articles import table
 from tessera.plans.catalog import query
 from tessera.sources import html as H
 from tessera.sources import selectors
+from tessera.sources import web as sources_web
 from tessera.streaming import jobs
 
 DECODED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -103,8 +104,8 @@ def selected_links(spark, sf):
 
 
 @query(
-    f"WITH {LINKS}, m AS (SELECT host, href, min({{'p': page_id, 'i': place}}) AS at, arg_max(title, {{'p': page_id, 'i': place}}) AS title FROM l WHERE page_id % 4 <> 3 GROUP BY ALL), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY at, href) AS place FROM m) "
+    f"WITH {LINKS}, m AS (SELECT host, href, min({{'p': page_id, 'i': place}}) AS p0, arg_max(title, {{'p': page_id, 'i': place}}) AS title FROM l WHERE page_id % 4 <> 3 GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY p0, href) AS place FROM m) "
     "SELECT host AS source_id, place::INT AS place, title, href, TIMESTAMP '2024-03-01 10:20' AS pub_date FROM r WHERE place <= 50"
 )
 def source_pages(spark, sf):
@@ -160,3 +161,58 @@ def stream_first_by_key(spark, sf):
 def restamp(spark, sf):
     arrival = F.lit("2024-01-20 10:20:30").cast("timestamp") + F.make_dt_interval((F.col("event_id") % 7).cast("int"))
     return table(spark, sf, "events").select("event_id", jobs.restamp(F.col("ts").cast("timestamp"), arrival).cast("timestamp_ntz").alias("ts"))
+
+
+SOURCE = "SELECT s_suppkey::VARCHAR AS id, s_name AS name, 'http://h' || s_suppkey || '.example.com/list' || CASE WHEN s_suppkey % 2 = 0 THEN '?c=1' ELSE '' END AS url, CASE WHEN s_suppkey % 5 = 0 THEN 'http://h' || s_suppkey || '.example.com/feed' END AS rss, s_suppkey % 7 <> 0 AS active FROM supplier"
+
+
+def _sources(spark, sf):
+    """The suppliers as a registry: loaded as one configuration for each nation, over a registry of every third."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    host = F.concat(F.lit("http://h"), k, F.lit(".example.com/"))
+    one = {
+        "id": k.cast("string"), "name": F.col("s_name"), "url": F.concat(host, F.when(k % 2 == 0, "list?c=1").otherwise("list")), "type": F.lit("web"), "category": F.lit("x"), "priority": F.lit("P0"), "weight": F.lit(1.0),
+        "rss": F.when(k % 5 == 0, F.concat(host, F.lit("feed"))).otherwise(""), "selector": F.lit("ul > li"), "active": k % 7 != 0,
+    }
+    rows = s.select("s_nationkey", *[v.alias(c) for c, v in one.items()])
+    config = rows.groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct(*one)).alias("sources"))).alias("value"))
+    held = rows.filter("cast(id AS long) % 3 = 0").drop("s_nationkey").withColumns({"name": F.lit("old"), "rss": F.lit("old")})
+    return sources_web.upsert_registry(held, config)
+
+
+@query(f"SELECT id, name, url, rss, active FROM ({SOURCE})")
+def source_registry(spark, sf):
+    return _sources(spark, sf).select("id", "name", "url", "rss", "active")
+
+
+@query(
+    f"WITH s AS ({SOURCE}), n AS (SELECT unnest(range(7)) AS number) SELECT id AS source_id, number::INT AS number, "
+    "CASE WHEN rss IS NOT NULL THEN rss WHEN number = 0 THEN url ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || CASE WHEN number % 2 = 1 THEN 'page=' ELSE 'pageNo=' END || (2 + (number - 1) // 2) END AS url "
+    "FROM s, n WHERE active AND (rss IS NULL OR number = 0)"
+)
+def source_requests(spark, sf):
+    return sources_web.list_requests(_sources(spark, sf))
+
+
+SHELL = "'https://s143js.nicebox.cn/sysTools.php?mod=viewsConn&rtype=json&idweb=' || {} || '&viewid=newsDetail_style_01_' || {} || '&name=newsDetail&style=style_01&langid=0&pageid=' || {} || '&viewCtrl=newsDetail&isfb=1&newsid=' || page_id"
+
+
+@query(
+    f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'dahecube' WHEN 1 THEN 'szsyblxh' WHEN 2 THEN 'syblxh' END AS adapter, "
+    f"CASE page_id % 5 WHEN 0 THEN 'https://app.dahecube.com/napi/news/pc/artinfo' WHEN 1 THEN {SHELL.format(58963, 1746604478645, 875615)} WHEN 2 THEN {SHELL.format(63623, 1506318095542, '(page_id + 3)')} END AS endpoint, "
+    "CASE WHEN page_id % 5 = 0 THEN '{\"artid\":\"' || page_id || '\"}' END AS post, "
+    "CASE WHEN page_id % 5 IN (1, 2) OR (page_id % 5 = 0 AND page_id % 3 = 0) THEN nullif(html, '') END AS body FROM pages"
+)
+def host_bodies(spark, sf):
+    """Bodies of three hosts out of saved answers that hold the pages, a third of those of one host failed."""
+    i = F.col("page_id")
+    url = F.element_at(
+        F.array(
+            F.concat(F.lit("https://app.dahecube.com/x?artid="), i), F.concat(F.lit("https://szsyblxh.org.cn/x?newsid="), i), F.concat(F.lit("https://www.syblxh.org.cn/n/"), i + 3, F.lit("-1.html?newsid="), i),
+            F.concat(F.lit("https://www.syblxh.org.cn/n/x.html?newsid="), i), F.col("url"),
+        ), (i % 5 + 1).cast("int"),
+    )
+    code = F.when(i % 3 == 0, 0).otherwise(1)
+    saved = F.when(i % 5 == 0, F.to_json(F.struct(code.alias("code"), F.struct(F.col("html").alias("content")).alias("data")))).otherwise(F.to_json(F.struct("html")))
+    rows = table(spark, sf, "pages").select("page_id", sources_web.body_request(url).alias("q"), saved.alias("answer"))
+    return rows.select("page_id", "q.adapter", "q.endpoint", "q.post", sources_web.answer_body(F.col("q.adapter"), F.lit(200), F.col("answer")).alias("body"))
