@@ -52,6 +52,8 @@ def attribute(html: Column, tag: str, pick: str, value: str, wanted: str) -> Col
 TITLE_META = (("property", "og:title"), ("name", "twitter:title"))
 TITLE_CLASSES = ("aTitle", "newsBigTit")
 PLACEHOLDER_TITLE = "新闻标题"
+#: Stands for the tags of articles; no text holds it.
+MARK = "\uffff"
 DATE_META = (
     ("name", "publishdate"), ("name", "pubdate"), ("name", "publish_date"), ("name", "publishDate"), ("name", "article:published_time"), ("property", "article:published_time"),
     ("property", "og:article:published_time"), ("name", "Date"), ("name", "pub_date"), ("name", "createtime"),
@@ -61,8 +63,10 @@ DATE_META = (
 def page_title(html: Column) -> Column:
     """The first of the meta titles, the article's h1, the title classes and any h1 that has 6 to 200 characters and is no placeholder."""
     h1 = "<h1\\b[^>]*>(.*?)</h1>"
-    found = [attribute(html, "meta", k, v, "content") for k, v in TITLE_META] + [F.regexp_extract(html, f"(?is)<article\\b(?:(?!</article).)*?{h1}", 1)]
-    found += [F.regexp_extract(html, f"(?is)<([a-z0-9]+)\\b[^>]*class=[\"'](?:[^\"']*\\s)?{c}(?:\\s[^\"']*)?[\"'][^>]*>(.*?)</\\1>", 2) for c in TITLE_CLASSES]
+    begun = F.split(F.regexp_replace(html, "(?i)<(?=/?article\\b)", MARK), MARK)  # at every tag of an article
+    inside = F.array_join(F.filter(begun, lambda s: s.rlike("^(?i)article\\b")), MARK)
+    found = [attribute(html, "meta", k, v, "content") for k, v in TITLE_META] + [F.regexp_extract(inside, f"(?is){h1}", 1)]
+    found += [F.regexp_extract(html, f"(?is)<([a-z0-9]+)\\b[^<>]*class=[\"'](?:[^\"'<>]*\\s)?{c}(?:\\s[^\"'<>]*)?[\"'][^<>]*>(.*?)</\\1>", 2) for c in TITLE_CLASSES]
     found = [decoded(plain_text(f)) for f in [*found, F.regexp_extract(html, f"(?is){h1}", 1)]]
     return F.coalesce(*[F.when(F.length(t).between(6, 200) & (t != PLACEHOLDER_TITLE), t) for t in found])
 
@@ -137,13 +141,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("p div section span".split())
 CONTAINERS = re.compile(r"(^|[\s_-])(content|article|detail|post|entry|main|body)([\s_-]|$)", re.I)
 BOILERPLATE = re.compile(r"(?i)share this|related articles|all rights reserved|advert|copyright|read more")
-UNSAFE = re.compile(r"(?i)^\s*(javascript|data|vbscript):")
+#: Attributes that hold an address, and the schemes that one may have; readers take control characters and white space out first.
+ADDRESSES = frozenset("href src action formaction xlink:href background dynsrc lowsrc ping poster cite data usemap longdesc data-src".split())
+SCHEMES = frozenset(("http", "https", "mailto"))
+SCHEME = re.compile(r"([a-z][a-z0-9+.-]*):", re.I)
+UNSEEN = re.compile(r"[\x00-\x20\x7f]+")
 UNSAFE_STYLE = re.compile(r"(?i)expression\s*\(|url\s*\(\s*[\"']?\s*(javascript|vbscript|data):")
 #: Elements that run or fetch things, taken out of a body with all that they hold.
 DANGEROUS = frozenset("embed object svg math applet portal base meta link script style iframe".split())
-#: What heads a body without being part of it.
-HEAD_WORDS = re.compile(r"登录|注册|退出|激活|电子版|购物车|会员|VIP|subscribe|login|register|sign\s*in|cart", re.I)
-HEAD_NAMES = re.compile(r"nav|top-?bar|login-?bar|tool-?bar|member|func-?bar|subscription", re.I)
+# Words and names of what heads a body without being part of it, in order.
+HEAD_WORDS = re.compile(r"登录|注册|退出|激活|电子版|购物车|经观智讯|智讯|Subscribe|subscribe|Login|login|Register|Sign\s*in|Cart|cart|会员|VIP")
+HEAD_NAMES = re.compile(r"(nav|top-?bar|head-?nav|user-?nav|login-?bar|tool-?bar|member|func-?bar|subscription)", re.I)
 #: Head children looked at, characters that make a real one, and those of a short one with links.
 HEAD_CHILDREN, REAL_TEXT, SHORT_TEXT = 8, 80, 30
 #: Sides of a picture, in pixels, below which it is decoration.
@@ -151,97 +159,174 @@ LEAST_SIDE = 100
 DECORATION = re.compile(r"(?i)(logo|icon|avatar|blank|pixel)")
 
 
+#: Up to so many characters an element's text is kept with it.
+SHORT = 300
+
+
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    """An element. ``measure`` gives it, of all that it holds: length of the text with its white space collapsed, p, img, a (without
+    itself), length of links' texts, whether a container is among it, and the text itself where that is short."""
+
+    __slots__ = ("a", "attrs", "children", "contains", "img", "length", "linked", "p", "short", "spaced", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def walk(self):
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
+    def elements(self) -> list[Node]:
+        """The element and all below it, in order."""
+        out, rest = [], [self]
+        while rest:
+            n = rest.pop()
+            out.append(n)
+            rest.extend(c for c in reversed(n.children) if isinstance(c, Node))
+        return out
 
     def text(self) -> str:
-        return re.sub(r"\s+", " ", "".join(self._strings())).strip()
-
-    def _strings(self):
-        for c in self.children:
+        parts, rest = [], list(reversed(self.children))
+        while rest:
+            c = rest.pop()
             if isinstance(c, str):
-                yield c
+                parts.append(c)
             else:
-                yield " "
-                yield from c._strings()
-
-    def count(self, tag: str) -> int:
-        return sum(n.tag == tag for n in self.walk()) - (self.tag == tag)
-
-    def linked(self) -> int:
-        return sum(len(n.text()) for n in self.walk() if n.tag == "a")
-
-    def drop(self, bad) -> None:
-        self.children = [c for c in self.children if isinstance(c, str) or not bad(c)]
-        for c in self.children:
-            if isinstance(c, Node):
-                c.drop(bad)
-
-
-#: Open elements; what is nested deeper hangs beside its parent, so its text stays in order and the tree can be walked.
-DEEPEST = 200
+                parts.append(" ")
+                rest.extend(reversed(c.children))
+        return SPACES.sub(" ", "".join(parts)).strip()
+
+    def measure(self) -> Node:
+        """Set the sums of every element, each from those of its children."""
+        for n in reversed(self.elements()):
+            n.p = n.img = n.a = n.linked = n.length = 0
+            n.contains = _is_container(n)
+            parts: list[str] | None = []
+            before = after = False  # white space at the ends
+            for c in n.children:
+                if isinstance(c, str):
+                    core = SPACES.sub(" ", c)
+                    lead, trail, own = core.startswith(" "), core.endswith(" "), core.strip()
+                    size, short = len(own), own if len(own) <= SHORT else None
+                else:
+                    n.p += c.p + (c.tag == "p")
+                    n.img += c.img + (c.tag == "img")
+                    n.a += c.a + (c.tag == "a")
+                    n.linked += c.linked
+                    n.contains |= c.contains
+                    lead, trail, size, short = True, c.spaced[1], c.length, c.short
+                if size:
+                    gap = bool(n.length) and (after or lead)
+                    before = before if n.length else before or lead
+                    n.length += size + gap
+                    after = trail
+                    parts = parts + [" "] * gap + [short] if parts is not None and short is not None and n.length <= SHORT else None
+                elif lead or trail:
+                    before, after = before or not n.length, True
+            n.spaced = before, after
+            n.short = "".join(parts) if parts is not None else None
+            n.linked += n.length if n.tag == "a" else 0
+        return self
+
+    def drop(self, bad) -> Node:
+        """Take out the elements below that ``bad`` holds for, those above first."""
+        rest = [self]
+        while rest:
+            n = rest.pop()
+            n.children = [c for c in n.children if isinstance(c, str) or not bad(c)]
+            rest.extend(c for c in n.children if isinstance(c, Node))
+        return self
 
 
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("root", {})
-        self.open = [self.root]
+        self.open, self.counts = [self.root], {}
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs})
         if tag == "p" and self.open[-1].tag == "p":
-            self.open.pop()
+            self.handle_endtag("p")
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        while self.counts.get(tag):
+            closed = self.open.pop().tag
+            self.counts[closed] -= 1
+            if closed == tag:
                 break
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
 
+def tree_of(page: str | None) -> Node:
+    """The tree of a page, whatever its depth; end tags of what is not open are passed over."""
+    tree = _Tree()
+    tree.feed(page or "")
+    tree.close()
+    return tree.root
+
+
 def _is_container(n: Node) -> bool:
     return n.tag in ("article", "main") or bool(CONTAINERS.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"))
 
 
 def _dense(n: Node) -> bool:
-    size = len(n.text())
-    return size >= 30 and n.count("a") >= 5 and n.linked() / size > 0.6
-
-
-def _markup(n: Node | str, base: str) -> str:
-    if isinstance(n, str):
-        return escape(n, quote=False)
-    attrs = {k: v for k, v in n.attrs.items() if not k.startswith("on") and not UNSAFE.match(v) and not (k == "style" and UNSAFE_STYLE.search(v))}
-    if n.tag == "img":
-        attrs["src"] = urljoin(base, attrs.get("data-src") or attrs.get("src", ""))
-    tag = f"<{n.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items()) + ">"
-    return tag if n.tag in VOID else tag + "".join(_markup(c, base) for c in n.children) + f"</{n.tag}>"
+    return n.length >= 30 and n.a >= 5 and n.linked / n.length > 0.6
+
+
+def safe_address(value: str) -> bool:
+    """Whether an address is relative or of a scheme that may stay."""
+    m = SCHEME.match(UNSEEN.sub("", value))
+    return m is None or m[1].lower() in SCHEMES
+
+
+def absolute(base: str, address: str) -> str:
+    """The address on a page at ``base``; empty if it can't be read or isn't safe."""
+    try:
+        found = urljoin(base, address.strip())
+    except ValueError:
+        return ""
+    return found if safe_address(found) else ""
+
+
+def _kept(key: str, value: str) -> bool:
+    if key.startswith("on") or key == "srcdoc" or (key == "style" and UNSAFE_STYLE.search(value)):
+        return False
+    if key in ADDRESSES:
+        return safe_address(value)
+    return key != "srcset" or all(safe_address(x) for x in value.split(","))
+
+
+def _markup(nodes: list[Node | str], base: str) -> str:
+    out: list[str] = []
+    rest: list[Node | str | tuple[str]] = list(reversed(nodes))
+    while rest:
+        n = rest.pop()
+        if isinstance(n, tuple):
+            out.append(n[0])
+        elif isinstance(n, str):
+            out.append(escape(n, quote=False))
+        else:
+            attrs = {k: v for k, v in n.attrs.items() if _kept(k, v)}
+            if n.tag == "img":
+                attrs["src"] = absolute(base, attrs.get("data-src") or attrs.get("src", ""))
+            out.append(f"<{n.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in attrs.items()) + ">")
+            if n.tag not in VOID:
+                rest.append((f"</{n.tag}>",))
+                rest.extend(reversed(n.children))
+    return "".join(out)
 
 
 def _strip_head(box: Node) -> None:
     """Take menus, log-in lines and empty elements off the head of a body, up to the first real child."""
     gone = 0
     for child in [c for c in box.children if isinstance(c, Node)]:
-        text, name = SPACES.sub(" ", child.text()).strip(), f"{child.attrs.get('class', '')} {child.attrs.get('id', '')}"
-        if gone >= HEAD_CHILDREN or len(text) > REAL_TEXT or child.tag == "img" or child.count("img"):
+        if gone >= HEAD_CHILDREN or child.length > REAL_TEXT or child.tag == "img" or child.img:
             return
-        linked = child.count("a") + (child.tag == "a")
+        text, name = child.text(), f"{child.attrs.get('class', '')} {child.attrs.get('id', '')}"
+        linked = child.a + (child.tag == "a")
         if not (HEAD_WORDS.search(text) or HEAD_WORDS.search(name) or HEAD_NAMES.search(name) or (len(text) < SHORT_TEXT and linked) or not text):
             return
         box.children.remove(child)
@@ -253,28 +338,32 @@ def _small(n: Node) -> bool:
     return any(v.isdigit() and int(v) < LEAST_SIDE for v in (n.attrs.get(side, "").strip().removesuffix("px") for side in ("width", "height")))
 
 
+def _noise(n: Node) -> bool:
+    """What is no part of a body: a form counts where no container is in it."""
+    return n.tag in NOISE or (n.tag == "form" and not n.contains) or re.search(r"(^|\s)(ad|ads|advert)(\s|$)", n.attrs.get("class", "")) is not None
+
+
 def body_of(page: str | None, base: str | None) -> tuple[str, str | None, str]:
-    """(markup, cover image, text) of the article of one page; empty if it has under 100 characters and no image."""
-    tree = _Tree()
-    tree.feed(page or "")
-    root, base = tree.root, base or ""
-    root.drop(lambda n: n.tag in NOISE or (n.tag == "form" and not any(_is_container(x) for x in n.walk())) or re.search(r"(^|\s)(ad|ads|advert)(\s|$)", n.attrs.get("class", "")) is not None)
-    ranked = [(len(t) + 120 * n.count("p") + 80 * n.count("img") - 2 * n.linked(), -i, n) for i, n in enumerate(root.walk()) if _is_container(n) and len(t := n.text()) > 80]
+    """(markup, cover image, text) of the article of one page; empty if it has under 100 characters and no image.
+
+    Every step is one pass over the tree. Addresses that can't be read or have another scheme than http, https and mailto
+    go, as do attributes that run scripts."""
+    root, base = tree_of(page).measure().drop(_noise).measure(), base or ""
+    ranked = [(n.length + 120 * n.p + 80 * n.img - 2 * n.linked, -i, n) for i, n in enumerate(root.elements()) if n.length > 80 and _is_container(n)]
     if ranked:
         box = max(ranked, key=lambda x: x[:2])[2]
     else:
         box = Node("div", {})
-        box.children = [n for n in root.walk() if n.tag in ("p", "figure") and (len(n.text()) > 20 or n.count("img"))]
-    box.drop(lambda n: n.tag in DANGEROUS)
+        box.children = [n for n in root.elements() if n.tag in ("p", "figure") and (n.length > 20 or n.img)]
+    box.drop(lambda n: n.tag in DANGEROUS).measure()
     _strip_head(box)
-    box.drop(_dense)
-    box.drop(lambda n: n.tag in BLOCKS and 0 < len(n.text()) < 300 and BOILERPLATE.search(n.text()) is not None)
-    images = [urljoin(base, n.attrs.get("data-src") or n.attrs.get("src", "")) for n in box.walk() if n.tag == "img" and not _small(n)]
-    images = [i for i in images if i and not UNSAFE.match(i) and not DECORATION.search(i)]
-    text = box.text()
-    if len(text) < 100 and not images:
+    box.drop(_dense).measure()
+    box.drop(lambda n: n.tag in BLOCKS and 0 < n.length < SHORT and BOILERPLATE.search(n.short) is not None).measure()
+    images = [absolute(base, n.attrs.get("data-src") or n.attrs.get("src", "")) for n in box.elements() if n.tag == "img" and not _small(n)]
+    images = [i for i in images if i and not DECORATION.search(i)]
+    if box.length < 100 and not images:
         return "", None, ""
-    return "".join(_markup(c, base) for c in box.children), images[0] if images else None, text
+    return _markup(box.children, base), images[0] if images else None, box.text()
 
 
 @F.pandas_udf(T.StructType([T.StructField("html", T.StringType()), T.StructField("cover", T.StringType()), T.StructField("text", T.StringType())]))
