@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import only, settle
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -48,6 +48,11 @@ ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",))}
 
+#: Elements of text, whose id is the name of a place in it and no kind of element.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote figcaption pre".split())
+#: Characters of a path; a longer one is told by its hash.
+LONGEST_PATH = 1_000
+
 #: Share of a host's pages that a class must be found on, fewest pages, and fewest tokens of a valid class.
 MOST, FEWEST_PAGES, FEWEST_TOKENS = 0.6, 4, 3
 #: Characters of a block that tells copies of an article.
@@ -59,12 +64,22 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int]]:
 
     article is 1 within an article, 2 if what holds the article is an aside by its name; aside is 1 within an aside by
     its name, 2 within one by its element, role or hiding. An article ends an aside by name that holds it. Elements themselves are given too, as their path with text ''."""
-    stack: list[tuple[str, str, int, int]] = []  # tag, path, article, aside
+    stack: list[tuple[str, str, int, int, int]] = []  # tag, path, article, aside, place of the block that holds it or is it (-1: none)
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     at = 0
 
     def block() -> tuple[str, str, int, int]:
-        return next((x for x in reversed(stack) if x[0] not in INLINE), ("", "", 0, 0))
+        at = stack[-1][4] if stack else -1
+        return stack[at][:4] if at >= 0 else ("", "", 0, 0)
+
+    def last(*tags: str) -> int | None:
+        """The place of the innermost open element of these tags."""
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in tags), None) if any(open_tags[t] for t in tags) else None
+
+    def cut(i: int) -> None:
+        open_tags.subtract(x[0] for x in stack[i:])
+        del stack[i:]
 
     def read(text: str) -> None:
         # an aside within a block, such as an advert in a paragraph, is no part of it
@@ -91,42 +106,42 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int]]:
                 yield from flush()
             continue
         if m["end"]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag not in INLINE:
                 yield from flush()
-            if i is not None and (tag not in INLINE or all(x[0] in INLINE for x in stack[i:])):
-                del stack[i:]
+                if (i := last(tag)) is not None:
+                    cut(i)
+            elif open_tags[tag]:
+                i = next((i for i in range(len(stack) - 1, stack[-1][4], -1) if stack[i][0] == tag), None)  # within its block
+                if i is not None:
+                    cut(i)
             continue
         if tag not in INLINE:
             yield from flush()
-            if tag in CLOSES_P:
-                i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if i is not None and all(x[0] in INLINE for x in stack[i + 1 :]):
-                    del stack[i:]
+            if tag in CLOSES_P and block()[0] == "p":
+                cut(stack[-1][4])
             if tag in SAME:
                 own, scope = SAME[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] in own.split():
-                        del stack[i:]
-                        break
+                i = last(*own.split(), *scope)
+                if i is not None and stack[i][0] in own.split():
+                    cut(i)
         found: dict[str, str] = {}
         for key, *values in ATTR.findall(m["attrs"]) if m["attrs"].strip() else ():
             found.setdefault(key.lower(), html.unescape("".join(values)))  # the first of a repeated attribute holds
         classes = found.get("class", "").split()
         name = " ".join([*classes, *([found["id"]] if found.get("id") else [])])
-        above = stack[-1] if stack else ("", "", 0, 0)
+        above = stack[-1] if stack else ("", "", 0, 0, -1)
         begins = not above[2] and (tag in ARTICLE or found.get("role", "").lower() in ("main", "article"))
         article = (2 if above[3] == 1 else 1) if begins else above[2]
         # the heading of an article is part of it; a page's header is not
         heading = tag == "header" and above[2]
-        apart = tag in ASIDE and not heading or found.get("role", "").lower() in ASIDE_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        named = bool(name and tag not in ("html", "body") and tag not in ARTICLE and not begins and not heading and not ASIDE_NAME.isdisjoint([*(c.lower() for c in classes), found.get("id", "").lower()]))
+        apart = tag in ASIDE and tag != "form" and not heading or found.get("role", "").lower() in ASIDE_ROLE or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+        named = bool(name and tag not in ("html", "body") and tag not in ARTICLE and not begins and not heading and not ASIDE_NAME.isdisjoint([*(c.lower() for c in classes), *([found.get("id", "").lower()] if tag not in TEXTUAL else [])]))
+        named |= tag == "form"  # like a wrapper of such a name, it may hold the article or the whole page
         aside = max(0 if begins and above[3] == 1 else above[3], 2 if apart else int(named))
         path = f"{above[1]}>{tag}" + (f".{name}" if name else "") if tag not in INLINE else above[1]
-        if not m["attrs"].rstrip().endswith("/") or tag not in VOID:
-            stack.append((tag, path, article, aside))
+        path = path if len(path) <= LONGEST_PATH else f"#{_digest(path)}"
+        stack.append((tag, path, article, aside, len(stack) if tag not in INLINE else above[4]))
+        open_tags[tag] += 1
         if tag not in INLINE:
             yield path, "", article, aside
     read(page[at:])
@@ -136,14 +151,20 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int]]:
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     """The article's blocks that the template does not hold; without an article element, all such blocks not aside.
 
-    Where the template holds all of them they are the page's only content, and stay."""
+    Where the template holds all of them they are the page's only content, and stay. Of an article the template takes what heads
+    or ends it: labels between its own blocks are its text. What is an aside by name alone, or a form, counts where it holds most
+    of the page's text and nothing else is left."""
     found = [(path, text, article, aside) for path, text, article, aside in blocks(page or "") if text]
     plain = [(path, text, article) for path, text, article, aside in found if not aside]
+    soft = [(path, text, article) for path, text, article, aside in found if aside == 1]
+    if not plain and 2 * sum(len(x[1]) for x in soft) > sum(len(x[1]) for x in found):
+        plain = soft
     # articles that stand in an aside by name count where no other is, such as a lone article in a wrapper of that name
-    rest = next((some for k in (1, 2, 0) if (some := [(path, text) for path, text, article in plain if article == k])), [])
+    kind, rest = next(((k, some) for k in (1, 2, 0) if (some := [(path, text) for path, text, article in plain if article == k])), (0, []))
     if template and rest:
-        marks = token_hashes([f"{path}|{text}" for path, text in rest])
-        rest = [x for x, mark in zip(rest, marks, strict=True) if int(mark) not in template] or rest
+        own = [i for i, mark in enumerate(token_hashes([f"{path}|{text}" for path, text in rest])) if int(mark) not in template]
+        if own:
+            rest = rest[own[0] : own[-1] + 1] if kind else [rest[i] for i in own]
     return "\n".join(text for _, text in rest)
 
 

@@ -1,3 +1,5 @@
+import time
+
 from tessera.llm import html_template as H
 
 PAGE = (
@@ -121,3 +123,31 @@ def test_near_copies_of_a_page_make_no_template(spark):
 def test_very_long_page():
     body = "".join(f"<p>Paragraph {i}</p>" for i in range(50_000))
     assert H.main_text(f"<article>{body}</article>").count("\n") == 49_999
+
+
+def test_a_form_around_an_article_or_the_whole_page_is_no_aside():
+    assert H.main_text("<form id=f><div><article><h1>Head</h1><p>Body</p></article></div></form>") == "Head\nBody"
+    assert H.main_text("<nav>Menu</nav><form id=f><div><h1>Head</h1><p>Body of the page</p></div></form><footer>x</footer>") == "Head\nBody of the page"
+    assert H.main_text("<p>Text</p><form><label>Search all of these pages</label></form>") == "Text"
+
+
+def test_ids_of_headings_are_names_of_places():
+    page = '<article><h2 id="related">Related work</h2><p id="banner">One</p><h2 id="comments">My comments</h2><p>Two</p><div id="comments">Reader says</div></article>'
+    assert H.main_text(page) == "Related work\nOne\nMy comments\nTwo"
+
+
+def test_recurring_headings_inside_an_article_stay(spark):
+    page = lambda k: f"<article><p>Home of dishes</p><h1>Dish {k}</h1><p>Story {k} {'of a dish ' * 20}</p><h2>Ingredients</h2><p>item {k}</p><h2>Method</h2><p>do {k}</p><h2>Notes</h2><p>note {k}</p></article><div>All rights</div>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(10)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3].endswith(f"{('of a dish ' * 20).strip()}\nIngredients\nitem 3\nMethod\ndo 3\nNotes\nnote 3")
+
+
+def test_broken_and_deep_pages_take_one_pass():
+    began = time.time()
+    assert H.main_text("<a " * 350_000) is not None  # 1 MB
+    assert H.main_text("<script " * 50_000) is not None
+    assert H.main_text("<div>" * 20_000 + "<p>deep</p>") == "deep"
+    assert H.main_text("<b>x" * 20_000 + "</i>" * 20_000) == "x" * 20_000
+    assert time.time() - began < 15
+    assert H.main_text('<p class="x>hello</p><p>tail "quoted" text</p>').endswith("text") and "<p" not in H.main_text('<p class="x>hello</p><p>tail "quoted" text</p>')
