@@ -23,6 +23,8 @@ from tessera.llm.vectors import BLOCK_ROWS, GROUP_QUERIES, meet, ranked, stack,
 
 #: Lines; half a window in units of the radius; growth of the radius; deviations below the mean that still collide.
 N_PROJECTIONS, HALF_WIDTH, GROWTH, SLACK, SEED = 64, 1.5, 1.06, 1.0, 7
+#: No two unit vectors are twice as far apart: a query that has not found enough by then is compared with every row.
+FARTHEST = 4.0
 #: Queries counted together, so that their counts stay in a processor's cache.
 TOGETHER = 32
 #: New rows are counted one by one while they are less than this share of the block's places on all lines.
@@ -54,7 +56,8 @@ class Index:
     def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query, verified rows and their inner products; its ``own`` rows are no candidates."""
         n, found = len(self.x), [None] * len(queries)
-        unit = np.hstack([queries / np.linalg.norm(queries, axis=1)[:, None], np.zeros((len(queries), 1))])
+        scaled = queries / np.abs(queries).max(axis=1, initial=0)[:, None]  # whose squares are neither too small nor too large
+        unit = np.hstack([scaled / np.linalg.norm(scaled, axis=1)[:, None], np.zeros((len(queries), 1))])
         heights, at = unit @ self.lines, min(2, len(self.sample) - 1)
         radius = np.sqrt(np.maximum(np.partition(2 - 2 * unit @ self.sample.T, at, axis=1)[:, at], 1e-4))
         few = np.array([n - len(o) <= k for o in own], bool)
@@ -86,6 +89,9 @@ class Index:
                     within = 2 - 2 * self.points[rows] @ unit[i] <= radius[i] ** 2
                     if within.sum() >= k or radius[i] > 2:
                         found[i] = rows, self.x[rows] @ queries[i]
+                if found[i] is None and radius[i] > FARTHEST:
+                    rows = np.setdiff1d(np.arange(n), own[i])
+                    found[i] = rows, self.x[rows] @ queries[i]
             open_ = np.array([i for i in open_ if found[i] is None], int)
             radius[open_] *= GROWTH
         return found
@@ -137,7 +143,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     not read; an empty table gives no row.
     """
     vectors = usable(df, id_col, vec_col, nonzero=True)
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    most = F.array_max(F.transform("vec", F.abs))
+    length = most * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
     # every length has its own largest norm, and its own blocks and groups: a row for each length
     known = vectors.groupBy(F.size("vec").alias("dim")).agg(
         F.max(length).alias("norm"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("vec_id") % every == 0) / GROUP_QUERIES).cast("int").alias("groups")

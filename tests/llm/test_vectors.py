@@ -153,3 +153,15 @@ def test_voronoi_many_rows_of_one_id(spark):
     r = got(voronoi.top_k(frame(spark, v + best + [v[0]] * 30, [*range(100), *[1000] * 40, *[0] * 30])))
     want = brute([*v, best[0]], 64, 20)
     assert [i if i != 100 else 1000 for i, _ in want[0]] == [i for i, _ in r[0]]
+
+
+def test_collision_of_tiny_and_huge_components(spark):
+    rng = np.random.default_rng(3)
+    for scale in (1e-200, 1e-310, 1e150):
+        x = rng.standard_normal((60, 8)) * scale
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = collision.nearest(df).collect()
+        assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in (0, 20, 40) for k in range(1, 21)}
+        assert all(r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), rel=1e-9) for r in got)
+    mixed = spark.createDataFrame([(i, [1e-200 if i % 2 else 1.0, 0.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    assert collision.nearest(mixed).count() == 60
