@@ -63,11 +63,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def small_batches(stage):
-    """The stage with whole texts going to Python 2,000 at a time, so that workers and Arrow buffers stay small."""
+    """The stage with whole texts going to Python 1,000 at a time, so that workers and Arrow buffers stay small."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         return stage(spark, docs, sf_dir)
 
     return run_stage
