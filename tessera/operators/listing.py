@@ -87,7 +87,10 @@ def items(df: DataFrame, category: str | None = None, take: int = 20, cursor: tu
 
 def items_page(df: DataFrame, mode: str = "selected", category: str | None = None, after: str | None = None, take: int = 20, cursor: str | None = None, q: str | None = None, columns: tuple[str, ...] = ("title",)) -> DataFrame:
     """The public listing: ``mode`` selected (published items) or all (pending ones too), published from ``after`` on, of one
-    category, behind a cursor, matching ``q``. On a page that more rows follow, next_cursor tells where to go on."""
+    category, behind a cursor, matching ``q``. On a page that more rows follow, next_cursor tells where to go on; what can't be read
+    as a cursor is an error."""
+    if cursor and decode_cursor(cursor) is None:
+        raise ValueError(f"{cursor!r} is no cursor")
     rows = published(df) if mode == "selected" else df.filter(F.col("status").isin("selected", "pending"))
     rows = rows if after is None else rows.filter(F.col("pub_date") >= F.lit(after).cast("timestamp"))
     page = items(rows, category, take, decode_cursor(cursor) if cursor else None, q, columns)

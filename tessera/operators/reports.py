@@ -98,11 +98,14 @@ def as_of(reports: DataFrame, wanted: DataFrame, within: int | None = 3) -> Data
         spread = reports.withColumn("wanted", F.explode(F.sequence(F.col("report_date"), F.date_add("report_date", within))))
         found = wanted.join(spread, "wanted")
     else:
-        both = wanted.withColumn("report_date", F.lit(None).cast("date")).select(F.col("wanted").alias("d"), "report_date", F.lit(1).alias("ask")).unionByName(
-            reports.select(F.col("report_date").alias("d"), "report_date", F.lit(0).alias("ask"))
-        )
-        last = Window.orderBy("d", "ask").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
-        return both.withColumn("report_date", F.last("report_date", ignorenulls=True).over(last)).filter("ask = 1 and report_date is not null").select(F.col("d").alias("wanted"), "report_date", (F.col("report_date") < F.col("d")).alias("is_stale"))
+        # within the month by an equi-join, before it by the last report of each month, of which there are few
+        month = lambda c: F.trunc(c, "MM")
+        held = reports.select("report_date", month("report_date").alias("_m"))
+        lasts = held.groupBy("_m").agg(F.max("report_date").alias("last")).agg(F.collect_list("last")).scalar()
+        near = wanted.select("wanted", month("wanted").alias("_m")).join(held, "_m").filter("report_date <= wanted").select("wanted", "report_date")
+        far = wanted.select("wanted", lasts.alias("_lasts"), month("wanted").alias("_m"))
+        far = far.select("wanted", F.array_max(F.filter("_lasts", lambda d: d < F.col("_m"))).alias("report_date")).filter("report_date is not null")
+        found = near.unionByName(far)
     return found.groupBy("wanted").agg(F.max("report_date").alias("report_date")).withColumn("is_stale", F.col("report_date") < F.col("wanted"))
 
 

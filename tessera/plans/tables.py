@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import answers, listing, reports
 from tessera.operators.durable import MonthTable, follow
 from tessera.plans.articles import ITEMS, order_items, table
-from tessera.plans.catalog import query
+from tessera.plans.catalog import REPORTS, _reports, query
 from tessera.sources.shared import settle, shared_dir
 
 
@@ -54,3 +56,24 @@ def stream_totals(spark, sf):
     source = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(parts.inputFiles()[0].rpartition("/")[0])
     follow(source, totals, f"{path}/state", changes, {"n": add, "cents": add, "last_ts": F.greatest})
     return totals.read().select("user_id", F.date_format("ts", "yyyy-MM").alias("month"), "n", "cents", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+BODY = "'[' || string_agg(to_json({'id': id, 'title': title, 'score': CASE WHEN id % 3 = 0 THEN NULL ELSE score::INT END}), ',' ORDER BY pub_date DESC, id DESC) || ']'"
+
+
+@query(
+    f"WITH {ITEMS}, p AS (SELECT * FROM item WHERE status = 'selected' ORDER BY pub_date DESC, id DESC LIMIT 50), b AS (SELECT {BODY} AS body FROM p) "
+    "SELECT 200 AS status, '\"' || format('{:x}', list_reduce([0::BIGINT] || list_transform(range(1, length(body) + 1), lambda i: unicode(body[i])::BIGINT), lambda h, c: (h * 31 + c) % 4294967296)) || '\"' AS etag, body FROM b"
+)
+def item_answer(spark, sf):
+    """The newest items as the public interface sends them, with the body's tag."""
+    rows = listing.published(order_items(spark, sf)).withColumn("score", F.when(F.col("id") % 3 != 0, F.col("score").cast("int")))
+    page = rows.orderBy(F.desc("pub_date"), F.desc("id")).limit(50)
+    place = F.row_number().over(Window.orderBy(F.desc("pub_date"), F.desc("id"))) - 1  # of one page
+    return answers.answer(page.withColumn("place", place), ("id", "title", "score"))
+
+
+@query(f"WITH {REPORTS} SELECT wanted, max(report_date) AS report_date, max(report_date) < wanted AS is_stale FROM ask JOIN rep ON report_date BETWEEN wanted - 1 AND wanted GROUP BY wanted")
+def report_asof_yesterday(spark, sf):
+    """The report of the very day, else of the day before."""
+    return reports.as_of(*_reports(spark, sf), within=1)
