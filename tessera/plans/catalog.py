@@ -15,6 +15,7 @@ from tessera.functions.lexicon import SAMPLE as LEX
 from tessera.operators import health, listing, reports, selection, similarity, sinks
 from tessera.plans import sql as S
 from tessera.plans.articles import ARTICLES, AS_OF, ITEMS, articles, order_items, table
+from tessera.sources.shared import settle
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -392,7 +393,7 @@ def bigram_similarity_pairs(spark, sf):
     return similarity.similar_titles(_titles(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-BANDED = f"{S.title_pairs('art', 0.4)}, near AS (SELECT a, b, similarity FROM pair JOIN art x ON x.id = a JOIN art y ON y.id = b WHERE abs(datediff('day', x.pub_date::DATE, y.pub_date::DATE)) <= 14)"
+BANDED = f"{S.title_pairs('art', 0.4)}, near AS (SELECT a, b, similarity FROM pair JOIN art x ON x.id = a JOIN art y ON y.id = b WHERE abs(epoch_us(x.pub_date) - epoch_us(y.pub_date)) <= 14 * 86400000000)"
 
 
 @query(f"WITH {ARTICLES}, {BANDED} SELECT a, b, round(similarity, 6) AS similarity FROM near")
@@ -408,14 +409,20 @@ tp AS (SELECT cluster, arg_max(id, (coalesce(score, 0), -id)) AS primary_id, cou
   FROM cl JOIN art USING (id) GROUP BY cluster)"""
 
 
+SOURCES = """
+us AS (SELECT cluster, string_agg(source_name, '|' ORDER BY f) AS unique_sources FROM (
+  SELECT cluster, source_name, min(k) AS f FROM (SELECT cluster, source_name, row_number() OVER (PARTITION BY cluster ORDER BY coalesce(score, 0) DESC, id) AS k FROM cl JOIN art USING (id))
+  WHERE source_name <> '' GROUP BY ALL) GROUP BY cluster)"""
+
+
 def _topics(spark, sf):
     rows = _titles(spark, sf)
     return similarity.topic_clusters(rows, similarity.similar_titles(rows, days=14))
 
 
-@query(f"WITH RECURSIVE {ARTICLES}, {TOPICS} SELECT * FROM tp")
+@query(f"WITH RECURSIVE {ARTICLES}, {TOPICS}, {SOURCES} SELECT tp.*, coalesce(unique_sources, '') AS unique_sources FROM tp LEFT JOIN us USING (cluster)")
 def topic_clusters(spark, sf):
-    return _topics(spark, sf)
+    return _topics(spark, sf).withColumn("unique_sources", F.array_join("unique_sources", "|"))
 
 
 @query(
@@ -436,13 +443,52 @@ def topic_related(spark, sf):
     return member.withColumn("r", F.row_number().over(order)).filter("r between 2 and 11").select("cluster", "id", "score", (F.col("r") - 1).alias("place"))
 
 
+LIVE = f"""{DECIDE}, live AS (SELECT id, pub_date FROM st WHERE status = 'selected' AND pre_filtered AND pub_date >= TIMESTAMP '2024-02-20' - INTERVAL 30 DAY)"""
+FIRST = "ORDER BY source_count DESC, max_score DESC, cluster"
+
+
+def _live(spark, sf):
+    """The published articles of the last 30 days."""
+    tier = T.content_tier(F.col("content"), F.lit(None).cast("string"))
+    d = selection.decide_selection(F.col("pre_filtered"), F.col("scoring_method"), F.col("score"), tier, F.col("ai_reason"), LEX)
+    rows = articles(spark, sf).withColumns({"tier": tier, "status": d["status"]})
+    return rows.filter("status = 'selected' AND pre_filtered AND pub_date >= timestamp '2024-02-20' - interval 30 days")
+
+
+@query(
+    f"WITH RECURSIVE {ARTICLES}, {TOPICS}, {SOURCES}, {LIVE}, l AS (SELECT * FROM tp {FIRST} LIMIT 30) "
+    f"SELECT cluster, primary_id, title, size, source_count, unique_sources, max_score, avg_score, live.pub_date AS topic_date FROM l JOIN live ON live.id = l.primary_id JOIN us USING (cluster) JOIN (SELECT id, title FROM art) t ON t.id = primary_id WHERE source_count >= 2 {FIRST} LIMIT 10"
+)
+def recent_hot_topics(spark, sf):
+    """Hot topics whose primary article is published and recent, dated by it."""
+    shown = similarity.shown_topics(_topics(spark, sf), _live(spark, sf))
+    titles = articles(spark, sf).select(F.col("id").alias("primary_id"), "title")
+    return shown.join(titles, "primary_id").select("cluster", "primary_id", "title", "size", "source_count", F.array_join("unique_sources", "|").alias("unique_sources"), "max_score", "avg_score", "topic_date")
+
+
+@query(
+    f"WITH RECURSIVE {ARTICLES}, {TOPICS}, {LIVE}, l AS (SELECT * FROM tp {FIRST} LIMIT 30), k AS (SELECT l.* FROM l JOIN live ON live.id = l.primary_id JOIN st ON st.id = live.id WHERE source_count >= 2 AND st.tier = 'full'), "
+    "m AS (SELECT cl.cluster, k.primary_id, k.max_score, st.id, st.title, st.source_name, st.score, st.tier, row_number() OVER (PARTITION BY cl.cluster ORDER BY coalesce(st.score, 0) DESC, st.id) AS place FROM k JOIN cl USING (cluster) JOIN st ON st.id = cl.id WHERE st.id <> k.primary_id) "
+    "SELECT cluster, primary_id, max_score, id, title, source_name, score, place::INT AS place FROM m WHERE place <= 10 AND tier = 'full'"
+)
+def topics_page(spark, sf):
+    """The topics page: recent published primaries with a whole text, each with those of its first ten related articles that
+    have one."""
+    rows = articles(spark, sf).withColumn("tier", T.content_tier(F.col("content"), F.lit(None).cast("string")))
+    near = settle(similarity.similar_titles(rows, days=14), "near")
+    topics = settle(similarity.topic_clusters(rows, near), "topics")
+    shown = similarity.shown_topics(topics, _live(spark, sf).filter("tier = 'full'"), take=30, considered=30)
+    found = similarity.related(rows.select("id", "title", "source_name", "score", "tier"), near, shown).filter("tier = 'full'")
+    return found.join(shown.select("cluster", "primary_id", "max_score"), "cluster").select("cluster", "primary_id", "max_score", "id", "title", "source_name", "score", "place")
+
+
 STEPS = """
 nb AS (SELECT id, list(n) AS ns FROM (SELECT a AS id, b AS n FROM pair UNION ALL SELECT b, a FROM pair) GROUP BY id),
 s AS (SELECT o.id, o.i, coalesce(nb.ns, []::BIGINT[]) AS ns FROM o LEFT JOIN nb USING (id))"""
 
 
 @query(
-    f"WITH RECURSIVE {ARTICLES}, {S.title_pairs('art', 0.4)}, o AS (SELECT id, row_number() OVER (ORDER BY coalesce(score, 0) DESC, id) AS i FROM art), {STEPS}, "
+    f"WITH RECURSIVE {ARTICLES}, {BANDED}, o AS (SELECT id, row_number() OVER (ORDER BY coalesce(score, 0) DESC, id) AS i FROM art), {STEPS.replace('FROM pair', 'FROM near')}, "
     "r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT s.i, CASE WHEN list_has_any(s.ns, r.kept) THEN r.kept ELSE list_append(r.kept, s.id) END FROM r JOIN s ON s.i = r.i + 1), "
     "k AS (SELECT unnest(arg_max(kept, i)) AS id FROM r), n AS (SELECT id, unnest(ns) AS n FROM s), "
     "p AS (SELECT n.id, arg_min(o.id, o.i) AS primary_id FROM n JOIN k ON k.id = n.n JOIN o ON o.id = n.n WHERE n.id NOT IN (SELECT id FROM k) GROUP BY n.id) "
@@ -450,7 +496,7 @@ s AS (SELECT o.id, o.i, coalesce(nb.ns, []::BIGINT[]) AS ns FROM o LEFT JOIN nb
 )
 def greedy_dedup(spark, sf):
     rows = _titles(spark, sf)
-    return similarity.first_independent(rows, similarity.similar_titles(rows), [-F.coalesce("score", F.lit(0.0))])
+    return similarity.first_independent(rows, similarity.similar_titles(rows, days=14), [-F.coalesce("score", F.lit(0.0))])
 
 
 def _vectors(spark, sf):
