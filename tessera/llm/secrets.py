@@ -18,6 +18,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from html.entities import html5
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,26 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]{1,7};)+")
-ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-#: An escape that ends here, and the characters that may end one.
-LAST_ESCAPE = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});)\Z")
+#: References by name to the characters that the patterns can use, those of HTML; a space that doesn't break counts as one.
+NAMED = {name[:-1]: c for name, c in html5.items() if name.endswith(";") and len(c) == 1 and c < "\x7f"} | {"nbsp": " ", "NonBreakingSpace": " "}
+NAME = "|".join(sorted(NAMED, key=lambda n: (-len(n), n)))
+CODE = r"[\\%]u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});" + f"|&({NAME});"
+ONE_ESCAPE = re.compile(CODE)
+UNICODE_ESCAPE = re.compile(f"(?:{re.sub(r'[(](?=[^?])', '(?:', CODE)})+")
+#: An escape that ends here, the characters that may end one, and the most that one has.
+LAST_ESCAPE = re.compile(rf"(?:{CODE}|%([0-9A-Fa-f]{{2}}))\Z")
 ENDS_ESCAPE = frozenset("0123456789abcdefABCDEF;")
+LONGEST = max(10, 2 + max(map(len, NAMED)))
+
+
+def _code(m: re.Match) -> int:
+    """The character that an escape stands for."""
+    if m[6]:
+        return ord(NAMED[m[6]])
+    code = int(m[5], 10) if m[5] else int(next(g for g in m.groups() if g), 16)
+    return 0x20 if code == 0xA0 else code
+
+
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 PART = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 #: Base64 broken into lines (line breaks as such or as written in strings); the last line may be short.
@@ -165,7 +181,7 @@ def _url(run: str) -> list[tuple[str, int, int]] | None:
 def _unicode(run: str) -> list[tuple[str, int, int]] | None:
     out = []
     for m in ONE_ESCAPE.finditer(run):
-        code = next((int(g, 10 if i == 5 else 16) for i, g in enumerate(m.groups(), 1) if g), 0)
+        code = _code(m)
         if out and 0xDC00 <= code < 0xE000 and len(out[-1][0]) == 1 and 0xD800 <= ord(out[-1][0]) < 0xDC00:
             high, a, _ = out.pop()
             out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), a, m.end()))
@@ -184,9 +200,9 @@ def _deepest(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray] | None
         starts.append(i)
         ends.append(i + 1)
         fresh.append(False)
-        while chars[-1] in ENDS_ESCAPE and (m := LAST_ESCAPE.search("".join(chars[-10:]))):
+        while chars[-1] in ENDS_ESCAPE and (m := LAST_ESCAPE.search("".join(chars[-LONGEST:]))):
             n = len(m[0])
-            code = next(int(g, 10 if k == 6 else 16) for k, g in enumerate(m.groups(), 1) if g)
+            code = _code(m)
             first, last = starts[-n], ends[-1]
             del chars[-n:], starts[-n:], ends[-n:], fresh[-n:]
             chars.append(chr(code) if code < 0x110000 else "\ufffd")
@@ -272,7 +288,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         work.append((layer, starts, ends, depth))
 
     def unwrap(layer: str, starts: np.ndarray | None, ends: np.ndarray | None, depth: int) -> None:
-        escapes = ("%", lambda t: _in_place(t, URL_ESCAPE, _url)), ("\\&", lambda t: _in_place(t, UNICODE_ESCAPE, _unicode))
+        escapes = ("%", lambda t: _in_place(t, URL_ESCAPE, _url)), ("\\&%", lambda t: _in_place(t, UNICODE_ESCAPE, _unicode))
         if depth >= DEPTH:
             escapes = (("%\\&", _deepest),)
         for marks, decoded in (*escapes, ("\0", lambda t: _in_place(t, WIDE, _wide))):

@@ -158,3 +158,15 @@ def test_layers_that_are_not_plain_text_are_scanned():
 
 def test_the_same_layer_twice_is_found_twice():
     assert len(spans(f"{coded(KEY.encode())} and {coded(KEY.encode())}")) == 2
+
+
+def test_url_unicode_escapes_and_named_references():
+    for text in ("%u0070assword=abc123def", "password&nbsp;=&quot;abc123def&quot;", "password&#160;&equals;&apos;abc123def", "secret&colon;abc123def", "api&lowbar;key=abc123def", "%u0070%u0061ss%77ord&equals;abc123def"):
+        assert [k for _, k in spans(text)] == ["assign"], text
+    (a, _, b), = secrets.scan("a password&nbsp;=&quot;abc123def&quot; b")[1]
+    assert (a, b) == (2, 32)
+    deep = "password&equals;abc123def"
+    for _ in range(12):
+        deep = deep.replace("&", "&amp;")
+    assert [k for _, k in spans(deep)] == ["assign"]
+    assert spans("password &unknown; abc123def &amp; &; %u00 %uzzzz") == []
