@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.lexicon import Lexicon
-from tessera.functions.text import candidate_match, classify, content_tier, exclusion_reason, plain_text, sentence_excerpt
+from tessera.functions.text import candidate_match, cap_at_sentence, classify, content_tier, exclusion_reason, is_dirty, plain_text, sentence_excerpt
 from tessera.operators.selection import decide_selection
 
 def whole_text() -> Column:
@@ -84,6 +84,37 @@ def backfill_excerpts(df: DataFrame) -> DataFrame:
     return rows.select("id", F.col("excerpt").alias("old"), new.alias("excerpt")).filter((F.col("excerpt") != "") & ~F.col("excerpt").eqNullSafe(F.col("old"))).select("id", "excerpt")
 
 
+def backfill_html(df: DataFrame, extracted: Column, lex: Lexicon, force: bool = False) -> DataFrame:
+    """``df`` (id, content, content_html, excerpt, scoring_method) with a body extracted anew, and the outcome.
+
+    A body of 50 characters or more replaces body and text, and the excerpt unless a model made a clean one. Without it
+    the row has failed; ``force`` then takes its body away, and text and excerpt too where they are dirty."""
+    whole = F.length(F.coalesce(extracted, F.lit(""))) >= 50
+    text = plain_text(extracted)
+    kept = F.coalesce((F.col("scoring_method") == "llm") & (F.length("excerpt") > 10) & ~is_dirty(F.col("excerpt"), lex), F.lit(False))
+
+    def clean(name: str) -> Column:
+        return F.when(~is_dirty(F.col(name), lex), F.col(name)) if force else F.col(name)
+
+    return df.withColumns({
+        "outcome": F.when(whole, "updated").otherwise("cleaned" if force else "failed"),
+        "content_html": F.when(whole, extracted).otherwise(F.lit(None) if force else F.col("content_html")),
+        "content": F.when(whole, cap_at_sentence(text, 5000)).otherwise(clean("content")),
+        "excerpt": F.when(whole & kept, F.col("excerpt")).when(whole, cap_at_sentence(text, 200)).otherwise(clean("excerpt")),
+    })
+
+
+#: What a text that is not cut off ends with.
+LAST_MARKS = "[。！？）》\"']\\s*$"
+
+
+def wants_fetch(content: Column, html: Column) -> Column:
+    """Whether an opened article is fetched anew: it has no body, and a text that is missing, under 50 characters, or under
+    3,000 without a mark at its end."""
+    text = F.coalesce(content, F.lit(""))
+    return (F.coalesce(html, F.lit("")) == "") & ((F.length(text) < 50) | ((F.length(text) < 3000) & ~text.rlike(LAST_MARKS)))
+
+
 def score_open(df: DataFrame, scored: Column, lex: Lexicon) -> DataFrame:
     """Rows to be scored: pre-filtered, without a score, not rejected. One without a readable text is rejected, the others
     get ``scored`` and are decided: id, score, status, reason."""

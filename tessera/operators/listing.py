@@ -112,6 +112,12 @@ def lookup(df: DataFrame, key: int) -> DataFrame:
     return df.filter(F.col("id") == key).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))).filter("_n = 1").drop("_n")
 
 
+def details(df: DataFrame) -> DataFrame:
+    """The articles that a detail page shows: pre-filtered, selected or pending, with a whole text (column content_quality)."""
+    shown = df.filter(F.col("pre_filtered") & F.col("status").isin("selected", "pending") & (F.col("content_quality") == "full"))
+    return shown.withColumn("review_tier", F.when(F.col("status") == "selected", "selected").otherwise("signal"))
+
+
 def date_groups(df: DataFrame) -> DataFrame:
     """Each day's items by score, null as 0: day, place, id, score."""
     order = Window.partitionBy("day").orderBy(F.coalesce("score", F.lit(0.0)).desc(), "id")

@@ -85,6 +85,7 @@ def reconcile(df: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def reopen(df: DataFrame) -> DataFrame:
-    """A rejected article that now has a whole text is pending again and loses its score."""
-    again = (F.col("status") == "rejected") & (F.col("tier") == "full")
-    return df.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), "scoring_method": F.when(~again, F.col("scoring_method")), "score": F.when(~again, F.col("score"))})
+    """A rejected article that now has a whole text (column tier) is pending again; its method, reason and time of scoring go."""
+    again = F.coalesce((F.col("status") == "rejected") & (F.col("tier") == "full"), F.lit(False))
+    gone = {c: F.when(~again, F.col(c)) for c in ("scoring_method", "ai_reason", "scored_at") if c in df.columns}
+    return df.withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), **gone})

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.lexicon import SAMPLE as LEX
-from tessera.operators import jobs, listing, reports
+from tessera.operators import jobs, listing, reports, selection
 from tessera.plans import sql as S
 from tessera.plans.articles import ARTICLES, AS_OF, ITEMS, articles, order_items, table
-from tessera.plans.catalog import CLASS, DECIDE, LISTED, NEWEST, SIGNS, WHOLE, query
+from tessera.plans.catalog import CLASS, DECIDE, LISTED, NEWEST, REPORTS, SIGNS, WHOLE, _reports, query
 
 TIER = S.tier("content", "NULL::VARCHAR")
 STATUS = "CASE WHEN id % 2 = 0 THEN 'pending' WHEN id % 3 = 0 THEN 'rejected' END"
@@ -215,3 +215,114 @@ def weekly_overview(spark, sf):
 @query(_overview("1997-05-01", "1997-06-01", 8))
 def monthly_overview(spark, sf):
     return reports.period_overview(order_items(spark, sf), dt.datetime(1997, 5, 1), dt.datetime(1997, 6, 1), 8)
+
+
+# Detail pages, enrichment and bodies ---------------------------------------------------------------------------------
+
+
+def _decided(spark, sf):
+    d = selection.decide_selection(F.col("pre_filtered"), F.col("scoring_method"), F.col("score"), jobs.tier(), F.col("ai_reason"), LEX)
+    return articles(spark, sf).withColumns({"status": d["status"], "tier": jobs.tier()})
+
+
+@query(f"WITH {ARTICLES}, {DECIDE} SELECT id, title, status, CASE status WHEN 'selected' THEN 'selected' ELSE 'signal' END AS review_tier FROM st WHERE pre_filtered AND status IN ('selected', 'pending') AND tier = 'full'")
+def article_details(spark, sf):
+    return listing.details(_decided(spark, sf).withColumnRenamed("tier", "content_quality")).select("id", "title", "status", "review_tier")
+
+
+SHORT = "regexp_replace(stored, '(\\.\\.\\.|…)$', '')"
+
+
+@query(
+    f"WITH {ARTICLES}, {DECIDE}, f AS (SELECT *, CASE id % 3 WHEN 0 THEN left(title, 20) || '...' WHEN 1 THEN left(title, 20) || '…' ELSE title END AS stored, CASE WHEN id % 7 = 0 THEN left(title, 10) ELSE title END AS fetched, status = 'rejected' AND tier = 'full' AS again FROM st) "
+    f"SELECT id, CASE WHEN stored <> {SHORT} AND length(fetched) > length({SHORT}) THEN fetched ELSE stored END AS title, CASE WHEN again THEN 'pending' ELSE status END AS status, "
+    "CASE WHEN NOT again THEN scoring_method END AS scoring_method, CASE WHEN NOT again THEN ai_reason END AS ai_reason FROM f"
+)
+def enrich_outcome(spark, sf):
+    """Cut titles repaired by fetched ones, and rejected articles that have a whole text by now reopened."""
+    i, head = F.col("id"), F.substring("title", 1, 20)
+    stored = F.when(i % 3 == 0, F.concat(head, F.lit("..."))).when(i % 3 == 1, F.concat(head, F.lit("…"))).otherwise(F.col("title"))
+    fetched = F.when(i % 7 == 0, F.substring("title", 1, 10)).otherwise(F.col("title"))
+    return selection.reopen(_decided(spark, sf)).select("id", T.repair_title(stored, fetched).alias("title"), "status", "scoring_method", "ai_reason")
+
+
+def _backfilled(force: bool) -> str:
+    def dirty(c: str) -> str:
+        return f"(starts_with(left(coalesce({c}, ''), 200), '%PDF') OR {S.like(f'left(coalesce({c}, {S.q('')}), 200)', LEX.site_noise)})"
+
+    def capped(most: int) -> str:
+        return f"CASE WHEN length(t) <= {most} THEN t ELSE {S.cut_at_end('t', most, most / 2)} END"
+
+    def clean(c: str) -> str:
+        return f"CASE WHEN NOT {dirty(c)} THEN {c} END" if force else c
+
+    return (
+        f"WITH {ARTICLES}, f AS (SELECT id, scoring_method, CASE WHEN id % 10 = 5 THEN '%PDF-1.4 ' || left(content, 50) ELSE content END AS content, '<p>old</p>' AS content_html, CASE WHEN id % 6 = 0 THEN '%PDF-1.4' || left(content, 40) ELSE left(content, 100) END AS excerpt, "
+        f"CASE WHEN id % 5 = 0 THEN '<p>short</p>' WHEN id % 5 > 1 THEN '<p>' || content || '</p>' END AS got FROM art), "
+        f"x AS (SELECT *, length(coalesce(got, '')) >= 50 AS whole, {S.plain('got')} AS t, coalesce(scoring_method = 'llm' AND length(excerpt) > 10 AND NOT {dirty('excerpt')}, false) AS kept FROM f) "
+        f"SELECT id, CASE WHEN whole THEN 'updated' ELSE '{'cleaned' if force else 'failed'}' END AS outcome, CASE WHEN whole THEN got ELSE {'NULL' if force else 'content_html'} END AS content_html, "
+        f"CASE WHEN whole THEN {capped(5000)} ELSE {clean('content')} END AS content, CASE WHEN whole AND kept THEN excerpt WHEN whole THEN {capped(200)} ELSE {clean('excerpt')} END AS excerpt FROM x"
+    )
+
+
+def _backfill(spark, sf, force):
+    i, text = F.col("id"), F.col("content")
+    body = F.when(i % 5 == 0, "<p>short</p>").when(i % 5 > 1, F.concat(F.lit("<p>"), text, F.lit("</p>")))
+    excerpt = F.when(i % 6 == 0, F.concat(F.lit("%PDF-1.4"), F.substring(text, 1, 40))).otherwise(F.substring(text, 1, 100))
+    old = F.when(i % 10 == 5, F.concat(F.lit("%PDF-1.4 "), F.substring(text, 1, 50))).otherwise(text)
+    rows = articles(spark, sf).select("id", "scoring_method", body.alias("got"), old.alias("content"), F.lit("<p>old</p>").alias("content_html"), excerpt.alias("excerpt"))
+    return jobs.backfill_html(rows, F.col("got"), LEX, force).select("id", "outcome", "content_html", "content", "excerpt")
+
+
+@query(_backfilled(False))
+def html_backfill(spark, sf):
+    return _backfill(spark, sf, False)
+
+
+@query(_backfilled(True))
+def html_backfill_forced(spark, sf):
+    return _backfill(spark, sf, True)
+
+
+@query("SELECT doc_id, length(coalesce(c, '')) < 50 OR (length(c) < 3000 AND NOT regexp_matches(c, '[。！？）》\"'']\\s*$')) AS wanted FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN left(text, 40) WHEN doc_id % 5 = 1 THEN left(text, 200) || '”' WHEN doc_id % 5 = 2 THEN left(text, 200) || '。' ELSE text END AS c FROM documents)")
+def live_fetch(spark, sf):
+    i, text = F.col("doc_id"), F.col("text")
+    c = F.when(i % 5 == 0, F.substring(text, 1, 40)).when(i % 5 == 1, F.concat(F.substring(text, 1, 200), F.lit("”"))).when(i % 5 == 2, F.concat(F.substring(text, 1, 200), F.lit("。"))).otherwise(text)
+    return table(spark, sf, "documents").select("doc_id", jobs.wants_fetch(c, F.lit(None).cast("string")).alias("wanted"))
+
+
+@query(f"WITH {ARTICLES} SELECT id, CASE WHEN pre_filtered AND score >= 20 THEN TIMESTAMP '{AS_OF}' ELSE pub_date END AS updated_at FROM art")
+def touched_rows(spark, sf):
+    rows = articles(spark, sf).withColumn("updated_at", F.col("pub_date"))
+    return jobs.touched(rows, F.col("pre_filtered") & (F.col("score") >= 20), _now()).select("id", "updated_at")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey IN (7, 21) THEN 'custom' WHEN s_suppkey % 3 = 2 THEN 'rss' ELSE 'html' END AS kind FROM supplier")
+def source_kinds(spark, sf):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(k.alias("id"), F.when(k % 3 == 1, " ").when(k % 3 == 2, F.concat(F.lit("https://example.org/"), k)).alias("rss"))
+    return rows.select("id", jobs.source_kind((7, 21)).alias("kind"))
+
+
+@query(f"WITH {REPORTS} SELECT wanted, max(report_date) AS report_date, max(report_date) < wanted AS is_stale FROM ask JOIN rep ON report_date BETWEEN wanted - 1 AND wanted GROUP BY wanted")
+def report_of_day(spark, sf):
+    """The report of the very day, else that of the day before."""
+    return reports.as_of(*_reports(spark, sf), within=1)
+
+
+@query("WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), t AS (SELECT max(day) AS today FROM d) SELECT day, CASE today - day WHEN 0 THEN 'today' WHEN 1 THEN 'yesterday' ELSE strftime(day, '%Y-%m-%d %a') END AS label FROM d, t")
+def relative_days(spark, sf):
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", listing.relative_day(F.col("day"), days.agg(F.max("day")).scalar()).alias("label"))
+
+
+@query("SELECT o_custkey AS section, string_agg(o_orderkey, ',' ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS articles FROM orders GROUP BY o_custkey")
+def section_lists(spark, sf):
+    """The articles of each section, its own and those of its subsections."""
+
+    def of(*status: str):
+        return F.array_sort(F.collect_list(F.when(F.col("o_orderstatus").isin(*status), F.col("o_orderkey"))))
+
+    sections = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("section")).agg(of("F").alias("own"), of("O").alias("open"), of("P").alias("part"))
+    inner = F.array(F.struct(F.col("open").alias("articles")), F.struct(F.col("part").alias("articles")))
+    return sections.select("section", F.array_join(reports.section_articles(F.col("own"), inner), ",").alias("articles"))

@@ -154,6 +154,13 @@ def stream_first_by_key(spark, sf):
     return least.groupBy("user_id").agg(F.min("first_ts").cast("timestamp_ntz").alias("first_ts"))
 
 
+@query("SELECT DISTINCT user_id FROM events")
+def stream_links(spark, sf):
+    """Each link once, in whatever order its items come; a link is remembered for as long as the table spans."""
+    events = jobs.read_table(spark, sf, "events", table(spark, sf, "events").schema).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return jobs.drain(jobs.first_by_link(events, "user_id", "ts", "3650 days"), "links").select("user_id")
+
+
 @query(
     "WITH a AS (SELECT event_id, ts, TIMESTAMP '2024-01-20 10:20:30' + event_id % 7 * INTERVAL 1 DAY AS arrival FROM events) "
     "SELECT event_id, CASE WHEN ts <= arrival + INTERVAL 1 HOUR AND ts >= arrival - INTERVAL 180 DAY THEN ts ELSE date_trunc('minute', arrival) END AS ts FROM a"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +25,43 @@ def first_by_link(stream: DataFrame, link: str, ts: str, delay: str = "7 days")
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([link])
 
 
+#: Rows of an answer that leave a worker together.
+CHUNK = 10_000
+
+
+def _in_order(batches: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """The columns of a key's rows of one batch by time and id, 8 bytes a value: nothing else of the rows is held."""
+    held: list[list[np.ndarray]] = [[] for _ in columns]
+    for rows in batches:
+        for part, name in zip(held, columns, strict=True):
+            part.append(rows[name].to_numpy())
+    values = [np.concatenate(part) for part in held]
+    order = np.lexsort((values[columns.index("id")], values[columns.index("micros")]))
+    return [v[order] for v in values]
+
+
+def _in_chunks(key: tuple, n: int, **columns) -> Iterator[pd.DataFrame]:
+    for i in range(0, n, CHUNK):
+        yield pd.DataFrame({"key": key[0], **{name: v[i : i + CHUNK] for name, v in columns.items()}})
+
+
 def _limited(window_s: int, limit: int, evict: bool):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(batches).sort_values(["micros", "id"])
-        counts = []
-        for t in rows.micros:
+        micros, ids = _in_order(batches, "micros", "id")
+        counts = np.empty(len(ids), np.int32)
+        for i, t in enumerate(micros):
             if start is None or t - start > window_s * 1_000_000:
                 start, n = int(t), 0
             n += 1
-            counts.append(n)
+            counts[i] = n
         state.update((start, n))
         if evict:
             state.setTimeoutTimestamp(max(start // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"key": key[0], "id": rows.id, "in_window": counts, "allowed": [c <= limit for c in counts]})
+        yield from _in_chunks(key, len(ids), id=ids, in_window=counts, allowed=counts <= limit)
 
     return run
 
@@ -59,16 +80,20 @@ def rate_limit(stream: DataFrame, key: str, ts: str, id_col: str, window_s: int,
 
 def _streaks(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (n,) = state.get if state.exists else (0,)
-    rows, out = pd.concat(batches).sort_values(["micros", "id"]), []
-    for failed in rows.failed:
-        n = n + 1 if failed else 0
-        out.append(n)
-    state.update((n,))
-    yield pd.DataFrame({"key": key[0], "id": rows.id, "streak": out})
+    _, ids, failed = _in_order(batches, "micros", "id", "failed")
+    streak = np.empty(len(ids), np.int64)
+    for i, bad in enumerate(failed):
+        n = n + 1 if bad else 0
+        streak[i] = n
+    if n:
+        state.update((n,))
+    elif state.exists:
+        state.remove()
+    yield from _in_chunks(key, len(ids), id=ids, streak=streak)
 
 
 def failure_streaks(stream: DataFrame, key: str, ts: str, id_col: str, failed: Column) -> DataFrame:
-    """Each outcome with the failures in a row up to it. State is one number for each key."""
+    """Each outcome with the failures in a row up to it. State is one number for each key that is failing; the others have none."""
     rows = stream.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"), F.col(id_col).alias("id"), failed.alias("failed"))
     return rows.groupBy("key").applyInPandasWithState(_streaks, "key long, id long, streak long", "n long", "append", GroupStateTimeout.NoTimeout)
 
