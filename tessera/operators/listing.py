@@ -107,7 +107,7 @@ def public_item(df: DataFrame) -> DataFrame:
     )
 
 
-def lookup(df: DataFrame, key: int) -> DataFrame:
+def lookup(df: DataFrame, key: int | Column) -> DataFrame:
     """The row of a key if there is exactly one."""
     return df.filter(F.col("id") == key).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))).filter("_n = 1").drop("_n")
 

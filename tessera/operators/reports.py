@@ -26,9 +26,12 @@ def week_start(year: int, week: int) -> dt.datetime:
     return dt.datetime.fromisocalendar(year, week, 1)
 
 
-def first_n(df: DataFrame, by: list[str], order: list[Column], n: int | Column) -> DataFrame:
-    """The first n rows of each group with their rank."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n)
+def first_n(df: DataFrame, by: list[str], order: list[Column], most: int, n: Column | None = None) -> DataFrame:
+    """The first ``most`` rows of each group, or ``n`` of these, with their rank.
+
+    The literal bound lets Spark keep the first of each group in every partition, so a large group is not sorted in one task."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= most)
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
 def by_score() -> list[Column]:
@@ -46,7 +49,7 @@ def daily_report(df: DataFrame, date: str, must_read: int = 3, updates: int = 15
     ranked = chosen.withColumn("r", F.row_number().over(Window.partitionBy(F.col("status")).orderBy(*by_score())))
     top = (F.col("r") <= must_read) & (F.col("score") >= MUST_READ)
     split = ranked.withColumn("section", F.when(top, "must_read").otherwise("industry_updates"))
-    shown = first_n(split, ["section"], by_score(), F.when(F.col("section") == "must_read", must_read).otherwise(updates))
+    shown = first_n(split, ["section"], by_score(), max(must_read, updates), F.when(F.col("section") == "must_read", must_read).otherwise(updates))
     pending = first_n(day.filter(F.col("status") == "pending").withColumn("section", F.lit("review_signals")), ["section"], [F.col("pub_date").desc_nulls_first(), F.col("id").asc()], signals)
     week = between(df, local_day(date, -7), local_day(date)).filter(F.col("status") == "selected")
     # five are fetched before the score filter, as in the source system
@@ -63,7 +66,7 @@ def period_sections(df: DataFrame, start: dt.datetime, end: dt.datetime, n: dict
     chosen = rows.filter((F.col("status") == "selected") & (F.col("score") >= PUBLISH)).withColumn("section", F.col("category")).withColumn("kind", F.lit("selected"))
     pending = rows.filter(F.col("status") == "pending").withColumn("section", F.col("category")).withColumn("kind", F.lit("signal"))
     cols = ["section", "kind", "rank", "id", "score"]
-    return first_n(chosen, ["section"], by_score(), limit).select(*cols).unionByName(first_n(pending, ["section"], by_score(), signals).select(*cols))
+    return first_n(chosen, ["section"], by_score(), max(n.values()), limit).select(*cols).unionByName(first_n(pending, ["section"], by_score(), signals).select(*cols))
 
 
 def weekly_report(df: DataFrame, year: int, week: int) -> DataFrame:

@@ -90,8 +90,7 @@ def items_search(spark, sf):
 @query(f"WITH {ITEMS} SELECT id, title, score, status FROM item WHERE id = (SELECT min(o_orderkey) + 7 FROM orders)")
 def article_lookup(spark, sf):
     rows = order_items(spark, sf)
-    key = rows.agg(F.min("id") + 7).first()[0]
-    return listing.lookup(rows, key).select("id", "title", "score", "status")
+    return listing.lookup(rows, rows.agg(F.min("id") + 7).scalar()).select("id", "title", "score", "status")
 
 
 @query(
