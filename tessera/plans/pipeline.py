@@ -32,7 +32,7 @@ def run(articles: DataFrame, lex: Lexicon, dims: dict, days: int = 14) -> DataFr
     """Decided articles with the topic cluster of those selected or pending, and whether they lead it."""
     decided = settle(decide_all(articles, lex, dims), "decided")
     live = decided.filter("status <> 'rejected'")
-    topics = similarity.clusters(live.select("id", "score"), similarity.similar_titles(live.select("id", "title", "pub_date"), days=days))
+    topics = similarity.clusters(live.select("id", "score"), similarity.title_forest(live.select("id", "title", "pub_date"), days=days))
     best = topics.groupBy("cluster").agg(F.max_by("id", F.struct(F.coalesce("score", F.lit(0.0)), -F.col("id"))).alias("lead"))
     named = topics.join(best, "cluster").select("id", "cluster", (F.col("id") == F.col("lead")).alias("leads"))
     return decided.join(named, "id", "left")
