@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.lexicon import Lexicon
-from tessera.functions.text import content_tier, reason_allows, topic_match
+from tessera.functions.text import content_tier, once, reason_allows, topic_match
 
 PUBLISH, SIGNAL, MUST_READ, DIMENSION_MAX = 8, 8, 30, 20
 DIMENSIONS = ("frontier", "industry_model", "regulatory", "dispute", "normative")
@@ -65,13 +65,15 @@ def parse_scores(payload: Column) -> Column:
     braces = F.regexp_extract(payload, "(?s)(\\{.*\\})", 1)
     parsed = F.coalesce(F.try_parse_json(payload), F.try_parse_json(bare), F.try_parse_json(braces))
 
-    def value(path: str) -> Column:
-        return F.coalesce(*[F.try_variant_get(parsed, f"${at}.{path}", "double") for at in ("", ".data", ".result")])
+    def value(answer: Column, path: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(answer, f"${at}.{path}", "double") for at in ("", ".data", ".result")])
 
-    score = value("score")
-    score = F.when((score >= 0) & (score <= 100), score)
-    dims = [F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(DIMENSION_MAX)), F.coalesce(value(d), F.floor(score / 5 + 0.5)))) + 0.5).cast("int").alias(d) for d in DIMENSIONS]
-    return F.when(score.isNotNull(), F.struct(score.alias("score"), *dims))
+    return once(parsed, lambda answer: once(value(answer, "score"), lambda score: _scored(score, [value(answer, d) for d in DIMENSIONS])))
+
+
+def _scored(score: Column, found: list[Column]) -> Column:
+    dims = [F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(DIMENSION_MAX)), F.coalesce(v, F.floor(score / 5 + 0.5)))) + 0.5).cast("int").alias(d) for d, v in zip(DIMENSIONS, found, strict=True)]
+    return F.when((score >= 0) & (score <= 100), F.struct(score.alias("score"), *dims))
 
 
 def reconcile(df: DataFrame, lex: Lexicon) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import build_excerpt, content_tier, plain_text
+from tessera.functions.text import build_excerpt, content_tier, once, plain_text
 from tessera.functions.urls import article_like_url, noise_link
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -111,12 +111,12 @@ def published_at(html: Column, as_of: Column, url: Column | None = None) -> Colu
     body = F.regexp_extract(html, "(?is)<body\\b.*", 0)
     date = "(\\d{4})[-/.年](\\d{1,2})[-/.月](\\d{1,2})"
     text = html_text(F.when(body != "", body).otherwise(html))
-    named = F.concat_ws("-", *[F.lpad(F.regexp_extract(text, date, i), 4 if i == 1 else 2, "0") for i in (1, 2, 3)])
+    named = once(F.regexp_extract(text, date, 0), lambda d: F.concat_ws("-", *[F.lpad(F.regexp_extract(d, date, i), 4 if i == 1 else 2, "0") for i in (1, 2, 3)]))
     raw = [attribute(html, "meta", k, v, "content") for k, v in DATE_META] + [F.when(stamp != "", stamp).otherwise(F.trim(plain_text(timed))), named]
-    times = [F.try_to_timestamp(F.nullif(r, F.lit(""))) for r in raw]
+    times = [once(r, lambda x: F.try_to_timestamp(F.nullif(x, F.lit("")))) for r in raw]
     if url is not None:
         times.append(F.timestamp_seconds(F.nullif(F.regexp_extract(url, "[?&]_t=(\\d{1,11})(?:[&#]|$)", 1), F.lit("")).cast("long")))
-    return F.coalesce(*[F.when((t >= "2000-01-01") & (t <= as_of + F.expr("interval 1 day")), t) for t in times])
+    return F.coalesce(*[once(t, lambda x: F.when((x >= "2000-01-01") & (x <= as_of + F.expr("interval 1 day")), x)) for t in times])
 
 
 LIST_DATE = "(\\d{4})[-/.年](\\d{1,2})[-/.月](\\d{1,2})日?(?:\\s*(\\d{1,2}):(\\d{2}))?"

@@ -106,3 +106,15 @@ def test_bodies_by_host(spark, server):
     asked = rows.filter("id = 0").selectExpr("'s' AS source_id", "1 AS number", f"'{server}/post' AS url", "q.post AS post", "q.adapter AS adapter")
     answer = web.ask(spark, asked).withColumn("adapter", F.lit("dahecube"))
     assert answer.select(web.answer_body(F.col("adapter"), F.col("status"), F.col("body").cast("string")).alias("b")).first().b == "<p>body of 12+3</p>"
+
+
+def test_dates_and_scores_are_worked_out_once_a_row(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import selection
+    from tessera.sources import html as H
+
+    df = spark.createDataFrame([("<body>2024-01-02</body>", "{}")], "html string, payload string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(H.published_at(F.col("html"), F.lit("2024-03-01").cast("timestamp"))).count("<body") <= 2
+    assert plan(selection.parse_scores(F.col("payload"))).count("parse_json") + plan(selection.parse_scores(F.col("payload"))).count("parseJson") <= 6
