@@ -89,3 +89,10 @@ def test_frequent_ngrams_are_counted_across_batches(monkeypatch):
     found = list(ngram_join._frequent(4, iter([pd.DataFrame({"text": b}) for b in batches])))
     assert [f.c.tolist() for f in found] == [[3] * 4, []]
     assert set(found[0].h) == set(ngram_join.shingle_set("a b c d e f g", 4))
+
+
+def test_an_ngram_of_few_documents_among_many_is_counted_as_frequent():
+    long = [" ".join(f"{k}w{i}" for i in range(600_000)) for k in range(2)]
+    texts = ["a b c d e f g", long[0], "a b c d e f g", long[1], "a b c d e f g"]
+    found = list(ngram_join._frequent(4, iter([pd.DataFrame({"text": [t]}) for t in texts])))
+    assert {h for f in found for h in f.h} == set(ngram_join.shingle_set("a b c d e f g", 4))
