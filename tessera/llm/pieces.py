@@ -14,7 +14,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from tessera.llm.common import only
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-#: Characters of text that are encoded together; words, and pairs of pieces, that a task remembers between batches: more
-#: take more memory and spare work.
-BATCH_CHARS, REMEMBERED = 300_000, 250_000
+#: Characters of text that are encoded together; words that a task remembers between batches, and pairs of pieces, which are
+#: fewer and cost more to find again: more take more memory and spare work.
+BATCH_CHARS, REMEMBERED, PAIRS = 300_000, 500_000, 300_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -115,6 +117,8 @@ class Model:
         self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + ("|\n" if alone else ""))
         self.raw = [p.replace(MARK, " ").encode() if k in (1, 4) else bytes([int(p[3:5], 16)]) if k == 6 else b" \xe2\x81\x87 " if k == 2 else b"" for p, k in zip(self.pieces, kinds, strict=True)]
         self._neighbours: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int | None, int | None]] = {}
+        self.alike = Counter(self.scores[i] for p, i in self.ids.items() if len(p) > 1)
         self._whole: dict[int, bool] = {}
         self._possible: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.ends)
         self.known = Known()
@@ -154,9 +158,9 @@ class Model:
             moves[key] = to or 0
         return to or 0
 
-    def merged(self, text: str, apart: int = 0) -> list[str] | None:
-        """The text's pieces by merging the best-scored neighbours, leftmost first; None if that joins what lies on both
-        sides of the place ``apart``."""
+    def merged(self, text: str, apart: int = 0, most: int = 1) -> list[str] | None:
+        """The text's pieces by merging the best-scored neighbours, leftmost first, until there are ``most``; None if that joins
+        what lies on both sides of the place ``apart``."""
         parts, ids, scores = list(text), self.ids, self.scores
         found = [ids.get(a + b) for a, b in itertools.pairwise(parts)]
         worth = [None if i is None else scores[i] for i in found]
@@ -165,7 +169,7 @@ class Model:
             for i, score in enumerate(worth):
                 if score is not None and (best is None or score > best):
                     best, at = score, i
-            if best is None:
+            if best is None or len(parts) <= most:
                 return parts
             if apart and sum(map(len, parts[: at + 1])) == apart:
                 return None
@@ -184,12 +188,40 @@ class Model:
     def neighbours(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' characters gives the two pieces."""
         if (got := self._neighbours.get(left << 32 | right)) is None:
-            if len(self._neighbours) >= self.remembered:
+            if len(self._neighbours) >= PAIRS:
                 self._neighbours.clear()
-            a = self.pieces[left]
-            got = self._neighbours[left << 32 | right] = self.merged(a + self.pieces[right], len(a)) is not None
+            got = self._neighbours[left << 32 | right] = self.apart(left, right)
         return got
 
+    def half(self, piece: int, side: int) -> int | None:
+        """The left (0) or right (1) piece of the last merge that makes a piece; None if that merge's time can't be told from
+        scores: another piece has the same score, or a half a worse one."""
+        if (got := self._halves.get(piece)) is None:
+            two = self.merged(self.pieces[piece], most=2)
+            halves = [self.ids.get(x) for x in two]
+            plain = len(two) == 2 and None not in halves and self.alike[self.scores[piece]] == 1
+            plain = plain and all(len(x) == 1 or self.scores[i] > self.scores[piece] for x, i in zip(two, halves, strict=True))
+            got = self._halves[piece] = tuple(halves) if plain else (None, None)
+        return got[side]
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether the two pieces' characters merge to the two pieces: back in time, of the two pieces at the boundary the one
+        merged last is halved, and a merge over the boundary must not come before it (of equal ones the leftmost is first)."""
+        pieces, ids, scores, a, b, after, tie = self.pieces, self.ids, self.scores, left, right, -math.inf, False
+        while True:
+            over = ids.get(pieces[a] + pieces[b])
+            if over is not None and (scores[over] > after or tie and scores[over] == after):
+                return False
+            one, other = (-math.inf if len(pieces[x]) == 1 else -scores[x] for x in (a, b))
+            if one == other == -math.inf:
+                return True
+            tie = one <= other
+            part = self.half(b, 0) if tie else self.half(a, 1)
+            if part is None:
+                whole = pieces[left]
+                return self.merged(whole + pieces[right], len(whole)) is not None
+            a, b, after = (a, part, -other) if tie else (part, b, -one)
+
     def char(self, c: str) -> tuple[int, ...]:
         """The ids of a character that is no piece."""
         return tuple(self.bytes[b] for b in c.encode()) if self.fallback else (self.unknown,)

@@ -66,3 +66,27 @@ def test_query_rows_and_round_trip(spark):
 def test_text_with_the_mark_itself_says_so(proto):
     model = pieces.Model(proto)
     assert model.decode(model.encode(["a▁b"])[0]) == "a b"
+
+
+def test_pairs_of_pieces_are_told_as_by_merging_and_kept_apart_from_words(proto):
+    model, rng = pieces.Model(proto, remembered=10), random.Random(5)
+    whole = [i for i in model.ids.values() if model.whole(i)]
+    longer = {}
+    for i in whole:
+        longer.setdefault(model.pieces[i][:1], []).append(i)
+    spaces = [i for i in whole if not model.pieces[i].strip(pieces.MARK)]
+    pairs = [(rng.choice(whole), rng.choice(whole)) for _ in range(6_000)] + [(a, b) for a in spaces for b in [*spaces, *longer[pieces.MARK][:50]]]
+    # pairs that overlap with a piece over the boundary: all ways to cut a piece or two in two pieces
+    for i in rng.sample(whole, 3_000):
+        text = model.pieces[i] + model.pieces[rng.choice(whole)]
+        pairs += [(model.ids[text[:k]], model.ids[text[k:]]) for k in range(1, len(text)) if text[:k] in model.ids and text[k:] in model.ids]
+    pairs = [(a, b) for a, b in pairs if model.whole(a) and model.whole(b)]
+    merges, kinds = model.merged, set()
+    for a, b in pairs:
+        left, right = model.pieces[a], model.pieces[b]
+        want = merges(left + right, len(left)) is not None
+        assert model.neighbours(a, b) == want, (left, right)
+        kinds.add(want)
+    assert kinds == {True, False}
+    # a task that remembers few words still remembers the pairs
+    assert len(model._neighbours) == len(set(pairs)) > model.remembered
