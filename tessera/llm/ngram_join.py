@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from tessera.llm.bits import ROOM, bit_table, holds, map_rows_of
 from tessera.llm.common import hash_words, mix64, only, settle, shingle_hashes, word_list
 from tessera.operators.graph import connected
+from tessera.sources.shared import drop
 
 #: N-grams are counted when about so many are held. One seen so often in one count is reported, and is placed last if all
-#: reports together have seen it so often.
+#: reports together have seen it so often, or if so many first blocks hold it.
 COUNTED, IN_BATCH, IN_ALL = 4_000_000, 3, 24
 
 
@@ -71,6 +72,19 @@ def _frequent(size: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
         yield counted()
 
 
+def _first_block(s: np.ndarray, num: int, den: int, frequent) -> np.ndarray:
+    """The first block of columns of a set: those placed last are taken last, the others by hash."""
+    late = np.zeros(len(s), bool) if frequent.value is None else holds(frequent.value, s)
+    return s[np.lexsort((s, late))][: len(s) - -(-num * len(s) // den) + 1] if len(s) else s
+
+
+def _firsts(size: int, num: int, den: int, frequent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The columns of all first blocks, by their lower 32 bits: a filter of bits reads no others."""
+    for pdf in batches:
+        found = [_first_block(shingle_set(t, size), num, den, frequent) for t in pdf.text]
+        yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *found]).astype(np.int32)})
+
+
 def _rows(size: int, num: int, den: int, frequent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
@@ -80,9 +94,7 @@ def _rows(size: int, num: int, den: int, frequent, batches: Iterator[pd.DataFram
             with np.errstate(over="ignore"):
                 u = s.view(np.uint64)
                 d1, d2 = mix64(u).sum(dtype=np.uint64), mix64(u ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-            late = np.zeros(n, bool) if frequent.value is None else holds(frequent.value, s)
-            first = s[np.lexsort((s, late))][: n - -(-num * n // den) + 1] if n else s
-            out.append((n, int(d1.view(np.int64)), int(d2.view(np.int64)), first))
+            out.append((n, int(d1.view(np.int64)), int(d2.view(np.int64)), _first_block(s, num, den, frequent)))
         frame = pd.DataFrame(out, columns=["n", "d1", "d2", "first"])
         frame.insert(0, "doc_id", pdf.doc_id.to_numpy())
         yield frame
@@ -129,6 +141,17 @@ def _stars(links: DataFrame) -> DataFrame:
     return once
 
 
+def _filter(often: DataFrame):
+    """The columns placed last, as a filter for every task: of very many the most frequent, as any order of the columns gives
+    the same pairs."""
+    n_often = often.count()
+    if n_often > ROOM:
+        least = often.agg(F.percentile_approx("c", 1 - 0.9 * ROOM / n_often, 100_000)).scalar()
+        often = often.filter(F.col("c") > least)
+        n_often = often.count()
+    return often.sparkSession.sparkContext.broadcast(bit_table(often.select("h"), n_often))
+
+
 def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -138,17 +161,18 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     one text; repeated rows are returned as often as they come. Very long texts are taken whole; columns of any other name
     are not read; pairs just at the bound link. An empty table gives no row.
     """
-    sc = docs.sparkSession.sparkContext
     named = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     texts = named.filter(F.col("doc_id").isNotNull())
     often = named.select("text").mapInPandas(functools.partial(_frequent, size), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= IN_ALL)
     often = settle(often, "frequent")
-    n_often = often.count()
-    if n_often > ROOM:  # the most frequent are enough: any order of the columns gives the same pairs
-        least = often.agg(F.percentile_approx("c", 1 - 0.9 * ROOM / n_often, 100_000)).scalar()
-        often = often.filter(F.col("c") > least)
-        n_often = often.count()
-    frequent = sc.broadcast(bit_table(often.select("h"), n_often))
+    frequent = _filter(often)
+    # what is frequent over all tasks but not within one shows in the first blocks: these are counted exactly, then made anew
+    again = named.select("text").mapInPandas(functools.partial(_firsts, size, num, den, frequent), "h int").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    again = again.filter(F.col("c") >= IN_ALL).select(F.col("h").cast("long").alias("h"), "c")
+    low = F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).alias("h")
+    both = settle(often.union(again).groupBy(low).agg(F.max("c").alias("c")), "late")
+    frequent.unpersist()
+    frequent = _filter(both)
     rows = settle(named.mapInPandas(functools.partial(_rows, size, num, den, frequent), "doc_id long, n long, d1 long, d2 long, first array<long>"), "rows")
     frequent.unpersist()
 
@@ -158,7 +182,12 @@ def components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     cells = nodes.select("node", "n", F.posexplode("first").alias("p", "gram")).select("gram", "node", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"))
     shared = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("gram")
     # what is summed is written before it is joined back, so that a column of very many rows can be split in the join
-    cells = settle(cells.join(settle(shared, "shared"), "gram"), "cells")
+    shared = settle(shared, "shared")
+    cells = settle(cells.join(shared, "gram"), "cells")
+    # the first blocks are in the cells now
+    wide, rows, nodes = (rows, nodes), settle(rows.select("doc_id", "n", "d1", "d2"), "documents"), settle(nodes.select("d1", "d2", "node"), "named")
+    for done in (*wide, shared):
+        drop(done)
     n, p = F.shiftright("np", 32), F.col("np").bitwiseAND(F.lit((1 << 32) - 1))
     cells = cells.select("gram", "node", n.alias("n"), p.alias("p"))
     # the smaller (or equal) row of a linked pair has a shared column among these

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pandas as pd
 
-from tessera.llm import ngram_join
+from tessera.llm import bits, ngram_join
 
 SCHEMA = "doc_id long, text string, node string, gram int, component_id int"
 
@@ -96,3 +97,25 @@ def test_an_ngram_of_few_documents_among_many_is_counted_as_frequent():
     texts = ["a b c d e f g", long[0], "a b c d e f g", long[1], "a b c d e f g"]
     found = list(ngram_join._frequent(4, iter([pd.DataFrame({"text": [t]}) for t in texts])))
     assert {h for f in found for h in f.h} == set(ngram_join.shingle_set("a b c d e f g", 4))
+
+
+def test_columns_frequent_over_all_tasks_but_not_in_one_are_placed_last(spark, monkeypatch):
+    rng = random.Random(9)
+    common = " ".join(f"c{k}" for k in range(12))
+    rows = [(i, f"{common} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(5))) for i in range(1, 41)]
+    rows += [(50, rows[0][1]), (51, rows[0][1] + " end"), (52, None)]
+    written = {}
+    settle = ngram_join.settle
+    monkeypatch.setattr(ngram_join, "settle", lambda df, name: written.setdefault(name, settle(df, name)) if name == "late" else settle(df, name))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 22), "doc_id long, text string")
+    assert result(ngram_join.components(df)) == brute(rows, 4, 85, 100)
+    late = {r.h: r.c for r in written["late"].collect()}
+    held = ngram_join.shingle_set(common, 4) & 0xFFFFFFFF
+    assert late and set(late) <= set(held.tolist()) and min(late.values()) >= ngram_join.IN_ALL
+
+
+def test_filter_of_few_values_lets_few_others_pass(spark):
+    values = bits.id_hashes(np.arange(20_000))
+    table = bits.bit_table(spark.createDataFrame(pd.DataFrame({"h": values})), len(values))
+    assert bits.holds(table, values).all()
+    assert bits.holds(table, bits.id_hashes(np.arange(20_000, 220_000))).mean() < 0.03
