@@ -13,8 +13,10 @@ its block first, so a range gets it once from each block.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +124,17 @@ def _summed(steps: np.ndarray, new_group: np.ndarray) -> np.ndarray:
     return total - np.repeat((total - steps)[begin], np.diff(np.append(begin, len(steps))))
 
 
+def _parts(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The parts of ``flat`` between begins and ends, one after the other."""
+    size = end - begin
+    return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _numbers() -> defaultdict[bytes, int]:
+    """A dictionary that numbers its keys from 1 as they are asked for."""
+    return defaultdict(itertools.count(1).__next__)
+
+
 def _block(known: dict[bytes, int], texts: list[np.ndarray], n_ranges: int) -> Iterator[tuple[int, bytes]]:
     """Range and packed runs of a block of texts, given as ids (from 1) of the known words."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -134,10 +147,13 @@ def _block(known: dict[bytes, int], texts: list[np.ndarray], n_ranges: int) -> I
     first = order[first]
     a, b, pair, third, run_of = _distinct(first, *_runs(first, lengths), len(words))
     heads = common_heads(words)
+    flat = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    word_ends = np.append(0, np.flatnonzero(flat == 32) + 1)
     hashes = np.concatenate([np.zeros(1, np.uint64), hash_words(words)])
     with np.errstate(over="ignore"):
         pair_range = (mix64(hashes[a] * np.uint64(0x9E3779B97F4A7C15) + hashes[b]) % np.uint64(n_ranges)).astype(np.int64)
-    by_range = np.argsort(pair_range[pair], kind="stable").astype(np.int32)  # runs of a range, in order of their pairs
+    narrow = pair_range.astype(np.min_scalar_type(n_ranges))  # sorted by digits where two bytes hold it
+    by_range = np.argsort(narrow[pair], kind="stable").astype(np.int32)  # runs of a range, in order of their pairs
     place = np.empty(len(by_range), np.int32)
     place[by_range] = np.arange(len(by_range))
     docs = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)[np.argsort(place[run_of], kind="stable")]
@@ -146,16 +162,20 @@ def _block(known: dict[bytes, int], texts: list[np.ndarray], n_ranges: int) -> I
     ends = np.flatnonzero(np.append(np.diff(run_range), 1)) + 1
     for begin, end in zip(np.append(0, ends[:-1]), ends, strict=True):
         runs = by_range[begin:end]
-        own, n_runs = np.unique(pair[runs], return_counts=True)
-        used = np.unique(np.concatenate([a[own], b[own], third[runs]]))
-        used = used[used > 0]
-        at = lambda ids, used=used: np.where(ids > 0, np.searchsorted(used, ids) + 1, 0)
+        own_pairs = pair[runs]  # in order
+        heads_at = np.flatnonzero(np.append(True, own_pairs[1:] != own_pairs[:-1]))
+        own, n_runs = own_pairs[heads_at], np.diff(np.append(heads_at, len(runs)))
+        held_words = np.zeros(len(words) + 1, bool)
+        for ids in (a[own], b[own], third[runs]):
+            held_words[ids] = True
+        held_words[0] = False
+        used, number = np.flatnonzero(held_words), np.cumsum(held_words, dtype=np.int32)
         held = docs[docs_end[begin] - counts[begin] : docs_end[end - 1]]
         # what two sorted words have in common, all words between them have too
         shared = np.append(0, np.minimum.reduceat(heads[: used[-1]], used[:-1]) if len(used) > 1 else heads[:0])
-        tails = b" ".join(words[i - 1][k:] for i, k in zip(used.tolist(), shared.tolist(), strict=True))
+        tails = _parts(flat, word_ends[used - 1] + shared, word_ends[used])[:-1]
         yield int(run_range[begin]), pack(
-            heads=shared, tails=tails, first=np.diff(at(a[own]), prepend=0), second=_steps(at(b[own]), a[own]), n_runs=n_runs, third=at(third[runs]), counts=counts[begin:end], docs=held
+            heads=shared, tails=tails, first=np.diff(number[a[own]], prepend=0), second=_steps(number[b[own]], a[own]), n_runs=n_runs, third=number[third[runs]], counts=counts[begin:end], docs=held
         )
 
 
@@ -178,18 +198,18 @@ def _blocks(n_ranges: int, kind: pa.DataType):
         from pyspark import TaskContext
 
         task, k, size = TaskContext.get().partitionId(), 0, 0
-        known: dict[bytes, int] = {}
+        known = _numbers()
         ids: list = []
         texts: list[np.ndarray] = []
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 doc_id, words = doc_id.as_py(), words_of(text.as_py())
-                texts.append(np.array([known.setdefault(w, len(known) + 1) for w in words], np.int32))
+                texts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id)
                 size += len(words) + 8
                 if size >= BLOCK_WORDS:
                     yield from rows(f"{task}-{k}", known, ids, texts)
-                    k, size, known, ids, texts = k + 1, 0, {}, [], []
+                    k, size, known, ids, texts = k + 1, 0, _numbers(), [], []
                     pa.default_memory_pool().release_unused()
         if ids:
             yield from rows(f"{task}-{k}", known, ids, texts)
@@ -212,11 +232,11 @@ def _features(buckets: int):
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         blobs = [(block, unpack(x)) for block, x in zip(pdf["block"], pdf["runs"], strict=True) if x is not None]
-        known: dict[bytes, int] = {}
+        known = _numbers()
         firsts, seconds, thirds = [], [], []
         for _, x in blobs:
             words = sorted_words(x.pop("heads"), x.pop("tails").tobytes())
-            ids = np.array([0, *(known.setdefault(w, len(known) + 1) for w in words)], np.int32)
+            ids = np.append(np.int32(0), np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
             first = x.pop("first").astype(np.int64)
             firsts.append(np.repeat(ids[np.cumsum(first)], x["n_runs"]))
             seconds.append(np.repeat(ids[_summed(x.pop("second").astype(np.int64), first)], x["n_runs"]))

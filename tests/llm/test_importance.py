@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.llm import importance
@@ -97,3 +98,21 @@ def test_draws_favour_the_target(spark):
     docs = [(i, speak(one if i % 10 else two, 40)) for i in range(400)]
     rows = importance.resample(*frames(spark, docs, [speak(two, 200)]), percent=10).collect()
     assert {r.doc_id % 10 for r in rows if r.rank} == {0} and sum(r.rank is not None for r in rows) == 40
+
+
+def test_a_blocks_runs_are_packed_without_a_loop_over_words():
+    """op11: the rest of each word is taken by place; only the words of the whole block are gone through one by one, not those of each range."""
+    texts = [b"a bb bbb a bb c".split(), [], b"c".split(), b"bbb\xc3\xa9 a a a bb".split()]
+    known = importance._numbers()
+    ids = [np.array([known[w] for w in t], np.int32) for t in texts]
+    assert sorted(known.values()) == list(range(1, len(known) + 1))
+    found = []
+    for _, packed in importance._block(known, ids, 3):
+        x = importance.unpack(packed)
+        words = [b"", *importance.sorted_words(x["heads"], x["tails"].tobytes())]
+        first = np.cumsum(x["first"].astype(np.int64))
+        second = importance._summed(x["second"].astype(np.int64), x["first"])
+        pairs = [(words[i], words[j]) for i, j in zip(first, second, strict=True)]
+        runs = [(*p, words[k]) for p, k in zip([p for p, n in zip(pairs, x["n_runs"], strict=True) for _ in range(n)], x["third"], strict=True)]
+        found += [r for r, n in zip(runs, x["counts"], strict=True) for _ in range(n)]
+    assert sorted(found) == sorted(tuple([*t[i : i + 3], b"", b""][:3]) for t in texts for i in range(len(t)))
